@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._util import SPACE_CLASS, let, materialize, small
 
@@ -152,11 +153,12 @@ def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = 0.01
         F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in values.items()])).alias("x"),
     ).select("stratum", "x.rule", "x.bin")
     counts = long.groupBy("stratum", "rule", "bin").agg(F.count("*").alias("c"))
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
     per = counts.groupBy("stratum", "rule").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("by_bin"), F.sum("c").alias("n")
     )
-    grid = per.join(F.broadcast(strata)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
+    # each stratum has a row for each rule
+    n_strata = F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) / len(RULES)
+    grid = per.withColumn("n_strata", n_strata).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
     # documents in bins above this one are those that the cutoff rejects
     above = F.aggregate(
         F.map_entries("by_bin"),

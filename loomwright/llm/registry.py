@@ -16,6 +16,47 @@ URL_RULES = (
 )
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store_texts
+
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_classes
+
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules first; else a URL is blocked if its canonical form is listed: it stands on two pages or more."""
     from .urls import canonical, filter_urls
@@ -48,7 +89,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op7_url_filter, op8_mixing, op9_sharding, op10_quality_rules)}
+    every = (
+        op1_suffix_dedup, op2_media, op3_warc, op4_secret_scan, op5_ngram_join,
+        op6_packing, op7_url_filter, op8_mixing, op9_sharding, op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
