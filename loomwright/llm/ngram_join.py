@@ -122,8 +122,7 @@ def bitmap(s: np.ndarray) -> int:
     return int.from_bytes(np.packbits(on).tobytes(), "big")
 
 
-def build_tree(sets: list[np.ndarray], order: list[int]) -> Node:
-    maps = {i: bitmap(sets[i]) for i in order}
+def build_tree(sets: list[np.ndarray], order: list[int], maps: dict[int, int]) -> Node:
     level = []
     for at in range(0, len(order), LEAF):
         group = order[at : at + LEAF]
@@ -178,7 +177,13 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
     for i in order:
         weight[found.find(i)] = weight.get(found.find(i), 0) + 1
     order.sort(key=lambda i: (-weight[found.find(i)], found.find(i), len(sets[i])))
-    root = build_tree(sets, order)
+    maps = {i: bitmap(sets[i]) for i in order}
+    root = build_tree(sets, order, maps)
+
+    def may_pair(i: int, j: int) -> bool:
+        a, b = len(sets[i]), len(sets[j])
+        most = min(a - (maps[i] & ~maps[j]).bit_count(), b - (maps[j] & ~maps[i]).bit_count())
+        return (100 + threshold) * most >= threshold * (a + b)
 
     def one(n: Node) -> int | None:
         r = found.find(n.places[0])
@@ -195,7 +200,7 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
         if x.kids is None and y.kids is None:
             for i in x.places:
                 for j in y.places:
-                    if (x is not y or i < j) and found.find(i) != found.find(j):
+                    if (x is not y or i < j) and found.find(i) != found.find(j) and may_pair(i, j):
                         if stats is not None:
                             stats["checked"] = stats.get("checked", 0) + 1
                         if linked(sets[i], sets[j], threshold):
