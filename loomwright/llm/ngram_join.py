@@ -216,17 +216,19 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
 
 
 def _digests(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n_shingles and digest (null where the set is empty) of each row."""
-    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+    """_id, h (the text's hash), n and digest (null where the set is empty) of each row."""
+    schema = pa.schema([("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1)):
-                sets = list(shingle_sets(b.column(1).slice(lo, hi - lo), k))
+            for lo, hi in slices(b.column(2)):
+                sets = list(shingle_sets(b.column(2).slice(lo, hi - lo), k))
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64())], schema=schema)
+                digest = pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, digest], schema=schema)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "_id long, n long, digest long")
+    string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, "_id long, h long, n long, digest long")
 
 
 def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int) -> DataFrame:
@@ -288,19 +290,21 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[root[out]] if len(nodes) else nodes, "b": nodes[out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def ngram_classes(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 90, block_shingles: int = BLOCK_SHINGLES
-) -> DataFrame:
-    """key, n_shingles, component_id for each row; component_id is the smallest key of the row's class."""
+def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
+    """_id, n, h (the text's hash) and class (null for empty sets) of each row."""
     buckets = partitions_for(docs)
     ids = materialize(_digests(docs, key, text, shingle), "ngram-digests")
     stars = _keys(docs, text, shingle, threshold, buckets).groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    coarse = materialize(connected_components(stars), "ngram-coarse")  # node, root
-    labels = materialize(_exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles, buckets), "ngram-labels")
+    coarse = materialize(connected_components(stars), "ngram-coarse")
+    labels = materialize(_exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles), "ngram-labels")
+    return ids.join(labels, ids["digest"] == labels["node"], "left").select("_id", "n", "h", F.coalesce("root", "digest").alias("class"))
+
 
-    rows = ids.join(labels, ids["digest"] == labels["node"], "left").select(
-        "_id", "n", F.coalesce("root", "digest").alias("class")
-    )
+def ngram_classes(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 90, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """key, n_shingles, component_id for each row; component_id is the smallest key of the row's class."""
+    rows = _class_rows(docs, key, text, shingle, threshold, block_shingles)
     least = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("_c")).agg(F.min("_id").alias("least"))
     # rows alone have a null class: spread, not joined in one task
     joined = rows.where("class IS NOT NULL").join(least, F.col("class") == F.col("_c"), "left").select("_id", "n", "least")
@@ -308,7 +312,32 @@ def ngram_classes(
     return joined.unionAll(alone).select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles, buckets) -> DataFrame:
+def keep_one(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """One row of each class, that with the smallest key (null last, then by text hash), and every row without shingles.
+
+    The rows that go are found by key and text hash and taken out by an anti-join; of rows that repeat
+    the chosen one, all but one go.
+    """
+    rows = materialize(_class_rows(docs, key, text, shingle, threshold, block_shingles), "ngram-rows")
+    rank = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("h").alias("h"))
+    best = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("_c")).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows"))
+    best = best.where("rows > 1").select("_c", F.col("best.i").alias("_bi"), F.col("best.h").alias("_bh"))
+    inside = rows.where("class IS NOT NULL").join(best, F.col("class") == F.col("_c"))
+    mine = F.col("_id").eqNullSafe(F.col("_bi")) & (F.col("h") == F.col("_bh"))
+    gone = inside.where(~mine).select("_id", "h").distinct().withColumn("go", F.lit(True))
+    twice = inside.where(mine).groupBy("_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id", "h", F.lit(False).alias("go"))
+    marks = gone.union(twice).select(F.col("_id").alias("_mi"), F.col("h").alias("_mh"), "go")
+    named = docs.withColumn("_mark_h", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    joined = named.join(marks, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_mi")) & (F.col("_mark_h") == F.col("_mh")), "left")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rest = joined.where("go IS NULL").select(*cols)
+    first = joined.where("NOT go").dropDuplicates(["_mi", "_mh"]).select(*cols)
+    return rest.unionAll(first)
+
+
+def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) -> DataFrame:
     """(node, root) of exact classes, for the nodes of coarse components."""
     members = coarse.select("node", "root").union(coarse.select("root", "root")).distinct()
     # any row of a set will do: one place stands for each digest
