@@ -62,3 +62,13 @@ def words_of(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of words, without building the array: places where a word starts."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns and, in a struct _row, all of docs', so that names can't clash."""
+    return docs.select(*[c.alias(n) for n, c in columns.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs' columns out of _row."""
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._util import count_words, materialize, small
+from ._util import carried, count_words, materialize, restored, small
 
 #: Rows of a source that make one shard, on average.
 SHARD_ROWS = 20_000
@@ -136,9 +136,9 @@ def mix_documents(
     Only the document at the edge of a shard's last block is rounded. The rows' sizes are joined
     back by key and text hash, per repeated row by its number.
     """
-    raw = docs.withColumn("_h", F.xxhash64(F.col(text)))
+    raw = carried(docs, _key=F.col(key), _source=F.col(source), _h=F.xxhash64(F.col(text)))
     rows = materialize(
-        raw.select(F.col(key).alias("_key"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), "_h"), "mix-sizes"
+        raw.select("_key", F.col("_source").alias("source"), count_words(F.col("_row").getField(text)).alias("size"), "_h"), "mix-sizes"
     )
     taken = _taken(rows, weights, share, most, block, seed)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
@@ -149,9 +149,7 @@ def mix_documents(
     got = got.where("_times > 0")
     joined = raw.join(
         got,
-        F.col(key).eqNullSafe(F.col("_k2")) & F.col(source).eqNullSafe(F.col("_s2")) & (F.col("_h") == F.col("_h2")),
-    )
-    return (
-        joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.round(F.col("_times") / F.col("_rows")).cast("long")))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("_key").eqNullSafe(F.col("_k2")) & F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_h") == F.col("_h2")),
     )
+    each = F.greatest(F.lit(1), F.round(F.col("_times") / F.col("_rows"))).cast("int")
+    return restored(joined.select("_row", F.explode(F.array_repeat(F.lit(0), each))), docs)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize, partitions_for
+from ._util import carried, materialize, partitions_for, restored
 from .components import connected_components
 from .shingles import U, mix, set_digest, shingle_sets, slices
 from .urls import bloom, maybe
@@ -329,12 +329,12 @@ def keep_one(
     gone = inside.where(~mine).select("_id", "h").distinct().withColumn("go", F.lit(True))
     twice = inside.where(mine).groupBy("_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id", "h", F.lit(False).alias("go"))
     marks = gone.union(twice).select(F.col("_id").alias("_mi"), F.col("h").alias("_mh"), "go")
-    named = docs.withColumn("_mark_h", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    joined = named.join(marks, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_mi")) & (F.col("_mark_h") == F.col("_mh")), "left")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    rest = joined.where("go IS NULL").select(*cols)
-    first = joined.where("NOT go").dropDuplicates(["_mi", "_mh"]).select(*cols)
-    return rest.unionAll(first)
+    string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    named = carried(docs, _key=F.col(f"`{key}`").cast("long"), _hash=F.xxhash64(string))
+    joined = named.join(marks, F.col("_key").eqNullSafe(F.col("_mi")) & (F.col("_hash") == F.col("_mh")), "left")
+    rest = joined.where("go IS NULL").select("_row")
+    first = joined.where("NOT go").dropDuplicates(["_mi", "_mh"]).select("_row")
+    return restored(rest.unionAll(first), docs)
 
 
 def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) -> DataFrame:
