@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rec
 from ..sources.tables import load
+from . import features, relational, scalars
 
 BORDERS = [5.0, 10.0, 20.0, 30.0, 40.0]
 
@@ -38,8 +39,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"flagship": flagship}
+    return {"flagship": flagship, **scalars.queries(), **relational.queries(), **features.queries()}
 
 
 def oracle_sql():
-    return {"flagship": FLAGSHIP_SQL}
+    return {"flagship": FLAGSHIP_SQL, **scalars.oracle_sql(), **relational.oracle_sql(), **features.oracle_sql()}
