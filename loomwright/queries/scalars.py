@@ -26,6 +26,11 @@ def _query(table: str, key: str, expr: Column, where: str | None):
     return run
 
 
+def _lazy(table: str, expr):
+    """The query of an expression that is built when it runs, as columns need a session."""
+    return lambda spark, sf_dir: _query(table, KEYS[table], expr(), None)(spark, sf_dir)
+
+
 def _sql(table: str, key: str, sql: str, where: str | None) -> str:
     return f"SELECT {key} AS k, {sql} AS r FROM {table}" + (f" WHERE {where}" if where else "")
 
@@ -228,7 +233,7 @@ ARRAYS = [
     ("arr_min", "embeddings", lambda: P.array_min(_with_null(_ids())), f"CASE WHEN list_contains({IDS}, 1) THEN NULL ELSE list_min({IDS}) END"),
     ("arr_position", "embeddings", lambda: P.array_position(_ids(), F.lit(0).cast("bigint")), f"CAST(coalesce(list_position({IDS}, 0), 0) AS BIGINT)"),
     ("arr_sort", "embeddings", lambda: j(F.array_sort(_with_null(_ids()))), js(f"list_sort({NULLED}, 'ASC', 'NULLS LAST')")),
-    ("arr_sum", "embeddings", lambda: P.array_sum(_with_null(_ids())), f"CAST(list_sum(list_filter({IDS}, lambda e: e <> 1)) AS BIGINT)"),
+    ("arr_sum", "embeddings", lambda: P.array_sum(_with_null(_ids())), f"CAST(coalesce(list_sum(list_filter({IDS}, lambda e: e <> 1)), 0) AS BIGINT)"),
     ("arr_contains", "embeddings", lambda: F.array_contains(_ids(), F.lit(2).cast("bigint")), f"list_contains({IDS}, 2)"),
     ("arr_filter", "embeddings", lambda: j(F.filter(_ids(), lambda e: e > 1)), js(f"list_filter({IDS}, lambda e: e > 1)")),
     ("arr_reduce", "embeddings", lambda: F.aggregate(_ids(), F.lit(0).cast("bigint"), lambda s, e: s + e), f"CAST(list_sum({IDS}) AS BIGINT)"),
@@ -381,7 +386,7 @@ def queries():
     out = {}
     for group in GROUPS:
         for name, table, expr, _ in group:
-            out[name] = (lambda table=table, expr=expr: lambda spark, sf_dir: _query(table, KEYS[table], expr(), None)(spark, sf_dir))()
+            out[name] = _lazy(table, expr)
     out["rec_sigrid_hash"] = lambda spark, sf_dir: _query("orders", "o_orderkey", rec.sigrid_hash("o_custkey", 7, 1000003), None)(spark, sf_dir)
     return out
 
