@@ -318,7 +318,9 @@ def agg_map_union(spark, t):
 
 # --- star-schema queries --------------------------------------------------------------------------
 
-REVENUE = c("l_extendedprice") * (1 - c("l_discount"))
+def revenue():
+    return c("l_extendedprice") * (1 - c("l_discount"))
+
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc,
@@ -327,8 +329,8 @@ REVENUE = c("l_extendedprice") * (1 - c("l_discount"))
 def tpch_q1(spark, t):
     li = t("lineitem").where(c("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(REVENUE), 4).alias("sum_disc"),
-        F.round(F.sum(REVENUE * (1 + c("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(revenue()), 4).alias("sum_disc"),
+        F.round(F.sum(revenue() * (1 + c("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
         F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )
 
@@ -337,7 +339,7 @@ def tpch_q1(spark, t):
   WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10""")
 def tpch_q3(spark, t):
     j = t("customer").where("c_mktsegment = 'BUILDING'").join(t("orders"), c("c_custkey") == c("o_custkey")).join(t("lineitem"), c("l_orderkey") == c("o_orderkey"))
-    g = j.groupBy("o_orderkey", "o_orderdate").agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    g = j.groupBy("o_orderkey", "o_orderdate").agg(F.round(F.sum(revenue()), 4).alias("revenue"))
     return g.select("o_orderkey", "revenue", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
@@ -348,7 +350,7 @@ def tpch_q5(spark, t):
     j = t("region").where("r_regionkey <= 2").join(t("nation"), c("n_regionkey") == c("r_regionkey")).join(t("supplier"), c("s_nationkey") == c("n_nationkey"))
     j = j.join(t("lineitem"), c("l_suppkey") == c("s_suppkey")).join(t("orders"), c("l_orderkey") == c("o_orderkey"))
     j = j.join(t("customer"), (c("c_custkey") == c("o_custkey")) & (c("c_nationkey") == c("s_nationkey")))
-    return j.groupBy("n_name").agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    return j.groupBy("n_name").agg(F.round(F.sum(revenue()), 4).alias("revenue"))
 
 
 @query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
@@ -366,7 +368,7 @@ def tpch_q7(spark, t):
     n2 = t("nation").where("n_regionkey = 2").select(c("n_nationkey").alias("k2"), c("n_name").alias("cust"))
     j = n1.join(t("supplier"), c("s_nationkey") == c("k1")).join(t("lineitem"), c("s_suppkey") == c("l_suppkey")).join(t("orders"), c("o_orderkey") == c("l_orderkey"))
     j = j.join(t("customer"), c("c_custkey") == c("o_custkey")).join(n2, c("c_nationkey") == c("k2"))
-    return j.groupBy("supp", "cust", F.year("l_shipdate").cast("bigint").alias("y")).agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    return j.groupBy("supp", "cust", F.year("l_shipdate").cast("bigint").alias("y")).agg(F.round(F.sum(revenue()), 4).alias("revenue"))
 
 
 @query("""SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n2.n_regionkey = 1 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share
@@ -378,7 +380,7 @@ def tpch_q8(spark, t):
     j = t("part").where("p_size > 10").join(t("lineitem"), c("p_partkey") == c("l_partkey")).join(t("supplier"), c("s_suppkey") == c("l_suppkey"))
     j = j.join(t("orders"), c("l_orderkey") == c("o_orderkey")).join(t("customer"), c("o_custkey") == c("c_custkey"))
     j = j.join(n1, c("c_nationkey") == c("k1")).join(t("region").where("r_regionkey <= 3"), c("r1") == c("r_regionkey")).join(n2, c("s_nationkey") == c("k2"))
-    share = F.sum(F.when(c("r2") == 1, REVENUE).otherwise(0.0)) / F.sum(REVENUE)
+    share = F.sum(F.when(c("r2") == 1, revenue()).otherwise(0.0)) / F.sum(revenue())
     return j.groupBy(F.year("o_orderdate").cast("bigint").alias("y")).agg(F.round(share, 6).alias("share"))
 
 
@@ -387,14 +389,14 @@ def tpch_q8(spark, t):
 def tpch_q9(spark, t):
     j = t("part").where(c("p_name").like("%a%")).join(t("lineitem"), c("p_partkey") == c("l_partkey")).join(t("supplier"), c("s_suppkey") == c("l_suppkey"))
     j = j.join(t("orders"), c("o_orderkey") == c("l_orderkey")).join(t("nation"), c("s_nationkey") == c("n_nationkey"))
-    return j.groupBy("n_name", F.year("o_orderdate").cast("bigint").alias("y")).agg(F.round(F.sum(REVENUE - 0.5 * c("l_quantity")), 4).alias("profit"))
+    return j.groupBy("n_name", F.year("o_orderdate").cast("bigint").alias("y")).agg(F.round(F.sum(revenue() - 0.5 * c("l_quantity")), 4).alias("profit"))
 
 
 @query("""SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, n_name FROM customer, orders, lineitem, nation
   WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""")
 def tpch_q10(spark, t):
     j = t("customer").join(t("orders"), c("c_custkey") == c("o_custkey")).join(t("lineitem").where("l_returnflag = 'R'"), c("l_orderkey") == c("o_orderkey"))
-    g = j.join(t("nation"), c("c_nationkey") == c("n_nationkey")).groupBy("c_custkey", "c_name", "n_name").agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    g = j.join(t("nation"), c("c_nationkey") == c("n_nationkey")).groupBy("c_custkey", "c_name", "n_name").agg(F.round(F.sum(revenue()), 4).alias("revenue"))
     return g.orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
@@ -416,13 +418,13 @@ def tpch_q13(spark, t):
 @query("SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo FROM lineitem, part WHERE l_partkey = p_partkey")
 def tpch_q14(spark, t):
     j = t("lineitem").join(t("part"), c("l_partkey") == c("p_partkey"))
-    return j.agg(F.round(100.0 * F.sum(F.when(c("p_type").like("PROMO%"), REVENUE).otherwise(0.0)) / F.sum(REVENUE), 6).alias("promo"))
+    return j.agg(F.round(100.0 * F.sum(F.when(c("p_type").like("PROMO%"), revenue()).otherwise(0.0)) / F.sum(revenue()), 6).alias("promo"))
 
 
 @query("""WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total FROM lineitem GROUP BY 1)
   SELECT s_suppkey, s_name, total FROM supplier, r WHERE s_suppkey = l_suppkey AND total = (SELECT max(total) FROM r)""")
 def tpch_q15(spark, t):
-    r = t("lineitem").groupBy("l_suppkey").agg(F.round(F.sum(REVENUE), 4).alias("total"))
+    r = t("lineitem").groupBy("l_suppkey").agg(F.round(F.sum(revenue()), 4).alias("total"))
     top = R.enforce_single_row(r.agg(F.max("total").alias("top")))
     return r.join(F.broadcast(top), c("total") == c("top")).join(t("supplier"), c("s_suppkey") == c("l_suppkey")).select("s_suppkey", "s_name", "total")
 
@@ -447,7 +449,7 @@ def tpch_q18(spark, t):
 def tpch_q19(spark, t):
     q, s = c("l_quantity"), c("p_size")
     cond = ((s < 10) & q.between(1, 11)) | (s.between(10, 20) & q.between(10, 20)) | ((s > 20) & q.between(20, 30))
-    return t("lineitem").join(t("part"), (c("p_partkey") == c("l_partkey")) & cond).agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    return t("lineitem").join(t("part"), (c("p_partkey") == c("l_partkey")) & cond).agg(F.round(F.sum(revenue()), 4).alias("revenue"))
 
 
 @query("""SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_nationkey < 12 AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0 AND c_nationkey < 12)

@@ -49,3 +49,13 @@ def test_entry_point_without_the_llm_parts(monkeypatch):
 def test_flagship_schema(spark, sf_dir):
     df = core.flagship(spark, sf_dir)
     assert df.columns == ["bucket", "n", "avg_logit", "avg_price"] and df.count() == 6
+
+
+def test_entry_point_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
