@@ -12,7 +12,7 @@ corpus `length` times over, positions are first dealt by content:
    corpus can't be of a repeated window, and only the others come back.
 3. Runs with a name that occurs again are sent to the name's bucket with their bytes, equal bytes of a
    partition once. A name too frequent for a task is dealt further by the bytes around the k-gram.
-4. In a bucket, equal runs are repeated as a whole. Where runs of a name differ, the suffixes at their
+4. In a bucket, equal runs (told by 160-bit digests) are repeated as a whole. Where runs of a name differ, the suffixes at their
    windows are sorted by deep-shallow sorting, separately for each offset of the k-gram: multikey
    quicksort, in which characters are 8 bytes and a ternary split about a median compares one, orders
    them to a shallow depth; groups with a longer common prefix go to blind tries, whose nodes keep only
@@ -40,7 +40,9 @@ from .shingles import BASE, INVERSE, U, mix, powers
 
 GRAM, SHALLOW, SEGMENT = 48, 16, 1 << 20
 #: Occurrences from which a name is dealt further, and windows that then go together.
-HOT, STEP = 20_000, 25
+HOT, STEP = 5_000, 25
+#: Windows sorted at a time, unless one name has more.
+WINDOWS = 150_000
 
 
 # --- windows and their names ---------------------------------------------------------------------
@@ -376,34 +378,57 @@ def _records(parts: int, length: int, k: int):
     return run
 
 
+def _windows(raw, kinds, begin, counts, name, offset, length: int, spans: dict[int, list]) -> None:
+    """Sorts the windows of some kinds of runs and adds each kind's repeated windows to spans, as (step, windows)."""
+    owner = np.repeat(np.arange(len(kinds)), counts)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pos, o = begin[owner] + step, offset[owner] - step
+    rank = np.cumsum(np.concatenate(([0], name[1:] != name[:-1])))[owner]  # kinds come by name
+    by = np.argsort(rank * (length + 1) + o, kind="stable")
+    key = (rank * (length + 1) + o)[by]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    hit = np.zeros(len(owner), bool)
+    hit[by] = repeated_suffixes(raw, pos[by], np.cumsum(fresh), length)
+    new = np.concatenate(([True], owner[1:] != owner[:-1]))
+    lo = np.flatnonzero(hit & (new | np.concatenate(([True], ~hit[:-1]))))
+    hi = np.flatnonzero(hit & np.concatenate((new[1:] | ~hit[1:], [True])))
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        spans.setdefault(int(kinds[owner[a]]), []).append((int(step[a]), b - a + 1))
+
+
 def _solve(length: int):
     """(part, spans) rows of one bucket: repeated windows as (text's place, first, windows)."""
     schema = pa.schema([("part", pa.int32()), ("spans", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        source, group, content, doc, first, offset, counts, bodies = [], [], [], [], [], [], [], []
-        base = 0
-        for row, (head, count, body) in enumerate(zip(*(table.column(c).to_pylist() for c in ("head", "counts", "body")))):
-            head = _unsqueeze(head)
-            n = len(head) // 24
+        source, group, content, doc, first, offset = [], [], [], [], [], []
+        raw, begin, counts = bytearray(), [], []  # distinct contents end to end
+        seen: dict[bytes, int] = {}
+        for row in range(len(table)):
+            head, count, body = (table.column(c)[row].as_py() for c in ("head", "counts", "body"))
+            head, body = _unsqueeze(head), memoryview(_unsqueeze(body))
+            n, at, number = len(head) // 24, 0, []
+            for c in np.frombuffer(count, np.int32).tolist():
+                part = body[at : at + c + length - 1]
+                at += len(part)
+                mark = hashlib.blake2b(part, digest_size=20).digest()
+                if mark not in seen:
+                    seen[mark] = len(begin)
+                    begin.append(len(raw))
+                    counts.append(c)
+                    raw += part
+                number.append(seen[mark])
             rest = np.frombuffer(head, np.int32, 4 * n, 8 * n).reshape(n, 4).astype(np.int64)
             source.append(np.full(n, row))
             group.append(np.frombuffer(head, np.int64, n))
-            content.append(rest[:, 0] + base)
+            content.append(np.array(number, np.int64)[rest[:, 0]])
             doc.append(rest[:, 1])
             first.append(rest[:, 2])
             offset.append(rest[:, 3])
-            counts.append(np.frombuffer(count, np.int32).astype(np.int64))
-            bodies.append(_unsqueeze(body))
-            base += len(counts[-1])
-        source, group, content, doc, first, offset, counts = (np.concatenate(x) for x in (source, group, content, doc, first, offset, counts))
-        raw = np.frombuffer(b"".join(bodies) + bytes(16), np.uint8)
-        begin = np.cumsum(counts + length - 1) - (counts + length - 1)
-        # equal contents of different rows: the first stands for all
-        view, seen = memoryview(raw), {}
-        lead = np.fromiter((seen.setdefault(bytes(view[b : b + c + length - 1]), i) for i, (b, c) in enumerate(zip(begin.tolist(), counts.tolist()))), np.int64, len(counts))
         del seen
-        content = lead[content]
+        source, group, content, doc, first, offset = (np.concatenate(x) for x in (source, group, content, doc, first, offset))
+        raw += bytes(16)
+        raw, begin, counts = np.frombuffer(raw, np.uint8), np.array(begin, np.int64), np.array(counts, np.int64)
         pair = np.lexsort((offset, content, group))
         g, c, o = group[pair], content[pair], offset[pair]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])))
@@ -413,24 +438,19 @@ def _solve(length: int):
         kg, kc, ko = g[at], c[at], o[at]
         members = np.bincount(np.cumsum(np.concatenate(([True], kg[1:] != kg[:-1]))) - 1)
         several = np.repeat(members > 1, members)
-        # windows of names with different runs: group by name and offset of the gram in the window
-        n = np.where(several, counts[kc], 0)
-        owner = np.repeat(np.arange(len(kc)), n)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        pos = begin[kc[owner]] + step
-        by = np.lexsort((pos, ko[owner] - step, kg[owner]))
-        wg, wo = kg[owner][by], (ko[owner] - step)[by]
-        fresh = np.concatenate(([True], (wg[1:] != wg[:-1]) | (wo[1:] != wo[:-1]))) if len(by) else np.empty(0, bool)
-        same = repeated_suffixes(raw, pos[by], np.cumsum(fresh), length)
-        hit = np.zeros(len(owner), bool)
-        hit[by] = same
-        # maximal runs of repeated windows, per kind of run
-        lo = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (owner[1:] != owner[:-1])))) if len(hit) else np.empty(0, int)
-        hi = np.flatnonzero(hit & np.concatenate((~hit[1:] | (owner[1:] != owner[:-1]), [True]))) if len(hit) else np.empty(0, int)
-        parts_of: dict[int, list] = {}
+        # windows of names with different runs, some names at a time so that memory is bounded
+        several = np.flatnonzero(several)
         spans: dict[int, list] = {}
-        for a, b in zip(lo.tolist(), hi.tolist()):
-            spans.setdefault(int(owner[a]), []).append((int(step[a]), b - a + 1))
+        load = np.cumsum(counts[kc[several]])
+        cut = np.flatnonzero(np.concatenate(([True], kg[several][1:] != kg[several][:-1]))) if len(several) else np.empty(0, int)
+        at = 0
+        while at < len(cut):
+            done = load[cut[at] - 1] if cut[at] else 0
+            upto = max(at + 1, int(np.searchsorted(load[cut - 1] * (cut > 0), done + WINDOWS, "right")) - 1)
+            some = several[cut[at] : cut[upto] if upto < len(cut) else len(several)]
+            _windows(raw, some, begin[kc[some]], counts[kc[some]], kg[some], ko[some], length, spans)
+            at = upto
+        parts_of: dict[int, list] = {}
         parts = table.column("part").to_pylist()
         whole = times > 1
         for i, k in zip(pair.tolist(), kind.tolist()):
@@ -482,7 +502,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """key, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin and end of each removed run, flat) for each row."""
     if length < 8:
         raise ValueError("length must be at least 8 bytes")
-    parts, k = partitions_for(docs), min(GRAM, length)
+    parts, k = partitions_for(docs, 4 << 20), min(GRAM, length)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     d1, d2 = F.xxhash64(raw), F.xxhash64(F.lit("second"), raw)
     packed = docs.select(d1, d2, raw).mapInArrow(_pack_texts(parts), "part int, keys binary, sizes binary, texts binary")
