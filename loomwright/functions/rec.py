@@ -8,7 +8,8 @@ whose wrapping 64-bit products run as one Arrow-batched function per plan.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,27 +159,25 @@ def sigrid_hash(x, salt: int, max_value: int) -> Column:
     if max_value <= 0:
         raise ValueError("max_value must be positive")
 
-    @F.pandas_udf("bigint")
-    def hashed(s: pd.Series) -> pd.Series:
-        known = s.notna().to_numpy()
-        out = np.zeros(len(s), np.int64)
-        out[known] = sigrid_hash_array(s[known].to_numpy(np.int64), salt, max_value)
-        return pd.Series(out).where(pd.Series(known), None).astype("Int64")
+    @F.arrow_udf("bigint")
+    def hashed(x: pa.Array) -> pa.Array:
+        made = pa.array(sigrid_hash_array(x.fill_null(0).to_numpy(zero_copy_only=False), salt, max_value))
+        return pc.if_else(x.is_valid(), made, pa.scalar(None, pa.int64())) if x.null_count else made
 
-    # whole numbers travel as text-free 64-bit values even where some are null
-    x = col(x).cast("bigint")
-    return F.when(x.isNotNull(), hashed(F.coalesce(x, F.lit(0).cast("bigint"))))
+    # bare calls, so that a chain of hashes is one trip to Python
+    return hashed(col(x).cast("bigint"))
 
 
 def sigrid_hash_list(a, salt: int, max_value: int) -> Column:
     if max_value <= 0:
         raise ValueError("max_value must be positive")
 
-    @F.pandas_udf("array<bigint>")
-    def hashed(s: pd.Series) -> pd.Series:
-        sizes = [len(x) for x in s]
-        flat = np.concatenate([np.asarray(x, np.int64) for x in s]) if sizes else np.empty(0, np.int64)
-        return pd.Series(np.split(sigrid_hash_array(flat, salt, max_value), np.cumsum(sizes)[:-1]) if sizes else [])
+    @F.arrow_udf("array<bigint>")
+    def hashed(x: pa.Array) -> pa.Array:
+        flat = x.flatten()
+        ends = np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False), dtype=np.int32)
+        made = pa.array(sigrid_hash_array(flat.to_numpy(zero_copy_only=False), salt, max_value))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), made)
 
     a = col(a).cast("array<bigint>")
     safe = F.when(a.isNotNull(), F.filter(a, lambda e: e.isNotNull())).otherwise(F.array().cast("array<bigint>"))

@@ -113,24 +113,65 @@ def parse(text: str) -> list[Step]:
     return steps
 
 
-def compile_plan(text: str) -> Callable[[DataFrame], DataFrame]:
-    """A function that applies the plan to a DataFrame."""
-    steps = parse(text)
-    levels: dict[int, list[Step]] = {}
+def _values(steps: list[Step]) -> tuple[list[tuple], dict[str, int]]:
+    """Distinct values that the plan's last columns need, as (operator, arguments), and the value of each column.
+
+    A value is numbered by its operator and the numbers of its arguments, so that a line which computes
+    again what is there costs nothing, and a value that no last column needs is left out.
+    """
+    numbers: dict[tuple, int] = {}
+    now: dict[str, int] = {}
+
+    def number(v: tuple) -> int:
+        return numbers.setdefault(v, len(numbers))
+
     for s in steps:
-        levels.setdefault(s.level, []).append(s)
+        args = tuple(("col", now[a[1]] if a[1] in now else number(("input", a[1]))) if isinstance(a, tuple) and a and a[0] == "col" else ("lit", repr(a)) for a in s.args)
+        if s.op == "copy":
+            now[s.out] = args[0][1]
+        else:
+            now[s.out] = number((s.op, *args))
+    made = list(numbers)
+    needed, stack = set(), list(now.values())
+    while stack:
+        v = stack.pop()
+        if v not in needed:
+            needed.add(v)
+            if made[v][0] != "input":
+                stack += [a[1] for a in made[v][1:] if a[0] == "col"]
+    return [(v, *made[v]) for v in sorted(needed)], now
+
+
+def compile_plan(text: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that applies the plan to a DataFrame: one projection per level of distinct values."""
+    values, last = _values(parse(text))
+    depth: dict[int, int] = {}
+    names: dict[int, str] = {}
+    levels_: dict[int, list[tuple]] = {}
+    for v, op, *args in values:
+        if op == "input":
+            depth[v], names[v] = 0, args[0]
+            continue
+        depth[v] = 1 + max([0, *(depth[a[1]] for a in args if a[0] == "col")])
+        names[v] = f"_plan_{v}"
+        levels_.setdefault(depth[v], []).append((v, op, args))
 
     def apply(df: DataFrame) -> DataFrame:
-        for level in sorted(levels):
-            made = {s.out: OPERATORS[s.op](*[F.col(a[1]) if isinstance(a, tuple) and a and a[0] == "col" else a for a in s.args]) for s in levels[level]}
+        columns = df.columns
+        for level in sorted(levels_):
+            made = {
+                names[v]: OPERATORS[op](*[F.col(f"`{names[a[1]]}`") if a[0] == "col" else ast.literal_eval(a[1]) for a in args]) for v, op, args in levels_[level]
+            }
             df = df.withColumns(made)
-        return df
+        old = [F.col(f"`{names[last[c]]}`").alias(c) if c in last else F.col(f"`{c}`") for c in columns]
+        new = [F.col(f"`{names[v]}`").alias(c) for c, v in last.items() if c not in columns]
+        return df.select(*old, *new)
 
     return apply
 
 
 def levels(text: str) -> list[list[str]]:
-    """Columns written at each level: what one projection computes together."""
+    """Columns written at each level of the lines as they stand."""
     out: dict[int, list[str]] = {}
     for s in parse(text):
         out.setdefault(s.level, []).append(s.out)
