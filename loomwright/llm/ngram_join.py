@@ -5,14 +5,17 @@ operator gives each row its class, connected over links.
 
 1. Sets are digested; equal sets are one node from then on, however many copies there are.
 2. Sizes are put into classes so wide that linked sets are in the same class or in neighbours. In the
-   group of a class and the next, linked sets differ in at most D shingles, so cutting the hash range
-   into D + 1 parts leaves one part equal: each set sends one key per part. A part that is empty says
-   nothing; a set that has one also sends the parts of another cut, and so on, so that two linked sets
-   always share a key of shingles. Keys travel in packed blocks, 12 bytes each.
+   group of a class and the next, linked sets differ in at most D shingles, so if D + 1 parts of the
+   hash range hold something, one of them is equal: each set sends one key per part. Parts are first
+   cut from its rare shingles alone, as passages that many texts share say little; which shingles are
+   frequent is counted beforehand and only steers the work. A set with too many empty parts also sends
+   the parts of another cut, of all its shingles, and so on, so that two linked sets always share a
+   key of shingles. Keys travel in packed blocks, 12 bytes each.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
    then by star contraction over the cluster.
-4. A coarse component's texts are fetched past a Bloom filter of fixed size, and joined exactly by a
-   signature tree: nodes hold the OR and the AND of their sets' token bitmaps and their size range; a
+4. A coarse component's texts are fetched past a Bloom filter of fixed size, and joined exactly. Linked
+   sets share one of the shingles that are rarest within the component (a prefix of each set); the sets
+   that share one are joined by a signature tree: nodes hold the OR and the AND of their sets' token bitmaps and their size range; a
    dual traversal drops pairs of nodes whose sizes can't match, whose greatest possible overlap is too
    small, or whose sets are all connected already; pairs of sets that remain are intersected. A
    component too large for one task is dealt into blocks, and every pair of blocks is a task, so no
@@ -25,6 +28,7 @@ empty tables give empty results; other columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,8 @@ BITS = 1024
 #: Shingles of a block of a component, keys of a packed batch.
 BLOCK_SHINGLES, BATCH_KEYS = 4_000_000, 1 << 20
 LEAF, FANOUT = 4, 8
+#: A shingle counts as shared from so many sets of a batch; so many shared ones are told to all tasks (400 kB).
+SHARED, FREQUENT = 8, 50_000
 
 
 class Classes:
@@ -56,35 +62,52 @@ class Classes:
             self.low.append(max(a + 1, 100 * (a - 1) // self.t + 1))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def cut(self, c: int) -> int:
-        """Parts for the group of classes c and c + 1: one more than linked sets can differ by."""
+    def cut(self, c: int) -> tuple[int, int]:
+        """For the group of classes c and c + 1: parts, and how many of them must hold something.
+
+        Linked sets differ in less than the second number of shingles. There are a few more parts
+        than that, as many as are likely to be empty.
+        """
         while len(self.low) <= c + 1:
             self.of(self.low[-1])
         while len(self.parts) <= c:
-            a = self.low[len(self.parts) + 1] - 1
-            self.parts.append((a + 100 * a // self.t) * (100 - self.t) // (100 + self.t) + 1)
+            i = len(self.parts)
+            a = self.low[i + 1] - 1
+            need = (a + 100 * a // self.t) * (100 - self.t) // (100 + self.t) + 1
+            empty = need * math.exp(-self.low[i] / need)
+            self.parts.append((need + (math.ceil(1.5 * empty + math.sqrt(empty)) if empty > 0.3 else 0), need))
         return self.parts[c]
 
 
-def part_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of a set for its own group and the one below; none where only equal sets link."""
-    out, c = [], classes.of(len(s))
+def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set for its own group and the one below; none where only equal sets link.
+
+    If at least as many parts hold something as linked sets could differ in, plus one, then any linked
+    set shares a part that isn't empty. Otherwise the set sends the parts of a further cut as well; so
+    does the other, or it is itself a set for which this cut was enough. frequent, ascending, has to be
+    the same for all sets.
+    """
+    out, c, rare = [], classes.of(len(s)), s
+    if frequent is not None and len(frequent):
+        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
     for group in (c, c - 1):
-        k = classes.cut(group) if group >= 0 else 1
-        if k == 1:
+        k, need = classes.cut(group) if group >= 0 else (1, 1)
+        if need == 1:
             continue
-        x, seed = s, 0
+        x, seed = rare, 0
         while True:
-            part = (x >> U(32)) * U(k) >> U(32)
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(mix(x + U(0x9E3779B97F4A7C15)), first)
-            tag = mix(np.array([group * 0x1000003 + seed], U))[0]
-            out.append(mix(sums ^ mix(part[first] + tag)))
-            if len(first) == k or seed >= 16:
+            first = np.empty(0, np.int64)
+            if len(x):
+                part = (x >> U(32)) * U(k) >> U(32)
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                sums = np.add.reduceat(mix(x + U(0x9E3779B97F4A7C15)), first)
+                tag = mix(np.array([group * 0x1000003 + seed], U))[0]
+                out.append(mix(sums ^ mix(part[first] + tag)))
+            if len(first) >= need or seed >= 16:
                 break
             seed += 1
             x = np.sort(mix(s ^ U(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
-        if len(first) < k:  # never seen; both sets then also send what an empty part stands for
+        if len(first) < need:  # hardly ever; both sets then also send what an empty part stands for
             out.append(mix(np.array([group], U)))
     return np.concatenate(out) if out else np.empty(0, U)
 
@@ -160,31 +183,80 @@ def may_link(x: Node, y: Node, t: int) -> bool:
     return (100 + t) * most >= t * (x.low + y.low)
 
 
+def prefix_groups(sets: list[np.ndarray], threshold: int) -> list[list[int]]:
+    """Sets that share a shingle of their prefixes, for each such shingle.
+
+    With shingles ordered from rare to frequent, linked sets have one of the first
+    n - ceil(threshold n / 100) + 1 shingles of each in common.
+    """
+    size = np.array([len(s) for s in sets])
+    if not size.sum():
+        return []
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(times, kind="stable"), kind="stable")[back]
+    order = np.lexsort((rank, owner))
+    begin = np.cumsum(size) - size
+    place = np.arange(len(owner)) - begin[owner]  # owners ascend, so places are within each set
+    prefix = size - -(-threshold * size // 100) + 1
+    kept = order[place < prefix[owner]]
+    kept = kept[times[back[kept]] > 1]
+    by = kept[np.argsort(back[kept], kind="stable")]
+    cut = np.flatnonzero(back[by][1:] != back[by][:-1]) + 1
+    groups = {tuple(g.tolist()) for g in np.split(owner[by], cut) if len(g) > 1}
+    return [sorted(g) for g in sorted(groups, key=lambda g: (-len(g), g))]
+
+
 def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None) -> UnionFind:
-    """Sets connected over links. Neighbours in the order of size and smallest hashes are tried first."""
+    """Sets connected over links: the sets of each prefix group by a dual traversal of their signature tree."""
     found = UnionFind(len(sets))
-    if not sets:
-        return found
-    order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (len(sets[i]), sets[i][:4].tolist()))
-    for near in (order, sorted(order, key=lambda i: sets[i][:8].tolist())):
-        for i, j in zip(near, near[1:]):
-            if found.find(i) != found.find(j) and linked(sets[i], sets[j], threshold):
+    maps: dict[int, int] = {}
+    failed: set[tuple[int, int]] = set()
+
+    def test(i: int, j: int) -> None:
+        i, j = min(i, j), max(i, j)
+        if found.find(i) == found.find(j) or (i, j) in failed:
+            return
+        for k in (i, j):
+            if k not in maps:
+                maps[k] = bitmap(sets[k])
+        a, b = len(sets[i]), len(sets[j])
+        most = min(a - (maps[i] & ~maps[j]).bit_count(), b - (maps[j] & ~maps[i]).bit_count())
+        if (100 + threshold) * most >= threshold * (a + b):
+            if stats is not None:
+                stats["checked"] = stats.get("checked", 0) + 1
+            if linked(sets[i], sets[j], threshold):
                 found.join(i, j)
-    if not order:
-        return found
+                return
+        if len(failed) < 2_000_000:  # a memory of failures saves time, no more
+            failed.add((i, j))
+
+    for group in prefix_groups(sets, threshold):
+        if len(group) <= 2 * LEAF:
+            for x, i in enumerate(group):
+                for j in group[x + 1 :]:
+                    test(i, j)
+        else:
+            _traverse(sets, group, threshold, found, maps, test)
+    return found
+
+
+def _traverse(sets, group: list[int], threshold: int, found: UnionFind, maps: dict[int, int], test) -> None:
+    near = sorted(group, key=lambda i: (len(sets[i]), sets[i][:8].tolist()))
+    for i, j in zip(near, near[1:]):
+        test(i, j)
     # sets that hang together already stand together, so that whole nodes drop out
     weight: dict[int, int] = {}
-    for i in order:
+    for i in group:
         weight[found.find(i)] = weight.get(found.find(i), 0) + 1
-    order.sort(key=lambda i: (-weight[found.find(i)], found.find(i), len(sets[i])))
-    maps = {i: bitmap(sets[i]) for i in order}
+    if len(weight) == 1:
+        return
+    for i in group:
+        if i not in maps:
+            maps[i] = bitmap(sets[i])
+    order = sorted(group, key=lambda i: (-weight[found.find(i)], found.find(i), len(sets[i])))
     root = build_tree(sets, order, maps)
 
-    def may_pair(i: int, j: int) -> bool:
-        a, b = len(sets[i]), len(sets[j])
-        most = min(a - (maps[i] & ~maps[j]).bit_count(), b - (maps[j] & ~maps[i]).bit_count())
-        return (100 + threshold) * most >= threshold * (a + b)
-
     def one(n: Node) -> int | None:
         r = found.find(n.places[0])
         return r if all(found.find(i) == r for i in n.places) else None
@@ -200,11 +272,8 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
         if x.kids is None and y.kids is None:
             for i in x.places:
                 for j in y.places:
-                    if (x is not y or i < j) and found.find(i) != found.find(j) and may_pair(i, j):
-                        if stats is not None:
-                            stats["checked"] = stats.get("checked", 0) + 1
-                        if linked(sets[i], sets[j], threshold):
-                            found.join(i, j)
+                    if x is not y or i < j:
+                        test(i, j)
         elif x is y:
             kids = x.kids
             stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
@@ -212,26 +281,43 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
             stack += [(k, y) for k in x.kids]
         else:
             stack += [(x, k) for k in y.kids]
-    return found
 
 
 def _digests(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """_id, h (the text's hash), n and digest (null where the set is empty) of each row."""
-    schema = pa.schema([("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+    """_id, h (the text's hash), n and digest (null where the set is empty) of each row, kind 0.
+
+    Rows of kind 1 hold shingles (h) that distinct sets of a batch share, and in how many of them (n).
+    """
+    schema = pa.schema([("kind", pa.int32()), ("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(2)):
+            for lo, hi in slices(b.column(2), 4 << 20):
                 sets = list(shingle_sets(b.column(2).slice(lo, hi - lo), k))
                 n = pa.array([len(s) for s in sets], pa.int64())
-                digest = pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, digest], schema=schema)
+                digests = [set_digest(s) if len(s) else None for s in sets]
+                zero = pa.array(np.zeros(hi - lo, np.int32))
+                yield pa.RecordBatch.from_arrays([zero, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, pa.array(digests, pa.int64())], schema=schema)
+                distinct = [s for d, s in dict(zip(digests, sets)).items() if d is not None]
+                u, times = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.empty(0, U), np.empty(0, np.int64))
+                u, times = u[times >= SHARED], times[times >= SHARED]
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), none, pa.array(u.view(np.int64)), pa.array(times), none], schema=schema)
 
     string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, "_id long, h long, n long, digest long")
+    return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, "kind int, _id long, h long, n long, digest long")
+
+
+def _frequent(found: DataFrame) -> np.ndarray:
+    """Up to FREQUENT shingles that most sets share, ascending; a table of bounded size.
+
+    It decides which parts are cut first, the same way for all sets, and nothing about links.
+    """
+    top = found.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(U))
 
 
-def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int) -> DataFrame:
+def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     """(bucket, block) rows: a block has as many 4-byte keys as 8-byte digests. Equal sets of a batch send once."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
@@ -254,7 +340,7 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int) -> D
                 for s in shingle_sets(b.column(0).slice(lo, hi - lo), k):
                     if len(s):
                         d = set_digest(s)
-                        if d not in seen and len(keys := part_keys(s, classes)):
+                        if d not in seen and len(keys := part_keys(s, classes, frequent)):
                             seen.add(d)
                             held.append(keys)
                             ids.append(d)
@@ -293,8 +379,9 @@ def _stars(table: pa.Table) -> pa.Table:
 def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
     """_id, n, h (the text's hash) and class (null for empty sets) of each row."""
     buckets = partitions_for(docs)
-    ids = materialize(_digests(docs, key, text, shingle), "ngram-digests")
-    stars = _keys(docs, text, shingle, threshold, buckets).groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    found = materialize(_digests(docs, key, text, shingle), "ngram-digests")
+    ids = found.where("kind = 0").drop("kind")
+    stars = _keys(docs, text, shingle, threshold, buckets, _frequent(found)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     coarse = materialize(connected_components(stars), "ngram-coarse")
     labels = materialize(_exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles), "ngram-labels")
     return ids.join(labels, ids["digest"] == labels["node"], "left").select("_id", "n", "h", F.coalesce("root", "digest").alias("class"))

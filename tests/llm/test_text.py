@@ -352,18 +352,21 @@ def test_ngram_classes_of_table(spark, sf_dir):
     assert ngram_join.ngram_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_linked_sets_share_a_key(threshold):
     r = random.Random(11)
-    classes = ngram_join.Classes(90)
+    classes = ngram_join.Classes(threshold)
     for _ in range(1500):
         n = r.choice([9, 10, 11, 13, 18, 19, 20, 25, 40, 100, 333, 1000])
         a = np.array(r.sample(range(1 << 62), n), np.uint64)
-        d = r.randint(0, max(1, n // 9))
+        d = r.randint(0, max(1, n // 5))
         drop = r.randint(0, d)
         b = np.concatenate([a[drop:], np.array(r.sample(range(1 << 62), d - drop), np.uint64)])
         a, b = np.sort(shingles.mix(a)), np.sort(shingles.mix(b))
-        if len(a) and len(b) and ngram_join.linked(a, b, 90) and len(set(a.tolist()) ^ set(b.tolist())):
+        if len(a) and len(b) and ngram_join.linked(a, b, threshold) and len(set(a.tolist()) ^ set(b.tolist())):
             assert set(ngram_join.part_keys(a, classes).tolist()) & set(ngram_join.part_keys(b, classes).tolist())
+            frequent = np.sort(r.choice([a, b])[: r.randint(0, n)])
+            assert set(ngram_join.part_keys(a, classes, frequent).tolist()) & set(ngram_join.part_keys(b, classes, frequent).tolist())
 
 
 def test_tree_join_prunes_and_keeps_links():
@@ -376,7 +379,7 @@ def test_tree_join_prunes_and_keeps_links():
             for _ in range(r.randint(0, 6)):
                 s.discard(r.choice(base))
                 s.add(r.randrange(1 << 60))
-            sets.append(np.sort(shingles.mix(np.array(list(s), np.uint64))))
+            sets.append(np.sort(shingles.mix(np.array(list(s | set(range(40))), np.uint64))))  # a passage that all share
     stats = {}
     found = ngram_join.tree_join(sets, 90, stats)
     want = brute_classes(list(range(len(sets))), [set(s.tolist()) for s in sets])
