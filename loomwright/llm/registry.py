@@ -96,5 +96,30 @@ def queries():
     return {f.__name__: f for f in every}
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+first AS (SELECT body, min(page_id) AS page FROM p WHERE strlen(body) >= 100 GROUP BY body)
+SELECT p.page_id, strlen(p.body) AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN first.page IS NULL OR first.page = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(first.page, p.page_id) AS refers_to
+FROM p LEFT JOIN first ON first.body = p.body"""
+
+URL_SQL = """
+WITH raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+parts AS (SELECT page_id,
+  translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM raw),
+canon AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':\\d*$', ''), '^(www|m)\\.', '')
+  || regexp_replace(regexp_replace(path, '(/index)?\\.html?$', ''), '/+$', '') END AS c FROM parts),
+listed AS (SELECT c FROM canon WHERE c IS NOT NULL GROUP BY c HAVING count(*) > 1),
+rules(verdict, rhost, rpath) AS (VALUES {rules}),
+fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(r.verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT canon.page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN listed.c IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  listed.c IS NOT NULL AS listed
+FROM canon LEFT JOIN fit ON fit.page_id = canon.page_id LEFT JOIN listed ON listed.c = canon.c"""
+
+
 def oracle_sql():
-    return {}
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL.replace("{rules}", rules)}

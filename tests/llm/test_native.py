@@ -167,3 +167,11 @@ def test_bloom_has_no_false_negatives(spark):
     got = urls.maybe(probe, "k", urls.bloom(keys, "k", 1 << 10, 8), "hit", 1 << 10, 8)
     n = {r.known: (r.n, r.hits) for r in got.groupBy((F.col("k").cast("int") < 3000).alias("known")).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits")).collect()}
     assert n[True] == (3000, 3000) and n[False][1] < 60
+
+
+def test_sql_of_the_queries(spark, sf_dir):
+    from tests.compare import connection, differences
+
+    con, queries = connection(sf_dir), registry.queries()
+    for name, sql in registry.oracle_sql().items():
+        assert differences(queries[name](spark, sf_dir), con, sql) == "", name
