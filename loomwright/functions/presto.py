@@ -1,4 +1,4 @@
-"""Scalar functions with the semantics of the reference's first dialect.
+"""Scalar functions of the first dialect.
 
 Where Spark's function of the same name agrees, it is used as it is; the definitions below differ
 from Spark in nulls, NaN, overflow, bounds or result type. Nothing here leaves the JVM except
@@ -179,26 +179,22 @@ def bit_count(x, bits: int = 64) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(~fits, F.raise_error(F.lit("number needs more bits"))).otherwise(F.bit_count(x.bitwiseAND(_mask(bits)))).cast("bigint")
 
 
-def _shifted(name: str, x: Column, s) -> Column:
-    return F.call_function(name, x, s)
-
-
 def bitwise_left_shift(x, s) -> Column:
     """x moved left; by 64 or more, 0."""
     x, s = col(x).cast("bigint"), col(s).cast("int")
-    return F.when(s >= 64, F.lit(0).cast("bigint")).otherwise(_shifted("shiftleft", x, s))
+    return F.when(s >= 64, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", x, s))
 
 
 def bitwise_right_shift(x, s) -> Column:
     """x moved right, zeros coming in; by 64 or more, 0."""
     x, s = col(x).cast("bigint"), col(s).cast("int")
-    return F.when(s >= 64, F.lit(0).cast("bigint")).otherwise(_shifted("shiftrightunsigned", x, s))
+    return F.when(s >= 64, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftrightunsigned", x, s))
 
 
 def bitwise_right_shift_arithmetic(x, s) -> Column:
     """x moved right, the sign coming in; by 64 or more, 0 or -1."""
     x, s = col(x).cast("bigint"), col(s).cast("int")
-    return F.when(s >= 64, F.when(x < 0, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")).otherwise(_shifted("shiftright", x, s))
+    return F.when(s >= 64, F.when(x < 0, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")).otherwise(F.call_function("shiftright", x, s))
 
 
 bitwise_arithmetic_shift_right = bitwise_right_shift_arithmetic
@@ -541,8 +537,5 @@ def json_array_contains(j, value) -> Column:
 
     j = col(j)
     items = F.from_json(F.concat(F.lit('{"a":'), j, F.lit("}")), "a array<string>", {"mode": "PERMISSIVE"})["a"]
-    if isinstance(value, str):
-        hit = F.rlike(j, F.lit(r'[\[,]\s*' + _quoted(json.dumps(value)) + r"\s*[,\]]"))
-    else:
-        hit = F.rlike(j, F.lit(r"[\[,]\s*" + _quoted(json.dumps(value)) + r"\s*[,\]]"))
+    hit = F.rlike(j, F.lit(r"[\[,]\s*" + _quoted(json.dumps(value)) + r"\s*[,\]]"))
     return F.when(F.rlike(j, F.lit(r"^\s*\[")) & items.isNotNull(), hit)

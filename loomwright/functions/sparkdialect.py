@@ -1,4 +1,4 @@
-"""The reference's second dialect, which is Spark's own; only what current Spark changed is defined anew."""
+"""The second dialect, which is Spark's own; only what current Spark changed is defined anew."""
 
 from __future__ import annotations
 
