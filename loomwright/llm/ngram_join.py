@@ -43,7 +43,7 @@ from .urls import bloom, maybe
 
 BITS = 1024
 #: Shingles of a block of a component, keys of a packed batch.
-BLOCK_SHINGLES, BATCH_KEYS = 4_000_000, 1 << 20
+BLOCK_SHINGLES, BATCH_KEYS = 2_000_000, 1 << 20
 LEAF, FANOUT = 4, 8
 #: A shingle counts as shared from so many sets of a batch; so many shared ones are told to all tasks (400 kB).
 SHARED, FREQUENT = 8, 50_000
@@ -211,11 +211,11 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
     """Sets connected over links: the sets of each prefix group by a dual traversal of their signature tree."""
     found = UnionFind(len(sets))
     maps: dict[int, int] = {}
-    failed: set[tuple[int, int]] = set()
+    failed: set[int] = set()
 
     def test(i: int, j: int) -> None:
         i, j = min(i, j), max(i, j)
-        if found.find(i) == found.find(j) or (i, j) in failed:
+        if found.find(i) == found.find(j) or i * len(sets) + j in failed:
             return
         for k in (i, j):
             if k not in maps:
@@ -228,8 +228,8 @@ def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None)
             if linked(sets[i], sets[j], threshold):
                 found.join(i, j)
                 return
-        if len(failed) < 2_000_000:  # a memory of failures saves time, no more
-            failed.add((i, j))
+        if len(failed) < 500_000:  # a memory of failures saves time, no more
+            failed.add(i * len(sets) + j)
 
     for group in prefix_groups(sets, threshold):
         if len(group) <= 2 * LEAF:
@@ -447,12 +447,13 @@ def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) ->
     def solve(table: pa.Table) -> pa.Table:
         column = table.column("_text").combine_chunks()
         column = column if isinstance(column, pa.Array) else column.chunk(0)
-        sets, keep, seen = [], [], {}
-        for node, s in zip(table.column("node").to_pylist(), shingle_sets(column, shingle)):
-            if len(s) and node == set_digest(s) and node not in seen:  # repeated keys may bring other texts
-                seen[node] = len(sets)
-                sets.append(s)
-                keep.append(node)
+        sets, keep, seen, nodes = [], [], set(), table.column("node").to_pylist()
+        for lo, hi in slices(column):
+            for node, s in zip(nodes[lo:hi], shingle_sets(column.slice(lo, hi - lo), shingle)):
+                if len(s) and node == set_digest(s) and node not in seen:  # repeated keys may bring other texts
+                    seen.add(node)
+                    sets.append(s)
+                    keep.append(node)
         found = tree_join(sets, threshold)
         roots = [keep[found.find(i)] for i in range(len(keep))]
         return pa.table({"node": pa.array(keep, pa.int64()), "root": pa.array(roots, pa.int64())})
