@@ -510,7 +510,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     names = by_part.applyInArrow(_names(parts, length, k), "bucket int, part int, names binary, counts binary")
     again = names.groupBy("bucket").applyInArrow(_repeated_names(hot), "part int, names binary, hot binary")
     records = by_part.cogroup(again.groupBy("part")).applyInArrow(_records(parts, length, k), "bucket int, part int, head binary, counts binary, body binary")
-    solved = records.groupBy("bucket").applyInArrow(_solve(length), "part int, spans binary")
+    # packed rows look small: without a number of its own, this step would get few tasks
+    solved = records.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_solve(length), "part int, spans binary")
     result = by_part.cogroup(solved.groupBy("part")).applyInArrow(_finish(length), "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     rows = docs.select(F.col(key), F.octet_length(raw).cast("long").alias("n_bytes"), d1.alias("_d1"), d2.alias("_d2"))
     return rows.join(result, (F.col("_d1") == F.col("d1")) & (F.col("_d2") == F.col("d2")), "left").select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
