@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from ._util import carried, count_words, materialize, restored, small
 
 #: Rows of a source that make one shard, on average.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
