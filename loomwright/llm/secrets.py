@@ -1,8 +1,12 @@
 """Secret scans: patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns find assignments, access keys and long hex runs. The battery looks at every other token of
-20 or more characters of the kinds keys are written in. Its encoding is inferred, as the smallest of
-decimal, hex, base32, base62 and base64 that holds its characters. Then it is tested for being drawn
+the characters keys are written in, at any length. '=' stands only at a token's end, so the value of
+NAME=value is a token of its own. A run is judged whole, where one alphabet holds it, and in the parts
+between its separators ('+' and '/', '-' and '_', or all four), so that a key behind a path or a prefix
+is judged without them; of discoveries that overlap, the one least like words stands. A token's
+encoding is inferred, as the smallest of decimal, hex, base32, base62 and base64 that holds its
+characters. Then it is tested for being drawn
 uniformly from that alphabet: chi-squared over the alphabet, a Wald-Wolfowitz runs test about the
 median symbol, and lag-one serial correlation of symbol values. Fisher's method combines the three;
 a token that they reject at 0.1 % isn't random.
@@ -19,9 +23,11 @@ that repeat give equal results; empty tables give empty results; `redact` keeps
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +41,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A run is matched whole or not at all, so a lower bound in the pattern drops the short ones.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: What lies between a run's separators, by the separators that cut; padding stays with the last part.
+PARTS = (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), re.compile(r"[^+/_-]+"))
 #: Alphabets by name, in order of size. Fixed values.
 ALPHABETS = (
     ("decimal", "0123456789"),
@@ -54,6 +62,9 @@ LETTERS = {
 REJECT, FALSE_SHARE = 0.001, 0.01
 
 
+_SETS = tuple((name, frozenset(chars)) for name, chars in ALPHABETS)
+
+
 @functools.lru_cache(maxsize=8)
 def _index(name: str) -> dict[str, int]:
     return {c: i for i, c in enumerate(dict(ALPHABETS)[name])}
@@ -65,7 +76,7 @@ def encoding_of(token: str) -> tuple[str, str] | None:
     if len(token) - len(core) > 2:
         return None
     have = set(core)
-    return next(((name, core) for name, chars in ALPHABETS if have <= set(chars)), None)
+    return next(((name, core) for name, chars in _SETS if have <= chars), None)
 
 
 def chi2_sf(x: float, df: float) -> float:
@@ -131,7 +142,7 @@ def serial(values: list[int], size: int) -> float:
 def battery(token: str) -> float:
     """Fisher's combination of the three tests; 0 where no encoding fits."""
     found = encoding_of(token)
-    if not found or len(found[1]) < 8:
+    if not found or len(found[1]) < 2:
         return 0.0
     index = _index(found[0])
     values = [index[c] for c in found[1]]
@@ -145,38 +156,114 @@ FOLLOWS = tuple(
     for row in ((0.85, 0.06, 0.03, 0.06), (0.80, 0.12, 0.04, 0.04), (0.10, 0.05, 0.75, 0.10), (0.60, 0.25, 0.10, 0.05))
 )
 _SHARES = {c: math.log(v / sum(LETTERS.values())) for c, v in LETTERS.items()}
+_SYMBOLS = sorted(set("".join(chars for _, chars in ALPHABETS)))
+
+
+def _kind(c: str, capitals: bool) -> int:
+    return (1 - c.isupper() if capitals else int(c.isupper())) if c.isalpha() else 2 if c.isdigit() else 3
+
+
+def _drawn(c: str) -> float:
+    return _SHARES[c.lower()] if c.isalpha() else -math.log(10) if c.isdigit() else -math.log(4)
+
+
+#: ln of the chances of a first symbol as words and as capitals; and of each symbol after another, also as repeating or stepping, and whether it is a sign.
+_FIRST = {c: tuple(FOLLOWS[0][_kind(c, up)] + _drawn(c) for up in (False, True)) for c in _SYMBOLS}
+_NEXT = {
+    b + c: (
+        *(FOLLOWS[_kind(b, up)][_kind(c, up)] + _drawn(c) for up in (False, True)),
+        math.log(0.5 / 2) if abs(ord(c) - ord(b)) <= 1 else -math.log(2) - math.log(64), _kind(c, False) == 3,
+    )
+    for b in _SYMBOLS for c in _SYMBOLS
+}
+
+
+def _likelihoods(token: str) -> tuple[float, float, float] | None:
+    """ln of a token's likelihood as words, as symbols in order, and as uniform draws; None for numbers and where no encoding fits."""
+    found = encoding_of(token)
+    if not found or not found[1] or found[1].isdigit():
+        return None
+    name, core = found
+    (text, capitals), order = _FIRST[core[0]], -math.log(64)
+    for pair in map(operator.add, core, core[1:]):
+        t, u, o, sign = _NEXT[pair]
+        text, capitals, order = text + t, capitals + u, order + o
+        if sign:
+            text = capitals = max(text, capitals) - math.log(2)
+    return max(text, capitals), order, -len(core) * math.log(len(_index(name)))
 
 
 def language_p(token: str) -> float:
     """A bound of the probability that written language or counting gives a token this random.
 
     The language models: words and names, letters by their shares and kinds of characters following
-    each other as they do in identifiers and slugs; and symbols that repeat or step by one. The one
-    that explains the token best counts. Numbers aren't keys.
+    each other as they do in identifiers and slugs; the same in capitals, and from a sign on either
+    case may go on; and symbols that repeat or step by one. The one that explains the token best
+    counts. Numbers aren't keys.
     """
-    found = encoding_of(token)
-    if not found or found[1].isdigit():
-        return 1.0
-    name, core = found
-    uniform = -len(core) * math.log(len(_index(name)))
-    text, before = 0.0, 0
-    for c in core:
-        kind = 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
-        text += FOLLOWS[before][kind] + (_SHARES[c.lower()] if kind < 2 else -math.log(10) if kind == 2 else -math.log(4))
-        before = kind
-    step = math.log(0.5 / 2)
-    order = sum(step if abs(ord(y) - ord(x)) <= 1 else -math.log(2) - math.log(64) for x, y in zip(core, core[1:])) - math.log(64)
-    return min(1.0, math.exp(min(0.0, max(text, order) + math.log(2) - uniform)))
+    found = _likelihoods(token)
+    return min(1.0, math.exp(min(0.0, max(found[:2]) + math.log(3) - found[2]))) if found else 1.0
+
+
+def _judge(run: str) -> tuple[tuple[int, int, float], ...]:
+    """(start, end, bound under language) of the whole run, where an alphabet holds it, and of its maximal parts."""
+    if run.isalnum():
+        return ((0, len(run), language_p(run)),)
+    spans = {(m.start(), m.end()) for cut in PARTS for m in cut.finditer(run)}
+    if encoding_of(run):
+        spans.add((0, len(run)))
+    return tuple((s, e, language_p(run[s:e])) for s, e in sorted(spans))
+
+
+#: Words come again and again; long runs don't, and aren't kept.
+_judge_word = functools.lru_cache(maxsize=1 << 16)(_judge)
+
+
+def _select(found: list[tuple[float, int, int, str]], n: int, total: int, share: float) -> list[tuple[int, int]]:
+    """Spans discovered among n tokens of a total length, of which found are the (bound, start, end, token) with a bound below 1."""
+    scored = sorted((min(1.0, p * total / n / len(t)), s, e, t) for p, s, e, t in found)
+    cut = max((i + 1 for i, x in enumerate(scored) if x[0] <= share * (i + 1) / n), default=0)
+    starts: list[int] = []
+    ends: list[int] = []
+    against = {t: words - uniform for *_, t in scored[:cut] for words, _, uniform in [_likelihoods(t)]}
+    for _, s, e, t in sorted(scored[:cut], key=lambda x: (against[x[3]], x[1], x[2])):
+        i = bisect.bisect_left(starts, e)
+        if (i == 0 or ends[i - 1] <= s) and battery(t) >= REJECT:
+            starts.insert(i, s)
+            ends.insert(i, e)
+    return list(zip(starts, ends))
 
 
 def discoveries(tokens: list[tuple[int, int, str]], share: float = FALSE_SHARE) -> list[tuple[int, int]]:
     """Spans of the tokens of one text that are random beyond language, at the given false-discovery rate."""
-    if not tokens:
-        return []
-    mean = sum(len(t) for _, _, t in tokens) / len(tokens)
-    scored = sorted((min(1.0, language_p(t) * mean / len(t)), s, e, t) for s, e, t in tokens)
-    cut = max((i + 1 for i, x in enumerate(scored) if x[0] <= share * (i + 1) / len(scored)), default=0)
-    return sorted((s, e) for _, s, e, t in scored[:cut] if battery(t) >= REJECT)
+    scored = [(language_p(t), s, e, t) for s, e, t in tokens]
+    return _select([x for x in scored if x[0] < 1], len(tokens), sum(len(t) for _, _, t in tokens), share)
+
+
+def _random(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans discovered among the text's tokens that no pattern's span overlaps."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    n = total = 0
+    found = []
+    for m in RUN.finditer(text):
+        run, at = m.group(), m.start()
+        for s, e, p in _judge_word(run) if len(run) <= 64 else _judge(run):
+            if starts:
+                i = bisect.bisect_left(starts, at + e)
+                if i and ends[i - 1] > at + s:
+                    continue
+            n += 1
+            total += e - s
+            if p < 1:
+                found.append((p, at + s, at + e, run[s:e]))
+    return _select(found, n, total, FALSE_SHARE)
 
 
 def scan(text: str | None) -> list[tuple[int, str, int]]:
@@ -190,9 +277,7 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
-    tokens = [x for x in tokens if all(x[1] <= s or x[0] >= e for s, _, e in base)]
-    out = sorted(base + [(s, 3, e) for s, e in discoveries(tokens)])
+    out = sorted(base + [(s, 3, e) for s, e in _random(text, base)])
     return [(s, KINDS[k], e) for s, k, e in out]
 
 

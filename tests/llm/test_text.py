@@ -261,6 +261,37 @@ def test_battery_tells_random_from_language():
         assert not one(t)
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize(
+    "before, alphabet, length, after",
+    [
+        ("STRIPE_KEY=", BASE62, 40, ""), ("AWS_SECRET_ACCESS_KEY=", BASE62 + "+/", 40, ""), ("export api_key_live=", BASE62, 40, ""),
+        ("https://b.example.com/a-b/file_1.txt?Expires=1700000000&Signature=", BASE62 + "+/", 43, "="),
+        ("https://files.example.com/my-folder/shared_items/", BASE62, 40, ""), ("https://example.com/v1/team-a/", BASE62 + "-_", 43, "/raw"),
+        ("id ", "0123456789abcdef", 18, ""), ("key: ", BASE62, 19, ""),  # a bound, which 19 symbols pass in most texts only
+    ],
+)
+def test_random_values_behind_names_and_paths(before, alphabet, length, after):
+    r = random.Random(7)
+    whole = 0
+    for _ in range(50):
+        value = "".join(r.choices(alphabet, k=length))
+        text = f"The settings follow below: {before}{value}{after} and nothing else of note is stored in this file."
+        at = text.index(value)
+        spans = [(s, e) for s, k, e in secrets.scan(text) if k == "random"]
+        whole += any(s <= at + 1 and e >= at + length - 1 and e - s <= length + 2 for s, e in spans)
+        assert all(e > at - 2 and s < at + length + 2 for s, e in spans)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert whole >= (25 if length == 19 else 40)
+
+
+def test_names_and_words_are_no_keys():
+    names = "AWS_SECRET_ACCESS_KEY=\nSTRIPE_KEY= MAX_RETRY_COUNT=100 path/to/some-file_name.txt SHA256 UTF-8 IMPORTANT SECTION x86_64 2024-01-15T10:30:00Z"
+    assert secrets.scan(names) == [] and secrets.scan("-_-_-_ ---- ==== /// +++ a=b c==d") == []
+
+
 def test_random_test_p_values():
     r = random.Random(5)
     for test in (secrets.uniformity, secrets.runs, secrets.serial):
