@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters that part words: space and U+0009 to U+000D. Fixed values.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Most tasks of a step, as a multiple of the session's shuffle partitions.
+TASKS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine gets a temporary folder; on a cluster, whose machines
+    share no such folder, it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/loomwright-checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -43,10 +51,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def partitions_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Partitions so that each gets about bytes_each of df's estimated size; never fewer than the session's."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(df.sparkSession), min(1 << 20, -(-size // bytes_each)))
+def measured_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a column's texts, counted in one pass that reads nothing else."""
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")).cast("long"))).first()[0] or 0
+
+
+def parts_for(size: int, spark: SparkSession, bytes_each: int = 8 << 20) -> int:
+    """Parts so that each gets about bytes_each of a measured size; never fewer than the session's partitions."""
+    return max(shuffle_partitions(spark), min(1 << 20, -(-size // bytes_each)))
+
+
+def tasks_for(parts: int, spark: SparkSession) -> int:
+    """Tasks for so many parts: one each, up to TASKS times the session's partitions; a task takes its parts one by one."""
+    return min(parts, TASKS * shuffle_partitions(spark))
 
 
 def let(value: Column, body) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._util import partitions_for
+#: Hash buckets of a shard, in whose order slots run. Part of the contract: slots never depend on sizes or settings.
+BUCKETS = 4096
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -45,7 +46,6 @@ def shard_documents(
     """
     grown = list(grown) if grown is not None else [*weights, max(weights)]
     raw = F.coalesce(F.col(text), F.lit(""))
-    buckets = min(4096, max(64, 4 * partitions_for(docs)))
     stable = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))).otherwise(F.xxhash64(raw, F.lit("no key")))
     rows = docs.select(
         F.col(key).alias("_k"),
@@ -53,7 +53,7 @@ def shard_documents(
         F.crc32(raw.cast("binary")).cast("long").alias("text_crc32"),
         rendezvous(stable, weights).alias("shard"),
         rendezvous(stable, grown).alias("grown_shard"),
-        F.pmod(stable, F.lit(buckets)).cast("int").alias("_b"),
+        F.pmod(stable, F.lit(BUCKETS)).cast("int").alias("_b"),
     )
     totals = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("n"))
     before = totals.select(  # at most shards x 4096 rows
