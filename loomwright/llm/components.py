@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """edges (a, b) of longs, a <> b, to (node, root): root is the least of its component and no row says so of itself."""
+    """edges (a, b) of longs, or of structs that can be ordered, a <> b, to (node, root): root is the least of its component and no row says so of itself."""
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     sums = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = sums(now)

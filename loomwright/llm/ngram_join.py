@@ -3,27 +3,34 @@
 Two texts link when their sets of 3-word shingles have 100 |A & B| >= threshold |A | B|. The
 operator gives each row its class, connected over links.
 
-1. Sets are digested; equal sets are one node from then on, however many copies there are.
-2. Sizes are put into classes so wide that linked sets are in the same class or in neighbours. In the
-   group of a class and the next, linked sets differ in at most D shingles, so if D + 1 parts of the
+1. Sets are digested in two lanes, 128 bits; equal sets are one node from then on, however many copies
+   there are.
+2. Sizes are put into bands so wide that linked sets are in the same band or in neighbours. In the
+   group of a band and the next, linked sets differ in at most D shingles, so if D + 1 parts of the
    hash range hold something, one of them is equal: each set sends one key per part. Parts are first
    cut from its rare shingles alone, as passages that many texts share say little; which shingles are
    frequent is counted beforehand and only steers the work. A set with too many empty parts also sends
    the parts of another cut, of all its shingles, and so on, so that two linked sets always share a
-   key of shingles. Keys travel in packed blocks, 12 bytes each.
+   key of shingles. Keys travel in packed blocks, 12 bytes each; sets that share a key within a packed
+   batch are tied there, and one of them is sent.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
    then by star contraction over the cluster.
-4. A coarse component's texts are fetched past a Bloom filter of fixed size, and joined exactly. Linked
-   sets share one of the shingles that are rarest within the component (a prefix of each set); the sets
-   that share one are joined by a signature tree: nodes hold the OR and the AND of their sets' token bitmaps and their size range; a
-   dual traversal drops pairs of nodes whose sizes can't match, whose greatest possible overlap is too
-   small, or whose sets are all connected already; pairs of sets that remain are intersected. A
-   component too large for one task is dealt into blocks, and every pair of blocks is a task, so no
-   group is ever held whole.
+4. A coarse component's texts are fetched past a Bloom filter of fixed size and joined exactly by a
+   signature tree. Its leaves are sets with their token bitmaps; a node holds the OR and the AND of
+   its leaves' bitmaps and their size range. A dual traversal from the root drops pairs of nodes whose
+   sizes can't match, whose greatest possible overlap is too small, or whose sets are all connected
+   already; pairs of leaves that remain are intersected, and a link has to hold in both lanes.
+5. A coarse component too large for one task is dealt into blocks by band and hash, each of which is
+   joined alone. Representatives of the blocks' largest classes are joined next, until one task holds
+   them. Then all but the sets of the component's largest class are joined with every block that
+   their band allows, which is exact: whatever is left out is in one class already. Work is near to
+   linear where most of a component is one class; where it isn't, it grows with the product of the
+   component and what is outside of its largest class.
 
 Defined results: null or blank texts have no shingles and are alone; one or two words are one shingle;
-rows that repeat are in one class; a null id is no class's smallest id, unless no row has another;
-empty tables give empty results; other columns aren't read.
+texts and words of any length are taken whole; rows that repeat are in one class; a null id is no
+class's smallest id, unless no row has another; empty tables give empty results; other columns, whatever
+their names, aren't read, and `keep_one` keeps them.
 """
 
 from __future__ import annotations
@@ -36,15 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import carried, materialize, partitions_for, restored
+from ._util import carried, materialize, parts_for, restored
 from .components import connected_components
 from .shingles import U, mix, set_digest, shingle_sets, slices
 from .urls import bloom, maybe
 
-BITS = 1024
 #: Shingles of a block of a component, keys of a packed batch.
 BLOCK_SHINGLES, BATCH_KEYS = 2_000_000, 1 << 20
-LEAF, FANOUT = 4, 8
+#: Children of a tree's node, pairs of nodes looked at together, and bits of a token bitmap: 64 times the mean size, within these.
+FANOUT, PAIRS, BITS = 8, 2048, (512, 1 << 15)
+#: Orders by a least hash in which neighbours are compared before the tree is built.
+ORDERS = 4
+#: Sets that stand for a block's largest class.
+REPRESENTATIVES = 8
 #: A shingle counts as shared from so many sets of a batch; so many shared ones are told to all tasks (400 kB).
 SHARED, FREQUENT = 8, 50_000
 
@@ -129,43 +140,6 @@ class UnionFind:
             self.up[max(i, j)] = min(i, j)
 
 
-class Node:
-    """A subtree: its sets' places, OR and AND of their bitmaps, and their size range."""
-
-    __slots__ = ("kids", "places", "any", "all", "low", "high")
-
-    def __init__(self, kids, places, any_, all_, low, high):
-        self.kids, self.places, self.any, self.all, self.low, self.high = kids, places, any_, all_, low, high
-
-
-def bitmap(s: np.ndarray) -> int:
-    """Token bitmap of a set as one integer."""
-    on = np.zeros(BITS, bool)
-    on[(s % U(BITS)).astype(np.int64)] = True
-    return int.from_bytes(np.packbits(on).tobytes(), "big")
-
-
-def build_tree(sets: list[np.ndarray], order: list[int], maps: dict[int, int]) -> Node:
-    level = []
-    for at in range(0, len(order), LEAF):
-        group = order[at : at + LEAF]
-        any_, all_ = 0, -1
-        for i in group:
-            any_, all_ = any_ | maps[i], all_ & maps[i]
-        sizes = [len(sets[i]) for i in group]
-        level.append(Node(None, group, any_, all_, min(sizes), max(sizes)))
-    while len(level) > 1:
-        above = []
-        for at in range(0, len(level), FANOUT):
-            kids = level[at : at + FANOUT]
-            any_, all_ = 0, -1
-            for n in kids:
-                any_, all_ = any_ | n.any, all_ & n.all
-            above.append(Node(kids, [i for n in kids for i in n.places], any_, all_, min(n.low for n in kids), max(n.high for n in kids)))
-        level = above
-    return level[0]
-
-
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return False
@@ -174,138 +148,179 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def may_link(x: Node, y: Node, t: int) -> bool:
-    """Whether some pair of the nodes could link, by sizes and by the most that they can have in common."""
-    if 100 * x.high < t * y.low or 100 * y.high < t * x.low:
-        return False
-    # a bit that all of one node's sets have and none of the other's is a token not in common
-    most = min(x.high - (x.all & ~y.any).bit_count(), y.high - (y.all & ~x.any).bit_count())
-    return (100 + t) * most >= t * (x.low + y.low)
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Token bitmaps of sets, a row of 64-bit words each."""
+    out = np.empty((len(sets), bits // 64), U)
+    for at in range(0, len(sets), 512):
+        part = sets[at : at + 512]
+        on = np.zeros((len(part), bits), bool)
+        rows = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        on[rows, (np.concatenate(part) & U(bits - 1)).astype(np.int64)] = True
+        out[at : at + len(part)] = np.packbits(on, axis=1).view(U)
+    return out
 
 
-def prefix_groups(sets: list[np.ndarray], threshold: int) -> list[list[int]]:
-    """Sets that share a shingle of their prefixes, for each such shingle.
+class SignatureTree:
+    """Levels of nodes over sets in an order; level 0 are the sets, and a node holds FANOUT of the level below.
 
-    With shingles ordered from rare to frequent, linked sets have one of the first
-    n - ceil(threshold n / 100) + 1 shingles of each in common.
+    A level has the OR and the AND of its nodes' bitmaps, their least and greatest sizes, and the most
+    tokens of a set that share a bit with another of its tokens.
     """
-    size = np.array([len(s) for s in sets])
-    if not size.sum():
-        return []
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.argsort(np.argsort(times, kind="stable"), kind="stable")[back]
-    order = np.lexsort((rank, owner))
-    begin = np.cumsum(size) - size
-    place = np.arange(len(owner)) - begin[owner]  # owners ascend, so places are within each set
-    prefix = size - -(-threshold * size // 100) + 1
-    kept = order[place < prefix[owner]]
-    kept = kept[times[back[kept]] > 1]
-    by = kept[np.argsort(back[kept], kind="stable")]
-    cut = np.flatnonzero(back[by][1:] != back[by][:-1]) + 1
-    groups = {tuple(g.tolist()) for g in np.split(owner[by], cut) if len(g) > 1}
-    return [sorted(g) for g in sorted(groups, key=lambda g: (-len(g), g))]
-
-
-def tree_join(sets: list[np.ndarray], threshold: int, stats: dict | None = None) -> UnionFind:
-    """Sets connected over links: the sets of each prefix group by a dual traversal of their signature tree."""
-    found = UnionFind(len(sets))
-    maps: dict[int, int] = {}
-    failed: set[int] = set()
+
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        slack = size - np.bitwise_count(maps).sum(1).astype(np.int64)
+        self.levels = [(maps, maps, size, size, slack)]
+        while len(self.levels[-1][2]) > 1:
+            any_, all_, low, high, slack = self.levels[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.levels.append(
+                (np.bitwise_or.reduceat(any_, at), np.bitwise_and.reduceat(all_, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at))
+            )
+
+    def may_link(self, level: int, x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
+        """Whether some sets of the nodes x and y could link, by sizes and by the most that they can have in common."""
+        any_, all_, low, high, slack = self.levels[level]
+        ok = (100 * high[x] >= t * low[y]) & (100 * high[y] >= t * low[x])
+        i = np.flatnonzero(ok)
+        x, y = x[i], y[i]
+        count = lambda m: np.bitwise_count(m).sum(1).astype(np.int64)
+        ax, ay = any_[x], any_[y]
+        # bits of a set that the other node lacks hold a token each; so do bits that all its sets have
+        most = np.minimum(np.minimum(high[x], high[y]), count(ax & ay) + np.minimum(slack[x], slack[y]))
+        most = np.minimum(most, np.minimum(high[x] - count(all_[x] & ~ay), high[y] - count(all_[y] & ~ax)))
+        ok[i] = (100 + t) * most >= t * (low[x] + low[y])
+        return ok
+
+    def children(self, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the nodes' children, of a node with itself each pair once."""
+        n = len(self.levels[level - 1][2])
+        step = np.arange(FANOUT)
+        a = np.repeat(x[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
+        b = np.tile(y[:, None] * FANOUT + step, (1, FANOUT)).ravel()
+        same = np.repeat(x == y, FANOUT * FANOUT)
+        ok = (a < n) & (b < n) & (~same | (a < b if level == 1 else a <= b))
+        return a[ok], b[ok]
+
+
+class Labels:
+    """Components of sets, each set's label at hand as an array; the smaller component takes the other's label."""
+
+    def __init__(self, start: list[int]):
+        self.of = np.array(start, np.int64)
+        self.members: dict[int, list[int]] = {}
+        for i, r in enumerate(start):
+            self.members.setdefault(r, []).append(i)
+
+    def join(self, i: int, j: int) -> None:
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(b)
+        self.of[moved] = a
+        self.members[a] += moved
+
+    def roots(self) -> list[int]:
+        """For each set the first of its component."""
+        first = {r: min(m) for r, m in self.members.items()}
+        return [first[r] for r in self.of.tolist()]
+
+
+def tree_join(
+    sets: list[np.ndarray], threshold: int, second: list[np.ndarray] | None = None, start: list[int] | None = None, stats: dict | None = None
+) -> list[int]:
+    """For each set the first of its component over links, by a dual traversal of the sets' signature tree.
+
+    second: the sets in the other lane, in which a link has to hold too. start: labels of components that
+    are known already. stats gets the node pairs visited and pruned, and the pairs of sets intersected.
+    """
+    n = len(sets)
+    labels = Labels(list(range(n)) if start is None else start)
+    stats = {} if stats is None else stats
+    stats["trees"] = stats.get("trees", 0) + (n > 1)
+    if n < 2:
+        return labels.roots()
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, begin = np.concatenate(sets), np.cumsum(size) - size
 
     def test(i: int, j: int) -> None:
-        i, j = min(i, j), max(i, j)
-        if found.find(i) == found.find(j) or i * len(sets) + j in failed:
+        if labels.of[i] == labels.of[j]:
             return
-        for k in (i, j):
-            if k not in maps:
-                maps[k] = bitmap(sets[k])
-        a, b = len(sets[i]), len(sets[j])
-        most = min(a - (maps[i] & ~maps[j]).bit_count(), b - (maps[j] & ~maps[i]).bit_count())
-        if (100 + threshold) * most >= threshold * (a + b):
-            if stats is not None:
-                stats["checked"] = stats.get("checked", 0) + 1
-            if linked(sets[i], sets[j], threshold):
-                found.join(i, j)
-                return
-        if len(failed) < 500_000:  # a memory of failures saves time, no more
-            failed.add(i * len(sets) + j)
-
-    for group in prefix_groups(sets, threshold):
-        if len(group) <= 2 * LEAF:
-            for x, i in enumerate(group):
-                for j in group[x + 1 :]:
-                    test(i, j)
-        else:
-            _traverse(sets, group, threshold, found, maps, test)
-    return found
-
-
-def _traverse(sets, group: list[int], threshold: int, found: UnionFind, maps: dict[int, int], test) -> None:
-    near = sorted(group, key=lambda i: (len(sets[i]), sets[i][:8].tolist()))
-    for i, j in zip(near, near[1:]):
-        test(i, j)
-    # sets that hang together already stand together, so that whole nodes drop out
-    weight: dict[int, int] = {}
-    for i in group:
-        weight[found.find(i)] = weight.get(found.find(i), 0) + 1
-    if len(weight) == 1:
-        return
-    for i in group:
-        if i not in maps:
-            maps[i] = bitmap(sets[i])
-    order = sorted(group, key=lambda i: (-weight[found.find(i)], found.find(i), len(sets[i])))
-    root = build_tree(sets, order, maps)
-
-    def one(n: Node) -> int | None:
-        r = found.find(n.places[0])
-        return r if all(found.find(i) == r for i in n.places) else None
-
-    stack = [(root, root)]
+        stats["checked"] = stats.get("checked", 0) + 1
+        if linked(sets[i], sets[j], threshold) and (second is None or linked(second[i], second[j], threshold)):
+            labels.join(i, j)
+
+    least = size
+    for seed in range(ORDERS):  # sets that agree in a least hash are likely links
+        least = np.minimum.reduceat(mix(flat ^ U((seed + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)), begin)
+        order = np.lexsort((size, least))
+        near = np.flatnonzero(least[order][1:] == least[order][:-1])
+        for i, j in zip(order[near].tolist(), order[near + 1].tolist()):
+            test(i, j)
+    # components stand together, the largest first, so that whole nodes drop out
+    weight = np.bincount(labels.of, minlength=n)[labels.of]
+    order = np.lexsort((least, size, labels.of, -weight))
+    bits = BITS[0]
+    while bits < BITS[1] and bits < 64 * len(flat) // n and n * bits < 1 << 30:
+        bits *= 2
+    tree = SignatureTree(bitmaps([sets[i] for i in order.tolist()], bits), size[order])
+    top = len(tree.levels) - 1
+    zero = np.zeros(1, np.int64)
+    stack = [(top, zero, zero)]
     while stack:
-        x, y = stack.pop()
-        if not may_link(x, y, threshold):
+        level, x, y = stack.pop()
+        if len(x) > PAIRS:
+            stack += [(level, x[at : at + PAIRS], y[at : at + PAIRS]) for at in range(0, len(x), PAIRS)]
             continue
-        r = one(x)
-        if r is not None and (x is y or r == one(y)):
-            continue
-        if x.kids is None and y.kids is None:
-            for i in x.places:
-                for j in y.places:
-                    if x is not y or i < j:
-                        test(i, j)
-        elif x is y:
-            kids = x.kids
-            stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
-        elif y.kids is None or (x.kids is not None and len(x.places) >= len(y.places)):
-            stack += [(k, y) for k in x.kids]
-        else:
-            stack += [(x, k) for k in y.kids]
-
-
-def _digests(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """_id, h (the text's hash), n and digest (null where the set is empty) of each row, kind 0.
+        stats["visited"] = stats.get("visited", 0) + len(x)
+        width = FANOUT**level
+        own = labels.of[order]
+        low, high = (f.reduceat(own, np.arange(0, n, width)) for f in (np.minimum, np.maximum))
+        open_ = (low[x] != low[y]) | (low[x] != high[x]) | (low[y] != high[y])
+        stats["connected"] = stats.get("connected", 0) + int((~open_).sum())
+        x, y = x[open_], y[open_]
+        ok = tree.may_link(level, x, y, threshold)
+        stats["pruned"] = stats.get("pruned", 0) + int((~ok).sum())
+        x, y = x[ok], y[ok]
+        if level == 0:
+            for i, j in zip(order[x].tolist(), order[y].tolist()):
+                test(i, j)
+        elif len(x):
+            stack.append((level - 1, *tree.children(level, x, y)))
+    return labels.roots()
+
+
+def _digests(docs: DataFrame, key: str, text: str, k: int, threshold: int) -> DataFrame:
+    """_id, h (the text's hash), n, d1, d2 and band (the last three null where the set is empty) of each row, kind 0.
 
     Rows of kind 1 hold shingles (h) that distinct sets of a batch share, and in how many of them (n).
     """
-    schema = pa.schema([("kind", pa.int32()), ("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(threshold)
         for b in batches:
             for lo, hi in slices(b.column(2), 4 << 20):
-                sets = list(shingle_sets(b.column(2).slice(lo, hi - lo), k))
-                n = pa.array([len(s) for s in sets], pa.int64())
-                digests = [set_digest(s) if len(s) else None for s in sets]
-                zero = pa.array(np.zeros(hi - lo, np.int32))
-                yield pa.RecordBatch.from_arrays([zero, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, pa.array(digests, pa.int64())], schema=schema)
-                distinct = [s for d, s in dict(zip(digests, sets)).items() if d is not None]
-                u, times = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.empty(0, U), np.empty(0, np.int64))
+                n, digests, bands, distinct = [], [], [], {}
+                for s, other in shingle_sets(b.column(2).slice(lo, hi - lo), k, 2):
+                    n.append(len(s))
+                    digests.append((set_digest(s), set_digest(other)) if len(s) else (None, None))
+                    bands.append(classes.of(len(s)) if len(s) else None)
+                    if len(s):
+                        distinct[digests[-1]] = s
+                d1, d2 = (pa.array([d[j] for d in digests], pa.int64()) for j in (0, 1))
+                kind = pa.array(np.zeros(hi - lo, np.int32))
+                yield pa.RecordBatch.from_arrays([kind, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), d1, d2, pa.array(bands, pa.int32())], schema=schema)
+                u, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.empty(0, U), np.empty(0, np.int64))
                 u, times = u[times >= SHARED], times[times >= SHARED]
                 none = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), none, pa.array(u.view(np.int64)), pa.array(times), none], schema=schema)
+                kind = pa.array(np.ones(len(u), np.int32))
+                yield pa.RecordBatch.from_arrays([kind, none, pa.array(u.view(np.int64)), pa.array(times), none, none, pa.nulls(len(u), pa.int32())], schema=schema)
 
     string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, "kind int, _id long, h long, n long, digest long")
+    ddl = "kind int, _id long, h long, n long, d1 long, d2 long, band int"
+    return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, ddl)
 
 
 def _frequent(found: DataFrame) -> np.ndarray:
@@ -318,30 +333,47 @@ def _frequent(found: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(bucket, block) rows: a block has as many 4-byte keys as 8-byte digests. Equal sets of a batch send once."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+    """(bucket, block, ties) rows: a block has as many 4-byte keys as 8-byte digests, of a batch's sets.
+
+    Equal sets of a batch send once. Sets of a batch that share a key are tied to each other there (ties:
+    pairs of digests), and the first alone sends that key, so that a frequent key costs an entry a batch.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("ties", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, held, ids, seen, total = Classes(threshold), [], [], set(), 0
 
         def done() -> pa.RecordBatch:
             keys = np.concatenate(held)
-            who = np.repeat(np.array(ids, np.int64), [len(h) for h in held])
-            bucket = (keys >> U(32)) * U(buckets) >> U(32)
-            order = np.argsort(bucket, kind="stable")
-            keys, who, bucket = (keys & U(0xFFFFFFFF)).astype("<u4")[order], who[order], bucket[order]
+            who = np.repeat(np.arange(len(ids)), [len(h) for h in held])
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+            same = np.flatnonzero(~fresh)
+            found, digest = UnionFind(len(ids)), np.array(ids, np.int64)
+            for i, j in np.unique(np.stack([who[same - 1], who[same]], 1), axis=0).tolist():
+                found.join(i, j)
+            root = np.array([found.find(i) for i in range(len(ids))])
+            tied = np.flatnonzero(root != np.arange(len(ids)))
+            pairs = np.stack([digest[root[tied]], digest[tied]], 1)
+            keys, who = keys[fresh], digest[who[fresh]]
+            bucket = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int32)  # keys ascend, and so do buckets
+            keys = (keys & U(0xFFFFFFFF)).astype("<u4")
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             last = [*first[1:].tolist(), len(keys)]
             blocks = [keys[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(first.tolist(), last)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary())], schema=schema)
+            share = -(-len(pairs) // len(blocks))  # ties ride along with the blocks
+            ties = [pairs[i * share : (i + 1) * share].tobytes() for i in range(len(blocks))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blocks, pa.binary()), pa.array(ties, pa.binary())], schema=schema)
 
         for b in batches:
             for lo, hi in slices(b.column(0)):
                 for s in shingle_sets(b.column(0).slice(lo, hi - lo), k):
                     if len(s):
                         d = set_digest(s)
-                        if d not in seen and len(keys := part_keys(s, classes, frequent)):
-                            seen.add(d)
+                        mark = d, len(s), int(s[0]), int(s[-1])  # another set with this digest sends as well
+                        if mark not in seen and len(keys := part_keys(s, classes, frequent)):
+                            seen.add(mark)
                             held.append(keys)
                             ids.append(d)
                             total += len(keys)
@@ -351,11 +383,11 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, freq
         if held:
             yield done()
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "bucket int, block binary")
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "bucket int, block binary, ties binary")
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Spanning stars (node, root) of one bucket's sets, connected where they share a key."""
+    """Spanning stars (node, root) of one bucket's sets, connected where they share a key or are tied."""
     keys, who = [], []
     for x in table.column("block").to_pylist():
         n = len(x) // 12
@@ -365,8 +397,9 @@ def _stars(table: pa.Table) -> pa.Table:
     order = np.argsort(keys, kind="stable")
     keys, who = keys[order], who[order]
     same = np.flatnonzero(keys[1:] == keys[:-1])
-    a, b = who[same], who[same + 1]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    pairs = [np.stack([who[same], who[same + 1]], 1), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("ties").to_pylist())]
+    pairs = np.concatenate(pairs)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
     nodes, flat = np.unique(pairs, return_inverse=True)
     found = UnionFind(len(nodes))
     for i, j in flat.reshape(-1, 2).tolist():
@@ -377,14 +410,17 @@ def _stars(table: pa.Table) -> pa.Table:
 
 
 def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
-    """_id, n, h (the text's hash) and class (null for empty sets) of each row."""
-    buckets = partitions_for(docs)
-    found = materialize(_digests(docs, key, text, shingle), "ngram-digests")
+    """_id, n, h (the text's hash) and class (of two digests; null for empty sets) of each row."""
+    found = materialize(_digests(docs, key, text, shingle, threshold), "ngram-digests")
     ids = found.where("kind = 0").drop("kind")
+    shingles = ids.agg(F.sum("n")).first()[0] or 0
+    buckets = parts_for(12 * shingles, docs.sparkSession)
     stars = _keys(docs, text, shingle, threshold, buckets, _frequent(found)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     coarse = materialize(connected_components(stars), "ngram-coarse")
     labels = materialize(_exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles), "ngram-labels")
-    return ids.join(labels, ids["digest"] == labels["node"], "left").select("_id", "n", "h", F.coalesce("root", "digest").alias("class"))
+    joined = ids.join(labels.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), "c1", "c2"), (F.col("d1") == F.col("_e1")) & (F.col("d2") == F.col("_e2")), "left")
+    own = F.when(F.col("d1").isNotNull(), F.struct(F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2")))
+    return joined.select("_id", "n", "h", own.alias("class"))
 
 
 def ngram_classes(
@@ -424,42 +460,132 @@ def keep_one(
     return restored(rest.unionAll(first), docs)
 
 
+def _solver(shingle: int, threshold: int):
+    """Joins a task's texts; (d1, d2, c1, c2) rows name each set's class by one of its sets.
+
+    c1, c2 of the input, where not null, name classes known before; rows of one set may repeat.
+    """
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+
+    def solve(table: pa.Table) -> pa.Table:
+        column = table.column("_text").combine_chunks()
+        column = column if isinstance(column, pa.Array) else column.chunk(0)
+        names = list(zip(*(table.column(c).to_pylist() for c in ("d1", "d2", "c1", "c2"))))
+        one, two, keep, start, seen, known = [], [], [], [], set(), {}
+        for lo, hi in slices(column):
+            for (d1, d2, c1, c2), (s, other) in zip(names[lo:hi], shingle_sets(column.slice(lo, hi - lo), shingle, 2)):
+                # repeated keys may bring other texts
+                if len(s) and (d1, d2) not in seen and d1 == set_digest(s) and d2 == set_digest(other):
+                    seen.add((d1, d2))
+                    start.append(known.setdefault((d1, d2) if c1 is None else (c1, c2), len(keep)))
+                    one.append(s)
+                    two.append(other)
+                    keep.append((d1, d2))
+        roots = tree_join(one, threshold, two, start)
+        rows = [(*keep[i], *keep[r]) for i, r in enumerate(roots)]
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], schema=schema)
+
+    return solve
+
+
+SOLVED = "d1 long, d2 long, c1 long, c2 long"
+
+
 def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) -> DataFrame:
-    """(node, root) of exact classes, for the nodes of coarse components."""
+    """(d1, d2, c1, c2) of exact classes, for the sets of coarse components."""
     members = coarse.select("node", "root").union(coarse.select("root", "root")).distinct()
     # any row of a set will do: one place stands for each digest
-    reps = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("_id").alias("rep"), F.max("n").alias("n"))
-    nodes = members.join(reps, members["node"] == reps["digest"]).select("node", "root", "rep", "n")
-    nodes = materialize(nodes, "ngram-nodes")
-    sizes = nodes.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
-    sizes = materialize(sizes, "ngram-sizes")
-    split = sizes.where("blocks > 1").limit(1).count() > 0
-    dealt = nodes.join(sizes, nodes["root"] == sizes["_r"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("node", "root", "rep", "_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    dealt = dealt.select("node", "rep", F.struct("root", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j")).alias("task"))
-
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    reps = ids.where("d1 IS NOT NULL").groupBy("d1", "d2", "band", "n").agg(F.min("_id").alias("rep"))
+    nodes = materialize(members.join(reps, members["node"] == reps["d1"]).select("d1", "d2", "band", "n", "root", "rep"), "ngram-nodes")
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
+    large = materialize(nodes.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
+    split = large.limit(1).count() > 0
+
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     wanted = nodes.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("k"))
     probe = texts.withColumn("_k", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
     texts = maybe(probe, "_k", bloom(wanted, "k"), "_m").where("_m").select("_id", "_text")
-    rows = dealt.join(texts, F.col("rep").eqNullSafe(F.col("_id"))).select("node", "task.root", "task.i", "task.j", "_text")
+    solve, none = _solver(shingle, threshold), F.lit(None).cast("long")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        return some.join(texts, F.col("rep").eqNullSafe(F.col("_id"))).drop("_id", "rep")
 
-    def solve(table: pa.Table) -> pa.Table:
-        column = table.column("_text").combine_chunks()
-        column = column if isinstance(column, pa.Array) else column.chunk(0)
-        sets, keep, seen, nodes = [], [], set(), table.column("node").to_pylist()
-        for lo, hi in slices(column):
-            for node, s in zip(nodes[lo:hi], shingle_sets(column.slice(lo, hi - lo), shingle)):
-                if len(s) and node == set_digest(s) and node not in seen:  # repeated keys may bring other texts
-                    seen.add(node)
-                    sets.append(s)
-                    keep.append(node)
-        found = tree_join(sets, threshold)
-        roots = [keep[found.find(i)] for i in range(len(keep))]
-        return pa.table({"node": pa.array(keep, pa.int64()), "root": pa.array(roots, pa.int64())})
-
-    solved = rows.groupBy("root", "i", "j").applyInArrow(solve, "node long, root long")
     if not split:
-        return solved
-    edges = solved.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return connected_components(edges).select("node", "root")
+        return fetched(nodes).select("d1", "d2", "root", none.alias("c1"), none.alias("c2"), "_text").groupBy("root").applyInArrow(solve, SOLVED)
+
+    whole = fetched(nodes.join(large, nodes["root"] == large["_r"], "left_anti"))
+    whole = whole.select("d1", "d2", "root", none.alias("c1"), none.alias("c2"), "_text").groupBy("root").applyInArrow(solve, SOLVED)
+    return whole.unionByName(_blockwise(materialize(fetched(nodes.join(large, nodes["root"] == large["_r"], "left_semi")), "ngram-texts"), solve, block_shingles))
+
+
+def _blockwise(texts: DataFrame, solve, block_shingles: int) -> DataFrame:
+    """(d1, d2, c1, c2) for texts (d1, d2, band, n, root, _text) of components too large for a task; see step 5."""
+    none = F.lit(None).cast("long")
+    node = F.struct(F.col("d1"), F.col("d2"))
+    keyed = texts.select("root", "band", "d1", "d2", "n").distinct()
+
+    def dealt(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """rows (with by, n, d1, d2) with a block's number in its group and the number of blocks."""
+        total = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("_of")
+        sizes = materialize(rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(total), name)
+        on = [F.col(c) == F.col(f"_{c}") for c in by]
+        joined = rows.join(sizes, on).drop(*[f"_{c}" for c in by])
+        return joined.withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("_of")).cast("int"))
+
+    def edges_of(solved: DataFrame) -> DataFrame:
+        return solved.where("d1 <> c1 OR d2 <> c2").select(node.alias("a"), F.struct(F.col("c1").alias("d1"), F.col("c2").alias("d2")).alias("b"))
+
+    def joined_texts(some: DataFrame) -> DataFrame:
+        t = texts.select(F.col("d1").alias("_t1"), F.col("d2").alias("_t2"), "_text")
+        return some.join(t, (F.col("d1") == F.col("_t1")) & (F.col("d2") == F.col("_t2"))).drop("_t1", "_t2")
+
+    # every block alone
+    blocks = materialize(dealt(keyed, ["root", "band"], "ngram-bands"), "ngram-blocks")
+    task, by = blocks, ["root", "band", "block"]
+    edges, rest, count = None, True, None
+    while True:  # representatives, until a task holds those of a component or they don't get fewer
+        rows = joined_texts(task.withColumn("c1", none).withColumn("c2", none))
+        solved = materialize(rows.groupBy(*by).applyInArrow(solve, SOLVED), "ngram-solved")
+        edges = edges_of(solved) if edges is None else edges.unionByName(edges_of(solved))
+        if not rest:
+            break
+        s = solved.select(F.col("d1").alias("_s1"), F.col("d2").alias("_s2"), "c1", "c2")
+        named = task.join(s, (F.col("d1") == F.col("_s1")) & (F.col("d2") == F.col("_s2"))).drop("_s1", "_s2")
+        weight = named.groupBy(*by, "c1", "c2").agg(F.count(F.lit(1)).alias("w"))
+        best = weight.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(F.struct("w", "c1", "c2")).alias("best"), F.sum("w").alias("sets"))
+        inside = named.join(best, [F.col(c) == F.col(f"_{c}") for c in by]).where((F.col("c1") == F.col("best.c1")) & (F.col("c2") == F.col("best.c2")))
+        # some of the class by the order of their digests: a bounded number, found by partial aggregation
+        some = inside.groupBy("root", *by[1:]).agg(F.min(F.struct("d1", "d2", "n")).alias("x0"), F.max(F.struct("d1", "d2", "n")).alias("x1"), *[
+            F.min(F.struct(F.xxhash64("d1", F.lit(i)).alias("h"), "d1", "d2", "n")).alias(f"y{i}") for i in range(REPRESENTATIVES - 2)
+        ])
+        picked = F.array(*[F.struct(F.col(f"{c}.d1"), F.col(f"{c}.d2"), F.col(f"{c}.n")) for c in ["x0", "x1", *[f"y{i}" for i in range(REPRESENTATIVES - 2)]]])
+        chosen = some.select("root", F.explode(picked).alias("x")).select("root", "x.*").distinct()
+        task = materialize(dealt(chosen, ["root"], "ngram-levels"), "ngram-representatives")
+        by = ["root", "block"]
+        before, count = count, task.count()
+        rest = task.where("_of > 1").limit(1).count() > 0 and (before is None or 2 * count <= before)
+
+    # all but the largest class against every block that its band allows
+    classes = materialize(connected_components(edges), "ngram-classes")
+    c = classes.select(F.col("node.d1").alias("_n1"), F.col("node.d2").alias("_n2"), F.col("root.d1").alias("c1"), F.col("root.d2").alias("c2"))
+    named = blocks.join(c, (F.col("d1") == F.col("_n1")) & (F.col("d2") == F.col("_n2")), "left").drop("_n1", "_n2")
+    named = named.withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
+    named = materialize(named, "ngram-named")
+    weight = named.groupBy("root", "c1", "c2").agg(F.count(F.lit(1)).alias("w"))
+    best = weight.groupBy(F.col("root").alias("_root")).agg(F.max(F.struct("w", "c1", "c2")).alias("best"))
+    outside = named.join(best, F.col("root") == F.col("_root")).where((F.col("c1") != F.col("best.c1")) | (F.col("c2") != F.col("best.c2")))
+    outside = materialize(dealt(outside.select("root", "band", "d1", "d2", "n", "c1", "c2"), ["root", "band"], "ngram-outside-bands"), "ngram-outside")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    shape = lambda rows: rows.select("root", "band", F.col("_of")).distinct()
+    mine = shape(blocks).select(F.col("root").alias("_root"), F.col("band").alias("_band"), F.sequence(F.lit(0), F.col("_of") - 1).alias("_all"))
+    theirs = shape(outside).select(F.col("root").alias("_root"), F.col("band").alias("_band"), F.sequence(F.lit(0), F.col("_of") - 1).alias("_all"))
+    here = (F.col("root") == F.col("_root")) & (F.col("other") == F.col("_band"))
+    left = named.withColumn("other", near).join(theirs, here).withColumn("_j", F.explode("_all")).select(
+        "root", F.col("band").alias("b"), F.col("block").alias("i"), F.col("other").alias("o"), F.col("_j").alias("j"), "d1", "d2", "c1", "c2"
+    )
+    right = outside.withColumn("other", near).join(mine, here).withColumn("_i", F.explode("_all")).select(
+        "root", F.col("other").alias("b"), F.col("_i").alias("i"), F.col("band").alias("o"), F.col("block").alias("j"), "d1", "d2", "c1", "c2"
+    )
+    cross = joined_texts(left.unionByName(right)).groupBy("root", "b", "i", "o", "j").applyInArrow(solve, SOLVED)
+    last = materialize(connected_components(edges_of(cross).unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))), "ngram-last")
+    return last.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), F.col("root.d1").alias("c1"), F.col("root.d2").alias("c2"))

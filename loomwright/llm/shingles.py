@@ -1,9 +1,9 @@
 """Word shingles of many texts at once, over bytes in numpy.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D, with A to Z lower-cased. A word's
-hash is its polynomial in a fixed odd base modulo 2**64, taken out of running sums, then mixed; a
-shingle's hash chains the mixed hashes of its words. Two different shingles of a corpus share a hash
-with a chance of about n * n / 2**65.
+hash chains its eight-byte characters, each step a bijection of the 64-bit state that mixes every
+bit; words over LONG bytes go to xxHash. A shingle's hash chains the hashes of its words. A second
+lane is the same with constants of its own, so that what agrees in both agrees in 128 bits.
 """
 
 from __future__ import annotations
@@ -12,26 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd multipliers of the lanes.
+LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of a word from which on it is hashed by one call.
+LONG = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_powers = {BASE: np.ones(1, U), INVERSE: np.ones(1, U)}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2**64, kept for the next call."""
-    p = _powers[base]
-    while len(p) < n:
-        p = np.concatenate([p, p * U(pow(base, len(p), 1 << 64))])
-    if len(p) <= 1 << 23:
-        _powers[base] = p
-    return p[:n]
+#: Masks that keep the first bytes of a little-endian character.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,47 +56,74 @@ def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for each text the place of its first word (one more at the end)."""
+def word_hashes(raw: np.ndarray, at: np.ndarray, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hash of every word in each lane, and for each text the place of its first word (one more at the end)."""
     n = len(raw)
     if not n:
-        return np.empty(0, U), np.zeros(len(at), np.int64)
+        return [np.empty(0, U)] * lanes, np.zeros(len(at), np.int64)
     word = ~_SPACE[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
-    begins, ends = word.copy(), word
+    begins = word.copy()
     begins[1:] &= ~word[:-1] | edge[1:-1]
     ends = word.copy()
     ends[:-1] &= ~word[1:] | edge[1:-1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum((_LOWER[raw].astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
-    h = (sums[e] - sums[s]) * powers(INVERSE, n)[s]
-    return mix(h + (e - s).astype(U) * U(0xD6E8FEB86659FD93)), np.searchsorted(s, at)
-
-
-def shingle_sets(column: pa.Array, k: int = 3) -> Iterator[np.ndarray]:
-    """For each text its distinct shingle hashes, sorted. Fewer words than k make one shingle of all."""
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    chars = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=low, strides=(1,))
+    length = e - s
+    out = [mix(length.astype(U) * U(LANES[j]) + U(j + 1)) for j in range(lanes)]
+    live = np.flatnonzero(length <= LONG)
+    pos, left = s[live], length[live]
+    while len(live):
+        c = chars[pos] & _FIRST[np.minimum(left, 8)]
+        for j in range(lanes):
+            out[j][live] = mix((out[j][live] ^ c) * U(LANES[j]))
+        on = left > 8
+        live, pos, left = live[on], pos[on] + 8, left[on] - 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        text = low[s[i] : e[i]].tobytes()
+        for j in range(lanes):
+            out[j][i] = xxhash.xxh3_64_intdigest(text, seed=LANES[j])
+    return out, np.searchsorted(s, at)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
+
+
+def shingle_sets(column: pa.Array, k: int = 3, lanes: int = 1) -> Iterator:
+    """For each text its distinct shingle hashes, sorted; a tuple of such, if more than one lane is asked for.
+
+    Fewer words than k make one shingle of all.
+    """
     raw, at = buffers(column)
-    h, first = word_hashes(raw, at)
-    chain = h.copy()
-    for i in range(1, k):
-        if len(h) > i:
-            chain = mix(chain[: len(h) - i] * U(BASE) + h[i:])
+    words, first = word_hashes(raw, at, lanes)
+    chains = []
+    for j, h in enumerate(words):
+        chain = h.copy()
+        for i in range(1, k):
+            if len(h) > i:
+                chain = mix(chain[: len(h) - i] * U(LANES[j]) + h[i:])
+        chains.append(chain)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= k:
-            x = np.sort(chain[a : b - k + 1])
-            yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
-        elif b > a:
-            x = np.array([b - a], U)
-            for i in range(a, b):
-                x = mix(x * U(INVERSE) + h[i : i + 1])
-            yield x
-        else:
-            yield np.empty(0, U)
+        sets = []
+        for j in range(lanes):
+            if b - a >= k:
+                sets.append(_distinct(chains[j][a : b - k + 1]))
+            elif b > a:
+                x = np.array([b - a], U)
+                for i in range(a, b):
+                    x = mix(x * U(LANES[j]) + words[j][i : i + 1])
+                sets.append(x)
+            else:
+                sets.append(np.empty(0, U))
+        yield sets[0] if lanes == 1 else tuple(sets)
 
 
 def set_digest(s: np.ndarray) -> int:
     """A signed 64-bit digest of a set of hashes."""
-    x = np.array([mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)], U) + np.array([len(s)], U) * U(INVERSE)
+    x = np.array([mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)], U) + np.array([len(s)], U) * U(LANES[0])
     return int(mix(x).view(np.int64)[0])

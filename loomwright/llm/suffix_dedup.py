@@ -35,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import partitions_for
-from .shingles import BASE, INVERSE, U, mix, powers
+from ._util import measured_bytes, parts_for, tasks_for
+from .shingles import U, mix
 
 GRAM, SHALLOW, SEGMENT = 48, 16, 1 << 20
 #: Occurrences from which a name is dealt further, and windows that then go together.
@@ -45,6 +45,21 @@ HOT, STEP = 5_000, 25
 WINDOWS = 150_000
 
 
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers = {BASE: np.ones(1, U), INVERSE: np.ones(1, U)}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2**64, kept for the next call."""
+    p = _powers[base]
+    while len(p) < n:
+        p = np.concatenate([p, p * U(pow(base, len(p), 1 << 64))])
+    if len(p) <= 1 << 23:
+        _powers[base] = p
+    return p[:n]
+
+
 # --- windows and their names ---------------------------------------------------------------------
 
 
@@ -502,7 +517,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """key, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin and end of each removed run, flat) for each row."""
     if length < 8:
         raise ValueError("length must be at least 8 bytes")
-    parts, k = partitions_for(docs, 4 << 20), min(GRAM, length)
+    spark, k = docs.sparkSession, min(GRAM, length)
+    parts = parts_for(measured_bytes(docs, text), spark, 4 << 20)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     d1, d2 = F.xxhash64(raw), F.xxhash64(F.lit("second"), raw)
     packed = docs.select(d1, d2, raw).mapInArrow(_pack_texts(parts), "part int, keys binary, sizes binary, texts binary")
@@ -511,7 +527,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     again = names.groupBy("bucket").applyInArrow(_repeated_names(hot), "part int, names binary, hot binary")
     records = by_part.cogroup(again.groupBy("part")).applyInArrow(_records(parts, length, k), "bucket int, part int, head binary, counts binary, body binary")
     # packed rows look small: without a number of its own, this step would get few tasks
-    solved = records.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_solve(length), "part int, spans binary")
+    solved = records.repartition(tasks_for(parts, spark), "bucket").groupBy("bucket").applyInArrow(_solve(length), "part int, spans binary")
     result = by_part.cogroup(solved.groupBy("part")).applyInArrow(_finish(length), "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     rows = docs.select(F.col(key), F.octet_length(raw).cast("long").alias("n_bytes"), d1.alias("_d1"), d2.alias("_d2"))
     return rows.join(result, (F.col("_d1") == F.col("d1")) & (F.col("_d2") == F.col("d2")), "left").select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -400,22 +400,79 @@ def test_linked_sets_share_a_key(threshold):
             assert set(ngram_join.part_keys(a, classes, frequent).tolist()) & set(ngram_join.part_keys(b, classes, frequent).tolist())
 
 
-def test_tree_join_prunes_and_keeps_links():
-    r = random.Random(3)
+def family_sets(r, families, shared):
+    """Families of near copies as sets of hashes, all with a passage in common."""
     sets = []
-    for _ in range(60):
+    for _ in range(families):
         base = r.sample(range(1 << 60), r.randint(20, 80))
         for _ in range(r.randint(1, 6)):
             s = set(base)
             for _ in range(r.randint(0, 6)):
                 s.discard(r.choice(base))
                 s.add(r.randrange(1 << 60))
-            sets.append(np.sort(shingles.mix(np.array(list(s | set(range(40))), np.uint64))))  # a passage that all share
+            sets.append(np.sort(shingles.mix(np.array(list(s | set(range(shared))), np.uint64))))
+    return sets
+
+
+@pytest.mark.parametrize("families, shared", [(60, 40), (400, 5), (1, 0)])
+def test_tree_join_prunes_and_keeps_links(families, shared):
+    sets = family_sets(random.Random(3), families, shared)
+    stats = {}
+    n = len(sets)
+    found = ngram_join.tree_join(sets, 90, stats=stats)
+    assert found == brute_classes(list(range(n)), [set(s.tolist()) for s in sets])
+    assert stats["trees"] == (n > 1) and stats.get("checked", 0) <= max(n * (n - 1) / 8, 3)
+    if families == 400:  # most pairs go as pairs of nodes, not one by one
+        assert stats["pruned"] > 1000 and stats["visited"] < n * n / 8 and stats["checked"] < 6 * n
+
+
+def test_tree_join_starts_from_known_classes():
+    sets = family_sets(random.Random(4), 50, 10)
+    whole = ngram_join.tree_join(sets, 90)
+    stats = {}
+    assert ngram_join.tree_join(sets, 90, start=whole, stats=stats) == whole
+    odd = [min(i, 1) * (i % 2) for i in range(len(sets))]  # even sets are one class, and so are odd ones
+    assert set(ngram_join.tree_join(sets, 90, start=odd)) <= {0, 1}
+    second = [shingles.mix(s + np.uint64(i)) for i, s in enumerate(sets)]  # the other lane disagrees everywhere
+    assert ngram_join.tree_join(sets, 90, [np.sort(x) for x in second]) == list(range(len(sets)))
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_as_polynomials_are_told_apart(spark):
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    texts = [f"{one} x y", f"{two} x y", f"{one} x y", one[:60], two[:60], "z" * 64, "z" * 65, "z" * 65 + " z" * 64, "Z" * 65]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df).collect()}
+    assert [got[i] for i in ids] == [0, 1, 0, 3, 4, 5, 6, 7, 6]
+    lanes = list(shingles.shingle_sets(pa.array(texts), 3, 2))
+    assert len({s.tobytes() for s, _ in lanes}) == len({o.tobytes() for _, o in lanes}) == 7
+
+
+def test_a_giant_group_of_near_copies_goes_block_by_block(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(i % 4):
+            words[r.randrange(60)] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[: 20 + i % 41] + [f"u{j}{i}" for j in range(60 - i % 41)]) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = brute_sets(texts)
+    want = Counter((i, len(s), c) for i, (s, c) in enumerate(zip(sets, brute_classes(list(range(len(texts))), sets))))
+    assert Counter(tuple(x) for x in ngram_join.ngram_classes(df, block_shingles=1000).collect()) == want
+
+
+def test_trees_join_the_table(spark, sf_dir):
+    sets = list({s.tobytes(): s for s in shingles.shingle_sets(pa.array([r.text for r in table(spark, sf_dir, "documents").select("text").collect()])) if len(s)}.values())
     stats = {}
-    found = ngram_join.tree_join(sets, 90, stats)
-    want = brute_classes(list(range(len(sets))), [set(s.tolist()) for s in sets])
-    assert [min(j for j in range(len(sets)) if found.find(j) == found.find(i)) for i in range(len(sets))] == want
-    assert stats.get("checked", 0) < len(sets) * (len(sets) - 1) / 8
+    ngram_join.tree_join(sets, 90, stats=stats)
+    assert stats["trees"] == 1 and stats["pruned"] > 100
 
 
 def test_components(spark):
