@@ -1,11 +1,14 @@
 """MPEG audio columns: write, resynchronise, parse and verify streams held in binary columns.
 
 `parse` walks a stream of unknown quality: an ID3v2 tag in front, ID3v1 behind, junk anywhere. A
-position counts as a frame only if its header is valid and another valid header of the same kind, or
-the end of the data, follows at the computed distance; else the search goes on one byte later and the
-skipped bytes are counted. The first frame's Xing, Info or VBRI table is read; checksums of protected
-frames (CRC-16, polynomial 0x8005, over the last header half and the side information of Layer III)
-are verified; the duration is exact, samples over rate; every frame's offset is kept for seeking.
+position counts as a frame only if its header is valid and another valid header of the same kind, an
+ID3v1 tag or the end of the data follows at the computed distance; else the search goes on one byte
+later and the skipped bytes are counted. An ID3v1 tag is looked for where frames end, never inside of
+one. The first frame's Xing, Info or VBRI table is read; checksums of protected frames (CRC-16,
+polynomial 0x8005, over the last header half and the side information of Layer III or the bit
+allocation of Layer I) are verified, and protected Layer II frames, whose checksum covers a part that
+takes decoding, are counted as unchecked; the duration is exact, samples over rate; every frame's
+offset is kept for seeking.
 
 `encode` stores a payload losslessly as MPEG-1 Layer III, mono, 48 kHz: a TXXX frame of an ID3v2.3
 tag holds the payload's length, an Info frame the frame and byte counts and the table of contents,
@@ -13,9 +16,11 @@ and protected frames of silence carry the payload behind their side information.
 have no padding; the last uses the lowest bitrate that holds the rest. `decode` takes the payload
 back out of the frames.
 
-Defined results: null content parses to a row of nulls and zeros; empty or frameless content has no
-frames and duration 0; broken checksums are counted, never fatal; rows that repeat give equal
-results; extra columns are carried by `parse_column` and clash with nothing, results being one struct.
+Defined results: null content parses to null, and a null text is stored as an empty one; empty or
+frameless content has no frames and duration 0; texts of any length and with any bytes, tag and header
+marks included, come back whole; broken checksums are counted, never fatal; rows that repeat give equal
+results, and nothing depends on order, so there are no ties; empty tables give empty results; extra
+columns are carried by `parse_column`, where a column of the result's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -115,47 +121,77 @@ def _table(data: bytes, at: int, h) -> dict | None:
             break
     else:
         v = at + 36
-        if data[v : v + 4] == b"VBRI" and len(data) >= v + 18:
-            size, frames = struct.unpack(">II", data[v + 10 : v + 18])
-            return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
-        return None
+        if data[v : v + 4] != b"VBRI" or len(data) < v + 18:
+            return None
+        size, frames = struct.unpack(">II", data[v + 10 : v + 18])
+        out = {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None, "seek": None}
+        if len(data) >= v + 26:
+            n, scale, width, each = struct.unpack(">HHHH", data[v + 18 : v + 26])
+            if n and each and 1 <= width <= 4 and len(data) >= v + 26 + n * width:
+                steps = [int.from_bytes(data[v + 26 + i * width : v + 26 + (i + 1) * width], "big") * scale for i in range(n)]
+                out["toc"] = data[v + 26 : v + 26 + n * width]
+                out["seek"] = list(accumulate(steps, initial=0))[:-1]
+        return out
     if len(data) < where + 8:
         return None
     flags, where = struct.unpack(">I", data[where + 4 : where + 8])[0], where + 8
-    out = {"kind": kind.decode(), "frames": None, "bytes": None, "toc": None}
+    out = {"kind": kind.decode(), "frames": None, "bytes": None, "toc": None, "seek": None}
     for bit, key in ((1, "frames"), (2, "bytes")):
         if flags & bit and len(data) >= where + 4:
             out[key], where = struct.unpack(">I", data[where : where + 4])[0], where + 4
     if flags & 4 and len(data) >= where + 100:
         out["toc"] = data[where : where + 100]
+        if out["bytes"]:
+            out["seek"] = [x * out["bytes"] // 256 for x in out["toc"]]
     return out
 
 
+def _id3v1(data: bytes, at: int) -> bool:
+    return at == len(data) - 128 and data[at : at + 3] == b"TAG"
+
+
+def _covered(data: bytes, at: int, h) -> bytes | None:
+    """What a protected frame's checksum covers, behind the header: Layer III's side information, Layer I's bit allocation."""
+    if h[1] == 3:
+        n = side_bytes(h[0], h[6])
+    elif h[1] == 1:  # four bits a subband and channel; from the bound on, joint channels share them
+        joint = data[at + 3] >> 6 == 1
+        n = 16 if h[6] == 1 else (32 + 4 * ((data[at + 3] >> 4 & 3) + 1)) // 2 if joint else 32
+    else:
+        return None
+    return data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]
+
+
 def parse(data: bytes | None) -> dict | None:
     """All that is known of a stream; offsets are of every frame, the table's own included."""
     if data is None:
         return None
     start, tags = read_tag(data)
-    stop = len(data) - 128 if len(data) - start >= 128 and data[-128:-125] == b"TAG" else len(data)
-    at, offsets, samples, lost, bad, checked, hertz, table, kind = start, [], 0, 0, 0, 0, None, None, None
+    stop = len(data)
+    at, offsets, samples, lost, bad, checked, unchecked, hertz, table, kind = start, [], 0, 0, 0, 0, 0, None, None, None
     while at + 4 <= stop:
         h = header(data[at : at + 4])
         ok = h is not None and h[3] >= 4 and at + h[3] <= stop and (kind is None or h[:3] == kind)
         if ok and at + h[3] + 4 <= stop and not (offsets and offsets[-1][1] == at):
             after = header(data[at + h[3] : at + h[3] + 4])  # a lone match may be chance
-            ok = after is not None and after[:3] == h[:3]
+            ok = after is not None and after[:3] == h[:3] or _id3v1(data, at + h[3])
         if not ok:
+            if _id3v1(data, at):
+                stop = at
+                break
             found = data.find(b"\xff", at + 1, stop)
             found = stop if found < 0 else found
+            if at < stop - 128 < found and _id3v1(data, stop - 128):
+                found = stop - 128
             lost, at = lost + found - at, found
             continue
         end = at + h[3]
         if not offsets:
             kind, hertz, table = h[:3], h[2], _table(data, at, h) if h[1] == 3 else None
-        if h[5] and h[1] == 3:
-            n = side_bytes(h[0], h[6])
-            checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]) != struct.unpack(">H", data[at + 4 : at + 6])[0]
+        if h[5]:
+            covered = _covered(data, at, h)
+            checked, unchecked = checked + (covered is not None), unchecked + (covered is None)
+            bad += covered is not None and crc16(covered) != struct.unpack(">H", data[at + 4 : at + 6])[0]
         if table is None or offsets:
             samples += h[4]
         offsets.append((at, end))
@@ -164,7 +200,7 @@ def parse(data: bytes | None) -> dict | None:
     return {
         "tags": tags, "tag_bytes": start, "table": table, "layer": kind[1] if kind else None, "hertz": hertz, "samples": samples,
         "duration_us": round(samples * 1_000_000 / hertz) if hertz else 0, "offsets": [a for a, _ in offsets], "lost_bytes": lost,
-        "crc_checked": checked, "crc_bad": bad, "stream_end": offsets[-1][1] if offsets else start,
+        "crc_checked": checked, "crc_bad": bad, "crc_unchecked": unchecked, "stream_end": offsets[-1][1] if offsets else start,
     }
 
 
@@ -227,22 +263,25 @@ def decode(data: bytes, info: dict | None = None) -> bytes:
 
 
 INFO = pa.struct([
-    ("tag_bytes", pa.int64()), ("table_kind", pa.string()), ("table_frames", pa.int64()), ("layer", pa.int32()), ("hertz", pa.int32()),
-    ("samples", pa.int64()), ("duration_us", pa.int64()), ("frame_offsets", pa.list_(pa.int64())), ("lost_bytes", pa.int64()),
-    ("crc_checked", pa.int64()), ("crc_bad", pa.int64()),
+    ("tag_bytes", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("table_kind", pa.string()), ("table_frames", pa.int64()),
+    ("table_bytes", pa.int64()), ("seek_table", pa.list_(pa.int64())), ("layer", pa.int32()), ("hertz", pa.int32()), ("samples", pa.int64()),
+    ("duration_us", pa.int64()), ("frame_offsets", pa.list_(pa.int64())), ("lost_bytes", pa.int64()), ("crc_checked", pa.int64()),
+    ("crc_bad", pa.int64()), ("crc_unchecked", pa.int64()),
 ])
 INFO_DDL = (
-    "struct<tag_bytes: bigint, table_kind: string, table_frames: bigint, layer: int, hertz: int, samples: bigint, duration_us: bigint,"
-    " frame_offsets: array<bigint>, lost_bytes: bigint, crc_checked: bigint, crc_bad: bigint>"
+    "struct<tag_bytes: bigint, tags: map<string, string>, table_kind: string, table_frames: bigint, table_bytes: bigint,"
+    " seek_table: array<bigint>, layer: int, hertz: int, samples: bigint, duration_us: bigint, frame_offsets: array<bigint>,"
+    " lost_bytes: bigint, crc_checked: bigint, crc_bad: bigint, crc_unchecked: bigint>"
 )
 
 
 def _as_row(info: dict | None) -> dict | None:
     if info is None:
         return None
-    out = {k: info[k] for k in ("tag_bytes", "layer", "hertz", "samples", "duration_us", "lost_bytes", "crc_checked", "crc_bad")}
+    out = {k: info[k] for k in ("tag_bytes", "layer", "hertz", "samples", "duration_us", "lost_bytes", "crc_checked", "crc_bad", "crc_unchecked")}
     t = info["table"] or {}
-    return out | {"table_kind": t.get("kind"), "table_frames": t.get("frames"), "frame_offsets": info["offsets"]}
+    out |= {"table_kind": t.get("kind"), "table_frames": t.get("frames"), "table_bytes": t.get("bytes"), "seek_table": t.get("seek")}
+    return out | {"tags": list(info["tags"].items()), "frame_offsets": info["offsets"]}
 
 
 def parse_column(df: DataFrame, content: str, out: str = "audio") -> DataFrame:

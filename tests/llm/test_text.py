@@ -115,7 +115,48 @@ def test_media_resynchronises_and_checks():
     assert media.parse(b"")["offsets"] == [] and media.parse(None) is None and media.parse(b"ID3")["lost_bytes"] == 3
     vbri = bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(32) + b"VBRI" + bytes(6) + struct.pack(">II", 999, 7)
     frame = vbri + bytes(417 - len(vbri))
-    assert media.parse(frame + bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(413))["table"] == {"kind": "VBRI", "frames": 7, "bytes": 999, "toc": None}
+    assert media.parse(frame + bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(413))["table"] == {"kind": "VBRI", "frames": 7, "bytes": 999, "toc": None, "seek": None}
+    frame = vbri + struct.pack(">HHHH3H", 3, 2, 2, 4, 100, 150, 200)
+    frame += bytes(417 - len(frame))
+    assert media.parse(frame + bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(413))["table"]["seek"] == [0, 200, 500]
+    toc = media.parse(stream)["table"]["seek"]
+    assert toc == sorted(toc) and toc[0] <= info["offsets"][1] - info["tag_bytes"] and toc[99] < len(stream)
+
+
+MARKS = [b"TAG", b"ID3\x03", b"Xing", b"Info", b"VBRI", b"\xff\xfb\x90\xc0", b"\xff\xfa\xe4\xc0", b"\xff\xfa\x14\xc0"]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_media_keeps_payloads_with_marks_at_any_place(mark):
+    r = random.Random(3)
+    for n in (64, 128, 448, 960, 1024, 1984, 4096):
+        places = range(0, n - len(mark) + 1) if n <= 1024 else sorted(r.sample(range(n - 8), 400) + list(range(n - 400, n - 8)))
+        for at in places:
+            payload = b"x" * at + mark + b"x" * (n - at - len(mark))
+            stored = media.encode(payload)
+            info = media.parse(stored)
+            assert media.decode(stored, info) == payload and info["lost_bytes"] == 0
+    stored = media.encode(mark * 2000)
+    assert media.decode(stored) == mark * 2000 and media.decode(stored + b"TAG" + bytes(125)) == mark * 2000
+
+
+def test_media_text_with_a_closing_tags_mark(spark):
+    df = spark.createDataFrame([(i, "x" * i + "TAG" + "x" * (445 - i)) for i in range(0, 446)], "doc_id long, text string")
+    got = {r.doc_id: r.payload_sha256 for r in media.store_texts(df).collect()}
+    assert all(got[i] == hashlib.sha256(("x" * i + "TAG" + "x" * (445 - i)).encode()).hexdigest() for i in range(446))
+
+
+def test_media_checks_layer_one():
+    word = bytes((0xFF, 0xFE, 0x44, 0xC0))  # MPEG-1 Layer I, protected, 128 kbit/s, 48 kHz, mono
+    size = media.header(word)[3]
+    body = bytes(range(16)) + bytes(size - 22)
+    frame = word + struct.pack(">H", media.crc16(word[2:] + body[:16])) + body
+    info = media.parse(frame * 3)
+    assert (info["crc_checked"], info["crc_bad"], info["crc_unchecked"], info["layer"]) == (3, 0, 0, 1)
+    assert media.parse(frame + frame[:8] + b"\xff" + frame[9:])["crc_bad"] == 1
+    two = bytes((0xFF, 0xFC, 0x44, 0xC0))
+    frame = two + bytes(media.header(two)[3] - 4)
+    assert media.parse(frame * 2)["crc_unchecked"] == 2
 
 
 def test_media_crc_is_the_standard_one():
@@ -126,6 +167,7 @@ def test_media_column(spark):
     df = spark.createDataFrame([(1, bytearray(media.encode(b"x" * 5000)), "a"), (2, None, "b"), (3, bytearray(b""), "c")], "id int, content binary, audio string")
     out = {r.id: r.audio for r in media.parse_column(df, "content").collect()}
     assert out[1].samples == 1152 * 6 and out[2] is None and out[3].frame_offsets == []
+    assert out[1].tags == {"TXXX:payload-bytes": "5000"} and out[1].table_kind == "Info" and len(out[1].seek_table) == 100 and out[1].table_bytes > 5000
 
 
 # --- WARC ----------------------------------------------------------------------------------------
