@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled thresholds (native).
 
 Each rule compares one non-negative measure of a text with a cutoff and rejects above it. Cutoffs
-are chosen per stratum from labelled holdouts: of a fixed grid, the lowest cutoff whose exact
-binomial bound certifies that at most `risk` of the good documents of that stratum are rejected by
-the rule. Risk and error probability are divided over the rules, and the error probability also
-over all strata and grid points (Bonferroni), so that with probability 1 - delta every stratum
-loses at most `risk` of its good documents over all rules together. A stratum with too few labels
-certifies no cutoff and keeps everything.
-
-Defined results: null or empty text has no words and fails the base rule; null strata form a
-stratum of their own; labels that are null, or of documents that don't exist, count for nothing; a
-document that is labelled twice counts once, good if any label says so; rows that repeat are judged
-row by row; empty tables give empty results; other columns pass through `filter_documents` and are
-never read.
+are chosen per stratum from labelled holdouts so that at most `risk` of the stratum's good documents
+are rejected, by all rules together, with probability 1 - delta over all strata, rules and cutoffs:
+
+- Rules come in a fixed order, each with its share of the error probability. A rule is tested together
+  with the cutoffs of the rules before it: what counts is the share of good documents that any of them
+  rejects, so the risk isn't divided.
+- A rule's cutoffs are tested from the loosest down, each with the exact binomial tail, and testing
+  stops at the first that can't be certified (fixed-sequence testing): the grid needs no correction.
+- Corrected for are the strata, and for later rules the grids that the cutoffs before them were chosen
+  from (Bonferroni).
+- Strata with fewer than `pool_below` good labels, or with none, are one stratum together: the bound
+  then holds for them together. Where even that is too small to certify a cutoff, all is kept that the
+  base rule keeps.
+
+Defined results: null or empty text has no words and fails the base rule; texts of any length are
+measured whole; null strata form a stratum of their own; a measure that ties with its cutoff is kept;
+labels that are null, or of documents that don't exist, count for nothing; a document that is labelled
+twice counts once, good if any label says so; rows that repeat are judged row by row; empty tables give
+empty results; other columns, whatever their names, pass through `filter_documents` and are never read.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ._util import SPACE_CLASS, let, materialize, small
 
 #: Measures that have a cutoff, and the grid that cutoffs come from: powers of 1.25 up to 1 or 100.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 GRID = 64
+#: The rules' shares of the error probability, in order; and the good labels from which a stratum stands alone.
+SHARES = (0.85, 0.05, 0.05, 0.05)
+POOL_BELOW = 1000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
 
@@ -35,7 +44,7 @@ WINDOW = 5
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words inside 5-word windows that occur at least twice.
 
-    Windows that are all distinct end there, by hashing. Else the windows are sorted with their
+    Windows whose hashes are all distinct end there. Else the windows themselves are sorted with their
     places, neighbours that are equal are marked, and the union of the marked windows is measured.
     """
 
@@ -57,14 +66,16 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
         return let(ranked, marked)
 
-    windows = let(
-        words,
-        lambda ws: F.transform(
-            F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.array_join(F.slice(ws, i, WINDOW), " ")
-        ),
+    places = F.sequence(F.lit(0), n - WINDOW)
+    hashes = let(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda h: F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)])),
     )
-    some = let(windows, lambda win: F.when(F.size(F.array_distinct(win)) < F.size(win), heavy(win)).otherwise(F.lit(0).cast("long")))
-    return F.when(n > WINDOW, some).otherwise(F.lit(0).cast("long"))
+    windows = let(words, lambda ws: F.transform(places, lambda i: F.array_join(F.slice(ws, i + 1, WINDOW), " ")))
+    none = F.lit(0).cast("long")
+    exact = let(windows, lambda win: F.when(F.size(F.array_distinct(win)) < F.size(win), heavy(win)).otherwise(none))
+    some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(n > WINDOW, F.when(some, exact).otherwise(none)).otherwise(none)
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -117,72 +128,91 @@ def _log_choose_term(n: Column, k: Column, r: float) -> Column:
     return lf(n) - lf(k) - lf(n - k) + k * math.log(r) + (n - k) * math.log1p(-r)
 
 
-def binomial_tail(n: Column, k: Column, r: float, terms: int = 4096) -> Column:
-    """An upper bound, exact up to rounding, of P(binomial(n, r) <= k).
+def binomial_tail(n: Column, k: Column, r: float) -> Column:
+    """P(binomial(n, r) <= k), exact up to rounding; 1 where k >= n r, which certifies nothing.
 
-    For k < n r the terms fall from k downwards. The first 4096 are added; past them the rest is
-    bounded by its geometric series, so the sum never comes out too small.
+    It is the regularised incomplete beta function I(1 - r; n - k, k + 1), by its continued fraction, which
+    ends after k + 1 steps and has settled after some multiple of the root of k.
     """
-    q = (1 - r) / r
-    acc = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(terms)).cast("int")),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("t")),
-        lambda a, i: F.struct(
-            (a["sum"] + a["t"]).alias("sum"),
-            (a["t"] * (k - i) / (n - k + i + 1) * F.lit(q)).alias("t"),
-        ),
-    )
-    ratio = (k - terms) / (n - k + terms + 1) * F.lit(q)
-    total = let(acc, lambda a: a["sum"] + F.when(k > terms, a["t"] / (F.lit(1.0) - ratio)).otherwise(F.lit(0.0)))
-    p = F.least(F.lit(1.0), F.exp(_log_choose_term(n, k, r)) * total)
-    return F.when(n <= 0, F.lit(1.0)).when(k >= n * F.lit(r), F.lit(1.0)).otherwise(p)
+    a, b, x = (n - k).cast("double"), (k + 1).cast("double"), 1 - r
+
+    def step(s: Column, i: Column) -> Column:
+        m = i.cast("double")
+
+        def half(s: Column, aa: Column) -> Column:
+            d = F.lit(1.0) / (aa * s["d"] + 1)
+            c = aa / s["c"] + 1
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+        even = m * (b - m) * F.lit(x) / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * F.lit(x) / ((a + 2 * m) * (a + 2 * m + 1))
+        return let(half(s, even), lambda t: half(t, odd))
+
+    d0 = F.lit(1.0) / (F.lit(1.0) - (a + b) * F.lit(x) / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    steps = F.least(k + 1, F.ceil(F.sqrt(b) * 12) + 60).cast("int")
+    cf = F.aggregate(F.sequence(F.lit(1), steps), start, step)["h"]
+    p = F.least(F.lit(1.0), F.exp(_log_choose_term(n, k, r)) * F.lit(r) * cf)
+    return F.when((n <= 0) | (k >= n * F.lit(r)), F.lit(1.0)).otherwise(p)
 
 
 def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """Certified cutoffs per stratum and rule from good documents' measures.
 
-    labelled: the holdout's good documents, with the base measures and the stratum. One row per
-    rule and document is counted into grid bins (map-side sums; a bounded number of groups per
-    stratum), tails are running sums over at most GRID + 1 rows, and the lowest certified cutoff
-    wins. Result: stratum, then cutoff_<rule>, null where nothing is certified.
+    labelled: the holdout's good documents, with the base measures and the stratum; their grid bins are
+    written down once. For each rule, documents are counted by bin (map-side sums; a bounded number of
+    groups per stratum) beside those that rules before it reject. Result: stratum, then cutoff_<rule>,
+    null where nothing is certified.
     """
-    r = risk / len(RULES)
-    values = _values()
-    long = labelled.select(
-        F.col(stratum).alias("stratum"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in values.items()])).alias("x"),
-    ).select("stratum", "x.rule", "x.bin")
-    counts = long.groupBy("stratum", "rule", "bin").agg(F.count("*").alias("c"))
-    per = counts.groupBy("stratum", "rule").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("by_bin"), F.sum("c").alias("n")
-    )
-    # each stratum has a row for each rule
-    n_strata = F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) / len(RULES)
-    grid = per.withColumn("n_strata", n_strata).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
-    # documents in bins above this one are those that the cutoff rejects
-    above = F.aggregate(
-        F.map_entries("by_bin"),
-        F.lit(0).cast("long"),
-        lambda a, e: a + F.when(e["key"] > F.col("bin"), e["value"]).otherwise(F.lit(0).cast("long")),
-    )
-    level = F.lit(delta / len(RULES) / (GRID + 1)) / F.col("n_strata")
-    ok = grid.withColumn("k", above).where(binomial_tail(F.col("n"), F.col("k"), r) <= level)
-    best = ok.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("rule") == k, F.pow(F.lit(1.25), F.col("bin") - F.lit(GRID)))).alias(f"cutoff_{k}") for k in RULES]
-    )
-    return best
-
-
-def _judged(m: DataFrame, labels: DataFrame, key: str, label: str, risk: float, delta: float) -> DataFrame:
+    bins = [F.col(f"b{i}") for i in range(len(RULES))]
+    hold = labelled.select(F.col(stratum).alias("stratum"), *[_bin(v).alias(f"b{i}") for i, v in enumerate(_values().values())])
+    hold = materialize(hold, "quality-holdout")
+    strata = hold.select("stratum").distinct().count()
+    cut = hold.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    level, done = delta / max(strata, 1), []
+    for i, share in enumerate(SHARES):
+        c = cut.withColumnRenamed("stratum", "_s")
+        c = F.broadcast(c) if strata <= 100_000 else c  # counted above
+        before = F.lit(False)
+        for j in done:
+            before = before | F.coalesce(F.col(f"b{j}") > F.col(f"c{j}"), F.lit(False))
+        rows = hold.join(c, F.col("stratum").eqNullSafe(F.col("_s")))
+        counts = rows.groupBy("stratum", "n", F.when(before, GRID + 2).otherwise(bins[i]).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+        per = counts.groupBy("stratum", "n").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("by_bin"))
+        grid = per.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
+        # documents in bins above this one are those that the cutoff, or a rule before, rejects
+        above = F.aggregate(
+            F.map_entries("by_bin"),
+            F.lit(0).cast("long"),
+            lambda a, e: a + F.when(e["key"] > F.col("bin"), e["value"]).otherwise(F.lit(0).cast("long")),
+        )
+        tested = grid.withColumn("fails", binomial_tail(F.col("n"), above, risk) > F.lit(level * share / (GRID + 1) ** i))
+        stop = F.coalesce(F.max(F.when(F.col("fails"), F.col("bin"))) + 1, F.lit(0))  # the last before the first failure
+        best = tested.groupBy(F.col("stratum").alias("_t")).agg(F.when(stop <= GRID, stop).alias(f"c{i}"))
+        done.append(i)
+        cut = cut.join(best, F.col("stratum").eqNullSafe(F.col("_t")), "left").drop("_t")
+        cut = materialize(cut, "quality-cutoffs")
+    return cut.select("stratum", *[F.pow(F.lit(1.25), F.col(f"c{i}") - F.lit(GRID)).alias(f"cutoff_{k}") for i, k in enumerate(RULES)])
+
+
+#: The name of the stratum that small strata form together; others' names begin with '=' or are 'null'.
+POOL = "pool"
+
+
+def _judged(m: DataFrame, labels: DataFrame, key: str, label: str, risk: float, delta: float, pool_below: int) -> DataFrame:
     """m, written once with its measures (and _key, _stratum), plus rejected_by."""
     m = materialize(m, "quality-measures")
-    good = labels.where(F.col(label) == 1).select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
-    holdout = m.where(~base_failed()).select("_key", "_stratum", *MEASURES).join(good, "_key", "left_semi")
-    cut = thresholds(holdout, "_stratum", risk=risk, delta=delta).withColumn("_s", _named("stratum")).drop("stratum")
+    good = labels.where(F.col(f"`{label}`") == 1).select(F.col(f"`{key}`").alias("_key")).where("_key IS NOT NULL").distinct()
+    holdout = m.where(~base_failed()).select("_key", _named("_stratum").alias("_s"), *MEASURES).join(good, "_key", "left_semi")
+    holdout = materialize(holdout, "quality-labelled")
+    alone = holdout.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pool_below)
+    alone = small(alone.select("_s", F.col("_s").alias("_pool")), "quality-strata")
+    pooled = lambda df: df.join(alone, "_s", "left").withColumn("_pool", F.coalesce("_pool", F.lit(POOL)))
+    cut = thresholds(pooled(holdout), "_pool", risk=risk, delta=delta).withColumnRenamed("stratum", "_pool")
     why = F.coalesce(*[F.when(v > F.col(f"cutoff_{k}"), F.lit(k)) for k, v in _values().items()])
     return (
-        m.withColumn("_s", _named("_stratum"))
-        .join(small(cut, "quality-cutoffs"), "_s", "left")
+        pooled(m.withColumn("_s", _named("_stratum")))
+        .join(small(cut, "quality-cutoffs"), "_pool", "left")
         .withColumn("rejected_by", F.when(base_failed(), F.lit("base")).otherwise(why))
     )
 
@@ -194,7 +224,7 @@ def _named(stratum: str) -> Column:
 
 def judge(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-    label: str = "quality", risk: float = 0.01, delta: float = 0.05,
+    label: str = "quality", risk: float = 0.01, delta: float = 0.05, pool_below: int = POOL_BELOW,
 ) -> DataFrame:
     """One row per row of docs: key, base measures, base_failed, rejected_by (first rule) and kept.
 
@@ -202,7 +232,7 @@ def judge(
     shuffled, to meet the labels.
     """
     m = measures(docs.select(F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text")), "_text")
-    out = _judged(m.drop("_text"), labels, key, label, risk, delta)
+    out = _judged(m.drop("_text"), labels, key, label, risk, delta, pool_below)
     return out.select(F.col("_key").alias(key), *MEASURES, base_failed().alias("base_failed"), "rejected_by").withColumn(
         "kept", F.col("rejected_by").isNull()
     )
@@ -210,7 +240,7 @@ def judge(
 
 def filter_documents(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-    label: str = "quality", risk: float = 0.01, delta: float = 0.05,
+    label: str = "quality", risk: float = 0.01, delta: float = 0.05, pool_below: int = POOL_BELOW,
 ) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
@@ -221,5 +251,5 @@ def filter_documents(
         F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"),
     )
-    out = _judged(measures(rows, "_text"), labels, key, label, risk, delta).where("rejected_by IS NULL")
+    out = _judged(measures(rows, "_text"), labels, key, label, risk, delta, pool_below).where("rejected_by IS NULL")
     return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -37,7 +37,7 @@ def test_measures_of_the_table(spark, sf_dir):
         assert tuple(r)[2:] == brute_measures(r.text), r.doc_id
 
 
-@pytest.mark.parametrize("n,k,r", [(1, 0, 0.5), (50, 3, 0.1), (4000, 2, 0.0025), (1000, 5, 0.01), (90000, 150, 0.0025), (3000000, 7200, 0.0025)])
+@pytest.mark.parametrize("n,k,r", [(1, 0, 0.5), (50, 3, 0.1), (4000, 2, 0.0025), (1000, 5, 0.01), (90000, 150, 0.0025), (3000000, 7200, 0.0025), (450, 4, 0.01), (100000, 990, 0.01), (2000000, 19900, 0.01)])
 def test_binomial_tail(spark, n, k, r):
     got = spark.range(1).select(quality.binomial_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), r)).first()[0]
     log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(r) + (n - i) * math.log1p(-r) for i in range(k + 1)]
@@ -58,6 +58,53 @@ def test_thresholds_reject_few_good_documents(spark):
     assert left.columns == df.columns and left.count() == 6020
 
 
+def binomial(n, k, r):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(r) + (n - i) * math.log1p(-r)) for i in range(k + 1))
+
+
+def brute_cutoffs(good, risk=0.01, delta=0.05, pool_below=1000):
+    """Cutoffs by stratum (others under None) of good documents' (stratum, values)."""
+    count = Counter(s for s, _ in good)
+    by = defaultdict(list)
+    for s, v in good:
+        by[s if count[s] >= pool_below else None].append(v)
+    out = {}
+    for s, docs in by.items():
+        cuts, gone = [], [False] * len(docs)
+        for i, share in enumerate(quality.SHARES):
+            best = math.inf
+            for j in range(quality.GRID, -1, -1):
+                c = 1.25 ** (j - quality.GRID)
+                k = sum(g or v[i] > c * (1 + 1e-12) for g, v in zip(gone, docs))
+                if k >= len(docs) * risk or binomial(len(docs), k, risk) > delta / len(by) * share / (quality.GRID + 1) ** i:
+                    break
+                best = c
+            cuts.append(best)
+            gone = [g or v[i] > best * (1 + 1e-12) for g, v in zip(gone, docs)]
+        out[s] = cuts
+    return out
+
+
+@pytest.mark.parametrize("pool_below", [1000, 50])
+def test_cutoffs_of_the_table_reject(spark, pool_below):
+    """The query's verdicts over a whole table, where cutoffs are certified for languages pooled."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    m = {r.doc_id: (r.lang, brute_measures(r.text)) for r in docs.collect()}
+    values = lambda n, ch, sy, du, rep: (sy / max(ch, 1), du / max(n, 1), rep / max(n, 1), ch / max(n, 1) / 100)
+    failed = {d: x[0] < 10 or 100 * x[4] > 20 * x[0] for d, (_, x) in m.items()}
+    cuts = brute_cutoffs([(s, values(*x)) for d, (s, x) in m.items() if d in good and not failed[d]], pool_below=pool_below)
+    want = {d: not failed[d] and not any(v > c * (1 + 1e-12) for v, c in zip(values(*x), cuts[s if s in cuts else None])) for d, (s, x) in m.items() if s in cuts or None in cuts}
+    got = {r.doc_id: r for r in (registry.op10_quality_rules(spark, sf) if pool_below == 1000 else quality.judge(docs, labels, pool_below=pool_below)).collect()}
+    assert {d: got[d].kept for d in want} == want and len(want) > 500
+    lost = sum(not got[d].kept for d in good if d in got and not failed[d])
+    assert lost <= 0.01 * len(good)
+    if pool_below == 1000:  # the rules reject what isn't good, by the symbols in it
+        bad = {r.doc_id for r in labels.where("quality = 0").collect()}
+        assert sum(got[d].rejected_by == "symbol_share" for d in bad if d in got and not failed[d]) >= 10
+
+
 def test_quality_of_awkward_and_empty(spark):
     labels = spark.createDataFrame([(0, 1), (None, 1), (3, None)], "doc_id long, quality int")
     out = {(r.doc_id, r.n_words): r.kept for r in quality.judge(documents(spark), labels).collect()}
