@@ -295,7 +295,7 @@ def test_secret_spans(spark, sf_dir):
 def test_battery_tells_random_from_language():
     r = random.Random(4)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    one = lambda t: bool(secrets.discoveries([(0, len(t), t)]))
+    one = lambda t: any(k == "random" for _, k, _ in secrets.scan(t))
     assert sum(one("".join(r.choices(chars, k=32))) for _ in range(200)) >= 190
     words = ["token", "value", "Return", "object", "Handler", "config", "und", "Größe"[:2], "leaux", "ment"]
     assert sum(one("".join(r.choices(words, k=8))) + one("-".join(r.choices(words, k=6))) for _ in range(300)) <= 3
@@ -303,6 +303,66 @@ def test_battery_tells_random_from_language():
         assert not one(t)
 
 
+def test_battery_decides_on_what_isnt_language():
+    """Neither words nor uniform: encoded text and cycles are unlike language, and the battery drops them."""
+    import base64
+
+    language, r = secrets.plain(), random.Random(8)
+    few = ["".join(r.choices("Zk7", k=60)) for _ in range(20)]
+    halves = ["".join(r.choices("ABCDEFGHIJKLMNOP", k=50) + r.choices("stuvwxyz0123456789", k=50)) for _ in range(20)]
+    cycles = ["Xq7Lp2Zm9Rb4" * 6, base64.b64encode(bytes(48) + b"\x01\x02").decode(), "9fQ" * 15]
+    for t in few + halves + cycles:
+        assert secrets.battery(t) < secrets.REJECT and secrets.judged(t, language)[0] == 1, t
+    assert sum(secrets.likeness(t, language)[0] < -10 for t in halves + cycles) >= 20
+
+
+def test_false_discoveries_are_controlled_over_the_table(spark):
+    """Keys planted among many names of the table's own language, found by one threshold for all texts."""
+    r = random.Random(21)
+    parts = ["request", "Handler", "config", "Value", "parse", "Index", "buffer", "Token", "stream", "Count"]
+    names = lambda k: " ".join("".join(r.choices(parts, k=3)) + str(r.randrange(10)) for _ in range(k))
+    keys = {}
+    rows_ = []
+    for i in range(600):
+        if i % 6 == 0:
+            alphabet, n = [(BASE62, 32), (BASE62 + "+/", 40), ("0123456789abcdef", 31), (BASE62 + "-_", 43)][i // 6 % 4]
+            keys[i] = "".join(r.choices(alphabet, k=n))
+        rows_.append((i, f"{names(10)} {keys.get(i, names(1))} {names(10)}", "x"))
+    df = spark.createDataFrame(rows_ + [(600, None, "x"), (601, "", "x"), (602, rows_[0][1], "x")], "doc_id long, text string, _found string")
+    out = {x.doc_id: x for x in secrets.scan_documents(df.repartition(3)).collect()}
+    got = {i: [(int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "random"] for i, r in out.items()}
+    found = sum(any(s >= rows_[i][1].index(k) - 1 and e <= rows_[i][1].index(k) + len(k) + 1 and e - s >= len(k) - 4 for s, e in got[i]) for i, k in keys.items())
+    false = sum(len(got[i]) for i in got if i not in keys and i != 602)
+    assert found >= 90 and false <= 3 and got[602] == got[0] and got[600] == got[601] == []
+    masked = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert sum(k[1:-1] not in masked[i] for i, k in keys.items()) >= 85 and masked[600] is None
+
+
+def test_step_up_is_that_of_benjamini_and_hochberg():
+    r = random.Random(2)
+    for _ in range(50):
+        n, k = 400, r.randrange(0, 30)
+        tokens = [(10 ** -r.uniform(3, 12) if i < k else r.random(), r.choice([12, 20, 40])) for i in range(n)]
+        total = sum(t for _, t in tokens)
+        least = secrets.step_up(Counter(secrets.bin_of(p, t) for p, t in tokens), n, total)
+        mine = sorted(p * total / n / t for p, t in tokens)
+        cut = max((i + 1 for i, x in enumerate(mine) if x <= 0.01 * (i + 1) / n), default=0)
+        got = sum(secrets.bin_of(p, t) >= least for p, t in tokens)
+        assert got <= cut and got >= cut - 3
+
+
+def test_language_is_fitted_to_the_table(spark):
+    texts = ["zqzqzq xjxjxj", None, "", "zq", "é zq-zq/zq"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs = Counter(p for t in texts for p in zip((t or "").encode(), (t or "").encode()[1:]))
+    raw = [(t or "").encode() for t in texts]
+    got = secrets.count_pairs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    n = len(secrets._SYMBOLS) + 1
+    assert got.sum() == sum(pairs.values()) and got[secrets._AT["z"] * n + secrets._AT["q"]] == pairs[ord("z"), ord("q")]
+    fitted, prior = secrets.fit(df), secrets.plain()
+    assert fitted.chance("zqzqzqzqzqzq") > prior.chance("zqzqzqzqzqzq") and fitted.next == secrets.fit(df.repartition(7)).next
+
+
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -312,7 +372,7 @@ BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
         ("STRIPE_KEY=", BASE62, 40, ""), ("AWS_SECRET_ACCESS_KEY=", BASE62 + "+/", 40, ""), ("export api_key_live=", BASE62, 40, ""),
         ("https://b.example.com/a-b/file_1.txt?Expires=1700000000&Signature=", BASE62 + "+/", 43, "="),
         ("https://files.example.com/my-folder/shared_items/", BASE62, 40, ""), ("https://example.com/v1/team-a/", BASE62 + "-_", 43, "/raw"),
-        ("id ", "0123456789abcdef", 18, ""), ("key: ", BASE62, 19, ""),  # a bound, which 19 symbols pass in most texts only
+        ("id ", "0123456789abcdef", 24, ""), ("key: ", BASE62, 19, ""),
     ],
 )
 def test_random_values_behind_names_and_paths(before, alphabet, length, after):
