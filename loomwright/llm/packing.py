@@ -2,20 +2,23 @@
 
 A partition is worked through in chunks of bounded token count, so that memory is bounded and nothing
 is shuffled. In a chunk, documents are cut into whole sequences first. The remainders are counted by
-length class (64 classes of equal width): a linear program over patterns, each a multiset of classes
+length class (CLASSES of equal width): a linear program over patterns, each a multiset of classes
 that fits a sequence, covers the counts with the fewest sequences. It is solved by column generation:
 a revised simplex keeps the basis inverse, its dual prices go to an unbounded-knapsack dynamic program,
-and the best pattern enters until none pays. Patterns are rounded down, filled with the documents in
-rank order (longest first, then by position), and what rounding leaves over is placed first-fit by
-decreasing length. Last, as documents may be cut freely, the emptiest sequences are taken apart and
-their pieces poured into the gaps of the others, so that a chunk ends with one sequence that isn't full.
+and the best pattern enters until none pays. Patterns are rounded down and filled with the documents in
+rank order (longest first, then by position); their documents stay whole. Only what no rounded pattern
+takes is cut: it goes whole into the patterns' gaps by best fit, and the rest is cut to fill them and
+then sequences of its own. Should gaps be left, in small chunks, the emptiest sequences are taken apart
+for them, so that a chunk ends with one sequence that isn't full.
 
 Defined results: a null or empty text is its end token alone; texts of any length are tokenized whole;
-rows that repeat are packed each; an empty table gives no pieces; other columns aren't read.
+rows that repeat are packed each; documents of equal length rank by position; a null key stays null; an
+empty table gives no pieces; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
@@ -163,12 +166,77 @@ def cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 2000) -> list
     return out
 
 
-def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document's position, start, length) pieces that hold all the documents' tokens once."""
-    unit = -(-capacity // CLASSES)
+Piece = tuple[int, int, int]
+
+
+class Ranked:
+    """Remainders by length, taken out one by one."""
+
+    def __init__(self, rest: list[Piece]):
+        self.pieces = sorted(rest, key=lambda p: (p[2], -p[0]))
+        self.size = [p[2] for p in self.pieces]
+        self.down = list(range(-1, len(self.pieces)))  # down[i + 1]: i if it is there, else a place below
+
+    def longest(self, below: int, least: int = 0) -> int:
+        """Place of the longest remainder of less than `below` tokens, and at least `least`, that is still there; -1 for none."""
+        i, down = bisect.bisect_left(self.size, below), self.down
+        while down[i] != i - 1:
+            if i and down[down[i] + 1] != down[i]:
+                down[i] = down[down[i] + 1]
+            i = down[i] + 1
+        return i - 1 if i and self.size[i - 1] >= least else -1
+
+    def take(self, i: int) -> Piece:
+        self.down[i + 1] = i - 1
+        return self.pieces[i]
+
+
+def _by_patterns(ranked: Ranked, capacity: int, classes: int) -> list[list[Piece]]:
+    """Sequences of whole remainders by the program's patterns, rounded down.
+
+    Each of a pattern's classes gives its longest remainder, or, once it is used up, the longest below;
+    the last is chosen among all remainders, to fit best, and so are more while any fits.
+    """
+    unit = -(-capacity // classes)
     units = capacity // unit
-    sequences: list[list[tuple[int, int, int]]] = []
-    rest: list[tuple[int, int, int]] = []
+    demand = np.bincount(np.minimum(units, -(-np.array(ranked.size) // unit)) - 1, minlength=units)
+    made = []
+    for pattern, times in sorted(cutting_stock(demand, units), key=lambda t: -t[1]):
+        items = [int(c) + 1 for c in np.flatnonzero(pattern)[::-1] for _ in range(pattern[c])]
+        for _ in range(int(times + 1e-9)):
+            took, room = [], capacity
+            for c in items[:-1]:
+                i = ranked.longest(min(c * unit, room) + 1)
+                if i >= 0:
+                    took.append(ranked.take(i))
+                    room -= took[-1][2]
+            while (i := ranked.longest(room + 1)) >= 0:
+                took.append(ranked.take(i))
+                room -= took[-1][2]
+            if took:
+                made.append(took)
+    return made
+
+
+def _best_fit(ranked: Ranked, capacity: int) -> list[list[Piece]]:
+    """Sequences of the remainders left over: the longest first, and then what fits best, until nothing does."""
+    made = []
+    while (i := ranked.longest(capacity + 1)) >= 0:
+        made.append([ranked.take(i)])
+        room = capacity - made[-1][0][2]
+        while (i := ranked.longest(room + 1)) >= 0:
+            made[-1].append(ranked.take(i))
+            room -= made[-1][-1][2]
+    return made
+
+
+def pack(lengths: list[int], capacity: int, program: bool = True, classes: int = CLASSES) -> list[list[Piece]]:
+    """Sequences of (document's position, start, length) pieces that hold all the documents' tokens once.
+
+    program: whether patterns make sequences; without, all is placed by best fit, for comparison.
+    """
+    sequences: list[list[Piece]] = []
+    rest: list[Piece] = []
     for d, n in enumerate(lengths):
         whole = n // capacity
         sequences += [[(d, i * capacity, capacity)] for i in range(whole)]
@@ -176,49 +244,28 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
             rest.append((d, whole * capacity, n % capacity))
     if not rest:
         return sequences
-    rest.sort(key=lambda p: (-p[2], p[0]))
-    ranked: list[list[tuple[int, int, int]]] = [[] for _ in range(units + 1)]
-    for p in rest:
-        ranked[min(units, -(-p[2] // unit)) - 1].append(p)
-    for r in ranked:
-        r.reverse()  # pop() then gives the longest
-    demand = np.array([len(r) for r in ranked[:units]])
-    open_: list[list[tuple[int, int, int]]] = []
-    for pattern, times in sorted(cutting_stock(demand, units), key=lambda t: -t[1]):
-        for _ in range(int(times + 1e-9)):
-            took = [ranked[c].pop() for c in np.flatnonzero(pattern) for _ in range(min(pattern[c], len(ranked[c])))]
-            if took:
-                open_.append(took)
-    left = sorted((p for r in ranked for p in r), key=lambda p: (-p[2], p[0]))
-    room: list[list] = []
-    for p in left:  # few: at most one sequence per class stayed fractional
-        for slot in room:
-            if slot[0] >= p[2]:
-                slot[0] -= p[2]
-                slot[1].append(p)
-                break
-        else:
-            room.append([capacity - p[2], [p]])
-    open_ += [s[1] for s in room]
-    # pour the emptiest sequences into the gaps of the fullest
-    filled = sorted(open_, key=lambda s: -sum(p[2] for p in s))
-    sums = [sum(p[2] for p in s) for s in filled]
-    i, j = 0, len(filled) - 1
+    ranked = Ranked(rest)
+    made = (_by_patterns(ranked, capacity, classes) if program else []) + _best_fit(ranked, capacity)
+    # where gaps are left, the emptiest sequences are taken apart to fill the fullest
+    room = [capacity - sum(p[2] for p in s) for s in made]
+    order = sorted(range(len(made)), key=lambda i: (room[i], i))
+    i, j = 0, len(order) - 1
     while i < j:
-        gap = capacity - sums[i]
-        if gap == 0:
+        x, y = order[i], order[j]
+        if not room[x]:
             i += 1
             continue
-        d, start, n = filled[j].pop()
-        cut = min(gap, n)
-        filled[i].append((d, start, cut))
-        sums[i] += cut
-        sums[j] -= cut
+        d, start, n = made[y].pop()
+        cut = min(room[x], n)
+        made[x].append((d, start, cut))
+        room[x] -= cut
         if n > cut:
-            filled[j].append((d, start + cut, n - cut))
-        if not filled[j]:
+            made[y].append((d, start + cut, n - cut))
+        if made[y]:
+            room[y] += cut
+        else:
             j -= 1
-    return sequences + [s for s in filled if s]
+    return sequences + [s for s in made if s]
 
 
 def pack_documents(

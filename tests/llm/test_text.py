@@ -641,6 +641,46 @@ def test_encoder_is_the_tokenizer():
         assert e.whole.encode(t or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def test_encoder_is_the_tokenizer_on_whole_tables_and_random_strings(spark):
+    e = packing.Encoder(tokenizer())
+    r = random.Random(14)
+    latin = [chr(c) for c in [*range(9, 14), *range(0x20, 0x7F), *range(0xA0, 0x180)]]
+    plain = [c for c in latin if packing._PLAIN.fullmatch(c)]
+    texts = ["".join(r.choices(r.choice([latin, plain, plain[:97]]), k=r.randint(0, 60))) for _ in range(4000)]
+    texts += [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        want = [x.ids for x in e.whole.encode_batch_fast([t or "" for t in part], add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(part)] == want
+
+
+def test_patterns_make_the_sequences():
+    """With the program and without: sequences at the bound in both; patterns hold most remainders, and few documents are cut."""
+    r = random.Random(1)
+    for lengths in ([r.randint(1, 9000) for _ in range(3000)], [r.randint(1, 1500) for _ in range(3000)], [r.choice([1365, 1366, 2731, 700]) for _ in range(999)]):
+        cut = {}
+        for program in (True, False):
+            made = packing.pack(lengths, 4096, program)
+            assert len(made) == -(-sum(lengths) // 4096)
+            pieces = Counter(d for s in made for d, _, _ in s)
+            assert all(sum(n for *_, n in s) <= 4096 for s in made)
+            covered = defaultdict(list)
+            for s in made:
+                for d, start, n in s:
+                    covered[d].append((start, n))
+            for d, n in enumerate(lengths):
+                at = 0
+                for start, k in sorted(covered[d]):
+                    assert start == at and k > 0
+                    at += k
+                assert at == n
+            cut[program] = sum(pieces[d] > -(-n // 4096) for d, n in enumerate(lengths))
+        assert cut[True] <= max(cut[False], len(lengths) // 100)
+        ranked = packing.Ranked([(d, 0, n % 4096) for d, n in enumerate(lengths) if n % 4096])
+        by_patterns = packing._by_patterns(ranked, 4096, packing.CLASSES)
+        assert sum(map(len, by_patterns)) > 0.8 * len(ranked.size)
+
+
 def test_cutting_stock_reaches_the_bound():
     r = random.Random(9)
     for _ in range(20):
