@@ -4,13 +4,15 @@ Sources share a number of words by weight; no source gives more than `most` time
 what that leaves over is shared again by weight until nobody is above (the level is found in one
 pass over the sources, ordered by the ratio at which they fill up). Targets are cut into equal
 blocks of words; blocks go to sources by the highest quotients target / (2 seats + 1). Within a
-source, hash shards of bounded size get integer quotas of its blocks by the same rule, and each
-shard takes blocks of its documents in a seeded order, whole passes first.
+source, groups of hash shards get integer quotas of its blocks by the same rule, and so do a group's
+shards, of bounded size and number, of the group's; each shard takes blocks of its documents in a
+seeded order, whole passes first.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order;
 documents without words take nothing; rows that repeat are rows of their own, told apart only by
-their order, so totals agree between reruns; empty tables give empty results; other columns are
-carried along by `mix_documents` and never read.
+their order, so totals agree between reruns; texts of any length are counted whole; ties between
+quotients go by source and shard; empty tables give empty results; other columns, whatever their names,
+are carried along by `mix_documents` and never read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import Window as W
 
 from ._util import carried, count_words, materialize, restored, small
 
-#: Rows of a source that make one shard, on average.
-SHARD_ROWS = 4_000
+#: Rows of a source that make one shard, on average, and shards that make a group.
+SHARD_ROWS, GROUP_SHARDS = 4_000, 1_024
+#: Shares in which rows that repeat are numbered.
+SALTS = 256
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -90,7 +94,7 @@ def mix(
     hot source is spread over as many shards as it has times SHARD_ROWS rows.
     """
     rows = docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_h")
+        F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("source"), count_words(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("_h")
     )
     rows = materialize(rows, "mix-sizes")
     return _taken(rows, weights, share, most, block, seed).select(
@@ -112,8 +116,14 @@ def _taken(rows: DataFrame, weights, share, most, block, seed) -> DataFrame:
     per = small(per.select(F.col("source").alias("_s"), "source_size", "target", "block", "source_quota", "shards"), "mix-sources")
     r = rows.join(per, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     r = r.withColumn("_shard", F.pmod(F.xxhash64("_key", "_h", F.lit(seed)), F.col("shards")))
-    shards = r.groupBy("source", "_shard", "source_quota", "block").agg(F.sum("size").alias("shard_size"))
-    quota = sainte_lague(shards, ["source"], ["_shard"], "shard_size", "source_quota")
+    shards = materialize(r.groupBy("source", "_shard", "source_quota", "block").agg(F.sum("size").alias("shard_size")), "mix-shards")
+    # first over groups of shards, then over each group's: no task ranks all shards of a source
+    group = F.floor(F.col("_shard") / GROUP_SHARDS)
+    groups = shards.groupBy("source", group.alias("_group"), "source_quota").agg(F.sum("shard_size").alias("group_size"))
+    groups = sainte_lague(groups, ["source"], ["_group"], "group_size", "source_quota")
+    groups = groups.select(F.col("source").alias("_gs"), F.col("_group").alias("_gg"), F.col("quota").alias("group_quota"))
+    shards = shards.withColumn("_group", group).join(groups, F.col("source").eqNullSafe(F.col("_gs")) & (F.col("_group") == F.col("_gg"))).drop("_gs", "_gg")
+    quota = sainte_lague(shards, ["source", "_group"], ["_shard"], "shard_size", "group_quota")
     quota = quota.select(
         F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "shard_size",
         F.least(F.lit(float(most)) * F.col("shard_size"), F.col("quota") * F.col("block")).cast("long").alias("words"),
@@ -134,7 +144,7 @@ def mix_documents(
     """docs' rows as often as the mix takes them, whole: taken / size, to the nearest number.
 
     Only the document at the edge of a shard's last block is rounded. The rows' sizes are joined
-    back by key and text hash, per repeated row by its number.
+    back by key, source and text hash; rows that repeat share what they take together.
     """
     raw = carried(docs, _key=F.col(key), _source=F.col(source), _h=F.xxhash64(F.col(text)))
     rows = materialize(
@@ -146,10 +156,30 @@ def mix_documents(
     got = taken.groupBy(F.col("_key").alias("_k2"), F.col("source").alias("_s2"), F.col("_h").alias("_h2")).agg(
         F.sum(times).cast("long").alias("_times"), F.count(F.lit(1)).alias("_rows")
     )
-    got = got.where("_times > 0")
-    joined = raw.join(
-        got,
-        F.col("_key").eqNullSafe(F.col("_k2")) & F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_h") == F.col("_h2")),
-    )
-    each = F.greatest(F.lit(1), F.round(F.col("_times") / F.col("_rows"))).cast("int")
-    return restored(joined.select("_row", F.explode(F.array_repeat(F.lit(0), each))), docs)
+    got = materialize(got.where("_times > 0"), "mix-times")
+    same = F.col("_key").eqNullSafe(F.col("_k2")) & F.col("_source").eqNullSafe(F.col("_s2")) & F.col("_h").eqNullSafe(F.col("_h2"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))
+    once = raw.join(got.where("_rows = 1"), same).select("_row", F.col("_times").alias("_n")).select("_row", copies)
+    repeated = got.where("_rows > 1")
+    if repeated.limit(1).count():
+        once = once.unionAll(_repeated(raw, repeated, same).select("_row", copies))
+    return restored(once, docs)
+
+
+def _repeated(raw: DataFrame, got: DataFrame, same: Column) -> DataFrame:
+    """Rows that repeat, each with its number of copies: what they take together, shared evenly, the remainder in some order.
+
+    A group's rows are numbered in SALTS shares, each behind the totals of those before it, so that no
+    task holds a group whole.
+    """
+    rows = materialize(raw.join(got, same).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "mix-repeated")
+    group = ["_k2", "_s2", "_h2"]
+    totals = rows.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_c"))
+    before = totals.select(*[F.col(c).alias(f"_b{c}") for c in [*group, "_salt"]], (F.sum("_c").over(W.partitionBy(*group).orderBy("_salt")) - F.col("_c")).alias("_before"))
+    on = F.lit(True)
+    for c in [*group, "_salt"]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+    number = F.row_number().over(W.partitionBy(*group, "_salt").orderBy(F.lit(0))) - 1
+    numbered = rows.withColumn("_i", number).join(before, on).withColumn("_i", F.col("_i") + F.col("_before"))
+    each = F.floor(F.col("_times") / F.col("_rows"))
+    return numbered.select("_row", (each + F.when(F.col("_i") < F.col("_times") - each * F.col("_rows"), 1).otherwise(0)).alias("_n"))

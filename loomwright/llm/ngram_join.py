@@ -15,7 +15,7 @@ operator gives each row its class, connected over links.
    batch are tied there, and one of them is sent.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
    then by star contraction over the cluster.
-4. A coarse component's texts are fetched past a Bloom filter of fixed size and joined exactly by a
+4. A coarse component's texts are fetched past a Bloom filter of their ids and joined exactly by a
    signature tree. Its leaves are sets with their token bitmaps; a node holds the OR and the AND of
    its leaves' bitmaps and their size range. A dual traversal from the root drops pairs of nodes whose
    sizes can't match, whose greatest possible overlap is too small, or whose sets are all connected
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ._util import carried, materialize, parts_for, restored
 from .components import connected_components
 from .shingles import U, mix, set_digest, shingle_sets, slices
-from .urls import bloom, maybe
+from .urls import bloom, maybe, sized
 
 #: Shingles of a block of a component, keys of a packed batch.
 BLOCK_SHINGLES, BATCH_KEYS = 2_000_000, 1 << 20
@@ -497,14 +497,15 @@ def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) ->
     # any row of a set will do: one place stands for each digest
     reps = ids.where("d1 IS NOT NULL").groupBy("d1", "d2", "band", "n").agg(F.min("_id").alias("rep"))
     nodes = materialize(members.join(reps, members["node"] == reps["d1"]).select("d1", "d2", "band", "n", "root", "rep"), "ngram-nodes")
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
-    large = materialize(nodes.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
+    many = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
+    large = materialize(nodes.groupBy("root").agg(many.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
     split = large.limit(1).count() > 0
 
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     wanted = nodes.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("k"))
     probe = texts.withColumn("_k", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
-    texts = maybe(probe, "_k", bloom(wanted, "k"), "_m").where("_m").select("_id", "_text")
+    blocks, parts, small = sized(nodes.count())
+    texts = maybe(probe, "_k", bloom(wanted, "k", blocks, parts), "_m", blocks, parts, small).where("_m").select("_id", "_text")
     solve, none = _solver(shingle, threshold), F.lit(None).cast("long")
 
     def fetched(some: DataFrame) -> DataFrame:

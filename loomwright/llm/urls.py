@@ -1,16 +1,18 @@
 """URL filter: prefix rules and listed canonical URLs behind a blocked Bloom filter (native).
 
 Listed keys are hashed into a split-block Bloom filter: a block of eight 64-bit words, one bit of
-each word per key. The filter has a fixed size, whatever the list's: `blocks` blocks in `parts`
-rows, 4 MB at the default, which is all that is ever broadcast. Keys that it passes are possible
-hits; an exact hash join with the list removes the false ones. Longer lists give more false
-positives, never wrong results.
+each word per key. The list is written down and counted once, and the filter sized by it, at
+KEY_BITS bits a key, in parts of a fixed size. Up to BROADCAST_MB the filter is broadcast; beyond that
+its parts meet the rows by a shuffle on the part's number, keys alone. Keys that it passes are possible
+hits; an exact hash join with the list removes the false ones, and rows that it rules out take part in
+that join under no key, spread by a salt. Pages are read once for the list, where it comes from them,
+and once to be judged.
 
 Rules are host and path prefix; a rule fits its host and all subdomains. A URL's possible rule keys
 are its host suffixes joined with the prefixes of its path that are as long as some rule's path. They
 go through a filter of their own and the same exact join; the longest rule that fits wins.
 
-Defined results: a null URL, or one without ://, has empty host and path and fits no rule; such rows
+Defined results: URLs of any length are judged whole; a null URL, or one without ://, has empty host and path and fits no rule; such rows
 and URLs off the list are allowed; rows that repeat are judged alike; a null in a list counts for
 nothing; empty tables give empty results; other columns aren't read.
 """
@@ -22,7 +24,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import materialize
+
+#: Bits of the filter for each key, the most of it that is broadcast, and blocks of a part (64 KB).
+KEY_BITS, BROADCAST_MB, PART_BLOCKS = 16, 64, 1 << 10
 BLOCKS, PARTS = 1 << 16, 64
+#: Numbers over which rows without a key are spread.
+SALTS = 1 << 12
 #: A to Z and a to z, for lower-casing ASCII alone. Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,11 +80,23 @@ def bloom(keys: DataFrame, column: str, blocks: int = BLOCKS, parts: int = PARTS
     return packed.select("part", words.alias("words"))
 
 
-def maybe(rows: DataFrame, key: str, filter_: DataFrame, out: str, blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
-    """rows with out: false where the filter rules the key out."""
+def sized(keys: int) -> tuple[int, int, bool]:
+    """Blocks and parts of a filter for so many keys, and whether it is small enough to be broadcast."""
+    blocks = PARTS * PART_BLOCKS
+    while blocks * 512 < keys * KEY_BITS:
+        blocks *= 2
+    return blocks, blocks // PART_BLOCKS, blocks * 64 <= BROADCAST_MB << 20
+
+
+def maybe(rows: DataFrame, key: str, filter_: DataFrame, out: str, blocks: int = BLOCKS, parts: int = PARTS, small: bool = True) -> DataFrame:
+    """rows with out: false where the filter rules the key out. small: whether the filter is broadcast."""
     block, bits = _places(F.col(key), blocks)
-    probe = rows.withColumn("_part", F.pmod(block, F.lit(parts))).withColumn("_at", (F.floor(block / parts) * 8).cast("int"))
-    f = F.broadcast(filter_.select(F.col("part").alias("_p"), "words"))  # of fixed size
+    part = F.when(F.col(key).isNotNull(), F.pmod(block, F.lit(parts)))
+    if not small:  # rows without a key have no part: spread them
+        part = F.coalesce(part, -1 - F.floor(F.rand(7) * SALTS))
+    probe = rows.withColumn("_part", part).withColumn("_at", (F.floor(block / parts) * 8).cast("int"))
+    f = filter_.select(F.col("part").alias("_p"), "words")
+    f = F.broadcast(f) if small else f  # of a size that `sized` has bounded
     hit = F.col(key).isNotNull() & F.col("_p").isNotNull()
     for i, bit in enumerate(bits):
         word = F.get("words", F.col("_at") + i)
@@ -86,8 +106,7 @@ def maybe(rows: DataFrame, key: str, filter_: DataFrame, out: str, blocks: int =
 
 
 def filter_urls(
-    pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], *,
-    key: str = "page_id", url: str = "url", blocks: int = BLOCKS, parts: int = PARTS,
+    pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], *, key: str = "page_id", url: str = "url",
 ) -> DataFrame:
     """key, host, path, rule, verdict and listed for each row of pages.
 
@@ -95,13 +114,16 @@ def filter_urls(
     program. Without a rule that fits, a listed URL is blocked and any other allowed.
     """
     spark = pages.sparkSession
-    url_ = F.col(url)
-    rows = pages.select(F.col(key).alias("_key"), host_of(url_).alias("host"), path_of(url_).alias("path"), canonical(url_).alias("canon"))
-    list_ = listed.toDF("canon").where("canon IS NOT NULL").distinct()
-    probed = maybe(rows, "canon", bloom(list_, "canon", blocks, parts), "_maybe", blocks, parts)
-    exact = list_.withColumn("_on", F.lit(True))
-    hits = probed.where("_maybe").join(exact, "canon", "left")
-    judged = hits.unionByName(probed.where("NOT _maybe").withColumn("_on", F.lit(None).cast("boolean"))).withColumn("listed", F.coalesce("_on", F.lit(False)))
+    url_ = F.col(f"`{url}`")
+    list_ = materialize(listed.toDF("canon").where("canon IS NOT NULL").distinct(), "url-list")
+    blocks, parts, small = sized(list_.count())
+    rows = pages.select(F.col(f"`{key}`").alias("_key"), host_of(url_).alias("host"), path_of(url_).alias("path"), canonical(url_).alias("canon"))
+    probed = maybe(rows, "canon", bloom(list_, "canon", blocks, parts), "_maybe", blocks, parts, small)
+    probed = probed.withColumn("_c", F.when(F.col("_maybe"), F.col("canon"))).withColumn(
+        "_salt", F.when(F.col("_maybe"), F.lit(0)).otherwise(F.pmod(F.xxhash64("canon", "_key"), F.lit(SALTS)) + 1).cast("int")
+    )
+    exact = list_.select(F.col("canon").alias("_l"), F.lit(0).alias("_s"))
+    judged = probed.join(exact, (F.col("_c") == F.col("_l")) & (F.col("_salt") == F.col("_s")), "left").withColumn("listed", F.col("_l").isNotNull())
     if not rules:
         return judged.select(
             F.col("_key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"),

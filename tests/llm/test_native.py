@@ -178,6 +178,41 @@ def test_mixing(spark, sf_dir, table_):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_that_repeat_share_what_they_take(spark):
+    rows_ = [(1, "a b c d", "s", i) for i in range(50)] + [(i, f"w{i} x y z", "s", 0) for i in range(2, 40)] + [(100, "q r", "t", 0)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, _salt int").repartition(5)
+    taken = {(r.doc_id): 0 for r in df.collect()}
+    for r in mixing.mix(df, share=0.7).collect():
+        taken[r.doc_id] += round(r.taken / r["size"])
+    got = Counter(r.doc_id for r in mixing.mix_documents(df, share=0.7).collect())
+    assert got == Counter({k: v for k, v in taken.items() if v}) and 0 < got[1] < 50
+    each = Counter((r.doc_id, r._salt) for r in mixing.mix_documents(df, share=0.7).collect())
+    assert max(v for (d, _), v in each.items() if d == 1) == 1
+
+
+def test_a_source_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 40)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 7)
+    df = spark.range(2000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 50 AS int)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    sizes, got, want = Counter(), Counter(), {}
+    for r in mixing.mix(df).collect():
+        s = "a" if r.doc_id % 3 == 0 else "b"
+        assert 0 <= r.taken <= 2 * r["size"] == 2 * (r.doc_id % 50)
+        sizes[s], got[s], want[s] = sizes[s] + r["size"], got[s] + r.taken, r.target
+    assert all(abs(got[s] - want[s]) <= 0.02 * want[s] for s in want)
+
+
+def test_filters_beyond_the_broadcast_bound(spark, monkeypatch):
+    keys = spark.range(3000).select(F.concat(F.lit("h.org/"), F.col("id")).alias("k"))
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), F.when(F.col("id") % 10 < 8, F.col("id")).otherwise(5)).alias("url"))
+    want = {r.page_id: r.verdict for r in urls.filter_urls(pages, keys, ()).collect()}
+    monkeypatch.setattr(urls, "BROADCAST_MB", 0)
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages.unionAll(spark.createDataFrame([(-1, None)], "page_id long, url string")), keys, ()).collect()} == {**want, -1: "allow"}
+    assert sum(v == "block" for v in want.values()) == 2400 + 1000 and urls.sized(0) == (1 << 16, 64, False)
+    monkeypatch.setattr(urls, "BROADCAST_MB", 64)
+    assert urls.sized(3_000_000)[0] * 512 >= 48_000_000 and urls.sized(32 << 20)[2] and not urls.sized(40 << 20)[2]
+
+
 def test_sainte_lague(spark):
     votes = [("g", "a", 340), ("g", "b", 280), ("g", "c", 160), ("g", "d", 60), ("g", "e", 0), (None, "a", 5), (None, "b", 5), (None, None, 5)]
     seats = {"g": 15, None: 4}
