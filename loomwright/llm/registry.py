@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import materialize, table
 
 URL_RULES = (
     ("block", "com", "/en/"),
@@ -34,7 +34,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
-    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+    archives = materialize(write_archives(table(spark, sf_dir, "pages")), "warc-archives")
+    return read_archives(archives).drop("url")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,23 @@ every record is a gzip member of its own, and `indexes/index.cdxj`, which has on
 record with its offset and length inside the WARC member. The reader needs only a function that
 gives a range of bytes. It finds the end record from the tail, follows the ZIP64 locator where
 there is one, walks the central directory, works out where each stored member's data begin from its
-local header, reads the index, and then each record by its own range; the archive is never unpacked.
-Deflated, encrypted or damaged members raise an error that names them.
+local header, reads the index, and then each record by its own range; the archive is never unpacked,
+nor held whole. Deflated, encrypted or damaged members raise an error that names them; a record's
+checksum is verified by its gzip member, the index by the ZIP's.
+
+Archives are kept in one of two ways. `write_archives` gives them as rows, to be written as a table that
+any of Spark's storage can hold; `read_archives` reads such cells, each by ranges of its bytes.
+`write_files` stores them as files in a folder that all executors reach, under names that are digests of
+their content, so that a task which runs again writes the same files; `read_files` lists a folder, reads
+only directories and indexes in one step, spreads the index lines, and range-reads each record from
+storage in the next, so that a large archive is read by many tasks.
 
 Of records with equal payloads of at least 100 bytes, that with the smallest key is a response and
 others revisit it, without a payload of their own. Which those are comes from digests alone: one row
 per digest meets the records again, and a digest that a third of all rows share only makes a skewed
 join, which Spark splits.
 
-Defined results: null payloads are empty; payloads under 100 bytes are always responses; rows that
+Defined results: payloads of any length are stored whole; null payloads are empty; payloads under 100 bytes are always responses; rows that
 repeat the responding key and payload are responses too; where all of a group's keys are null, all
 are responses; an empty table gives no archives and no records; other columns aren't stored.
 """
@@ -24,19 +32,24 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._util import shuffle_partitions
+
 #: Signatures of ZIP structures. Fixed values.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT = 100
 #: An archive is closed at so many bytes of records, so that a task holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of a file that stay together when its records are dealt to tasks.
+SPREAD = 4 << 20
 
 Range = Callable[[int, int], bytes]
 
@@ -152,8 +165,8 @@ def directory(read: Range, size: int) -> dict[str, tuple[int, int, int]]:
     return out
 
 
-def read_archive(read: Range, size: int) -> Iterator[tuple[dict, dict[str, str], bytes]]:
-    """(index line, headers, body) of each record, by range."""
+def index_lines(read: Range, size: int) -> Iterator[tuple[int, int, dict]]:
+    """(place in the archive, bytes, index line) of each record, from the directory and the index alone."""
     members = directory(read, size)
     at, length, crc = members[INDEX_NAME]
     index = read(at, length)
@@ -165,8 +178,13 @@ def read_archive(read: Range, size: int) -> Iterator[tuple[dict, dict[str, str],
         offset, length = int(entry["offset"]), int(entry["length"])
         if offset < 0 or length < 0 or offset + length > whole:
             raise ValueError("index points outside the archive")
-        headers, body = parse_record(zlib.decompress(read(base + offset, length), 31))
-        yield entry, headers, body
+        yield base + offset, length, entry
+
+
+def read_archive(read: Range, size: int) -> Iterator[tuple[dict, dict[str, str], bytes]]:
+    """(index line, headers, body) of each record, by range."""
+    for at, length, entry in index_lines(read, size):
+        yield entry, *parse_record(zlib.decompress(read(at, length), 31))
 
 
 def build_archive(rows: list[tuple]) -> bytes:
@@ -226,35 +244,113 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     return rows.mapInArrow(run, "name string, content binary")
 
 
+def _storage(name: str):
+    """pyarrow's file system for a file that Spark names so, and its path there."""
+    from pyarrow import fs
+
+    if name.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+    return fs.FileSystem.from_uri("s3" + name[3:] if name.startswith("s3a://") else name)
+
+
+def opened(name: str) -> tuple[Range, int]:
+    """A range-reading function for a file of storage that pyarrow knows, and the file's size."""
+    where, path = _storage(name)
+    file = where.open_input_file(path)
+    return lambda at, n: file.read_at(n, at), file.size()
+
+
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Stores rows of archives as files; (path, length) of each, once they are there. A file appears whole or not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = _storage(folder.rstrip("/"))
+        where.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                path, part = f"{base}/{name}", f"{base}/_{name}-{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                where.move(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([len(content.as_buffer())])], ["path", "length"])
+
+    return archives.select("name", "content").mapInArrow(run, "path string, length long")
+
+
+_FIELDS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
+_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+#: Records, and bytes of payloads, that a reader holds before it hands them on.
+HELD_RECORDS, HELD_BYTES = 2_000, 16 << 20
+
+
+def _number(urn: str | None) -> int | None:
+    last = (urn or "").strip("<>").rpartition(":")[2]
+    return int(last) if last not in ("", "null") else None
+
+
+def _rows(records: Iterator[tuple[dict[str, str], bytes]], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of records; a response's payload is digested again and must agree with its header."""
+    schema = pa.schema(_FIELDS + [("payload", pa.binary())] * payloads)
+    out, size = [], 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    for h, body in records:
+        kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha256:")
+        if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+            raise ValueError("a payload differs from its digest")
+        row = [_number(h["warc-record-id"]), int(h["x-payload-length"]), digest, kind, _number(h.get("warc-refers-to")), json.loads(f'"{h["warc-target-uri"]}"')]
+        out.append(row + [body] * payloads)
+        size += len(body) * payloads
+        if len(out) >= HELD_RECORDS or size >= HELD_BYTES:
+            yield done()
+            out, size = [], 0
+    if out:
+        yield done()
+
+
 def read_archives(archives: DataFrame, content: str = "content", payloads: bool = False) -> DataFrame:
-    """Records of archives held in a binary column (spark.read.format("binaryFile") gives one for files).
+    """Records of archives held in a binary column.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked; a
-    response's payload is digested again and must agree with its header.
+    page_id, payload_bytes, payload_digest, record_type, refers_to, url, and the payload if asked.
     """
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
-    fields += [("payload", pa.binary())] * payloads
-    schema = pa.schema(fields)
-
-    def number(urn: str | None) -> int | None:
-        last = (urn or "").strip("<>").rpartition(":")[2]
-        return int(last) if last not in ("", "null") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell in b.column(0):
-                if not cell.is_valid:
-                    continue
-                view = memoryview(cell.as_buffer())
-                out = []
-                for _, h, body in read_archive(lambda at, n, v=view: bytes(v[at : at + n]), len(view)):
-                    kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
-                        raise ValueError("a payload differs from its digest")
-                    row = [number(h["warc-record-id"]), int(h["x-payload-length"]), digest, kind, number(h.get("warc-refers-to")), json.loads(f'"{h["warc-target-uri"]}"')]
-                    out.append(row + [body] * payloads)
-                for at in range(0, len(out), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 2000]), schema)], schema=schema)
-
-    ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
-    return archives.select(content).mapInArrow(run, ddl)
+                if cell.is_valid:
+                    view = memoryview(cell.as_buffer())
+                    records = read_archive(lambda at, n, v=view: bytes(v[at : at + n]), len(view))
+                    yield from _rows(((h, body) for _, h, body in records), payloads)
+
+    return archives.select(F.col(f"`{content}`")).mapInArrow(run, _DDL + ", payload binary" * payloads)
+
+
+def read_files(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
+    """Records of the archives in a folder, as `read_archives` gives them. Files whose names begin with _ or . don't count."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")  # contents aren't read
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                read, size = opened(path)
+                at = list(index_lines(read, size))
+                for i in range(0, len(at), 10_000):
+                    some = at[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64())], ["path", "at", "length"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one() -> Iterator[tuple[dict[str, str], bytes]]:
+            path, read = None, None
+            for b in batches:
+                for p, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                    if p != path:
+                        path, (read, _) = p, opened(p)
+                    yield parse_record(zlib.decompress(read(at, n), 31))
+
+        yield from _rows(one(), payloads)
+
+    found = files.mapInArrow(lines, "path string, at long, length long")
+    spread = found.repartition(shuffle_partitions(spark), "path", F.floor(F.col("at") / SPREAD)).sortWithinPartitions("path", "at")
+    return spread.mapInArrow(records, _DDL + ", payload binary" * payloads)

@@ -226,6 +226,22 @@ def test_archive_reads_as_zip_and_from_files(spark, tmp_path):
     assert [tuple(r)[:5:3] for r in warc.read_archives(files).orderBy("page_id").collect()] == [(1, "response")] * 2 + [(2, "revisit")] * 2
 
 
+def test_archives_as_files_are_read_by_range(spark, tmp_path, monkeypatch):
+    rows_ = page_rows() + [(1000 + i, f"http://h/{i}", f"page {i} " * 60, "x") for i in range(300)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string, refers string")
+    folder = f"file://{tmp_path}/a b%c"
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    archives = warc.write_archives(pages)
+    paths = warc.write_files(archives, folder).collect()
+    again = warc.write_files(archives, folder).collect()  # a task that runs twice
+    assert {p.path for p in paths} == {p.path for p in again} and len(paths) > 5
+    got = warc.read_files(spark, folder, payloads=True).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want_records(rows_)
+    assert all(r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest() for r in got if r.record_type == "response")
+    read, size = warc.opened(paths[0].path)
+    assert size == paths[0].length and len(read(3, 5)) == 5
+
+
 def test_reader_reads_ranges_only():
     other = [("notes.txt", b"n" * 100_000)]
     base = zipfile.ZipFile(io.BytesIO(warc.build_archive([(i, "u", bytes([i]) * 50_000, None) for i in range(5)])))
