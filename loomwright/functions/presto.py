@@ -2,13 +2,11 @@
 
 Where Spark's function of the same name agrees, it is used as it is; the definitions below differ
 from Spark in nulls, NaN, overflow, bounds or result type. Nothing here leaves the JVM except
-`combinations` and `xxhash64`, which run in Arrow batches.
+`xxhash64`, which runs in Arrow batches.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -331,6 +329,11 @@ def xxhash64(b) -> Column:
     return F.when(b.isNotNull(), digest(F.coalesce(b, F.lit(b""))))
 
 
+def sha512(b) -> Column:
+    """The 64 bytes of SHA-512."""
+    return F.unhex(F.sha2(col(b), 512))
+
+
 # --- URLs ----------------------------------------------------------------------------------------
 
 
@@ -499,12 +502,16 @@ def combinations(a, n: int, element: str = "bigint") -> Column:
     if not 0 <= n <= 5:
         raise ValueError("n must be from 0 to 5")
 
-    @F.pandas_udf(f"array<array<{element}>>")
-    def pick(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [list(c) for c in itertools.combinations(x, n)])
-
     a = col(a).cast(f"array<{element}>")
-    return F.when(a.isNotNull(), pick(F.coalesce(a, F.array().cast(f"array<{element}>"))))
+    places = F.sequence(F.lit(0), F.size(a) - 1)
+    found = F.array(F.array().cast("array<int>"))
+    for _ in range(n):  # sets of places, each grown by the places behind its last
+        found = F.flatten(
+            F.transform(found, lambda c: F.transform(F.filter(places, lambda i: i > F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(-1))), lambda i: F.concat(c, F.array(i))))
+        )
+    picked = F.transform(found, lambda c: F.transform(c, lambda i: F.get(a, i)))
+    none = F.array() if n else F.array(F.array())
+    return F.when(a.isNotNull(), F.when(F.size(a) == 0, none.cast(f"array<array<{element}>>")).otherwise(picked))
 
 
 def map_concat(*maps) -> Column:
@@ -532,10 +539,19 @@ def json_extract_scalar(j, path: str) -> Column:
 
 
 def json_array_contains(j, value) -> Column:
-    """Whether a JSON array holds a value of the same type; null for what isn't an array."""
-    import json
+    """Whether a JSON array holds a value of the same type among its own elements; null for what isn't an array.
+
+    Whole numbers and numbers with a point or an exponent are two types.
+    """
+    items = F.try_variant_get(F.try_parse_json(col(j)), "$", "array<variant>")
+    kind = lambda e: F.schema_of_variant(e)
+    if isinstance(value, bool):
+        same = lambda e: (kind(e) == "BOOLEAN") & (F.try_variant_get(e, "$", "boolean") == F.lit(value))
+    elif isinstance(value, int):
+        same = lambda e: (kind(e) == "BIGINT") & (F.try_variant_get(e, "$", "bigint") == F.lit(value))
+    elif isinstance(value, float):
+        same = lambda e: (kind(e).startswith("DECIMAL") | (kind(e) == "DOUBLE")) & (F.try_variant_get(e, "$", "double") == F.lit(value))
+    else:
+        same = lambda e: (kind(e) == "STRING") & (F.try_variant_get(e, "$", "string") == F.lit(value))
+    return F.when(items.isNotNull(), F.exists(items, lambda e: F.coalesce(same(e), F.lit(False))))
 
-    j = col(j)
-    items = F.from_json(F.concat(F.lit('{"a":'), j, F.lit("}")), "a array<string>", {"mode": "PERMISSIVE"})["a"]
-    hit = F.rlike(j, F.lit(r"[\[,]\s*" + _quoted(json.dumps(value)) + r"\s*[,\]]"))
-    return F.when(F.rlike(j, F.lit(r"^\s*\[")) & items.isNotNull(), hit)

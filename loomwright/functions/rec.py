@@ -46,9 +46,18 @@ def _check_borders(borders) -> list[float]:
     return list(borders)
 
 
-def bucketize(x, borders) -> Column:
-    """Index of the first border not below x; a value equal to a doubled border goes one further. Int result."""
+def bucketize(x, borders, variant: str = "cpu") -> Column:
+    """Index of the first border not below x; a value equal to a doubled border goes one further. Int result.
+
+    variant "gpu": the number of borders below x, as bigint; doubled borders count twice.
+    """
     x, borders = col(x), _check_borders(borders)
+    if variant == "gpu":
+        below = [F.when(x > F.lit(b), F.lit(1)).otherwise(F.lit(0)) for b in borders]
+        total = below[0]
+        for b in below[1:]:
+            total = total + b
+        return F.when(x.isNotNull(), total).cast("bigint")
     out = None
     for i, b in enumerate(borders):
         doubled = i + 1 < len(borders) and borders[i + 1] == b
@@ -125,8 +134,12 @@ def match_re(x, pattern: str) -> Column:
 K_MUL = np.uint64(0x9DDFEA08EB382D69)
 
 
+#: Basis and prime of 64-bit FNV-1a. Fixed values.
+FNV_BASIS, FNV_PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit integers by shifts and adds, all modulo 2**64."""
+    """A bijective mix of 64-bit integers by shifts and adds, all modulo 2**64. The shifts are fixed values."""
     u = np.uint64
     x = ~x + (x << u(21))
     x = x ^ (x >> u(24))
@@ -137,31 +150,46 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x + (x << u(31))
 
 
-def sigrid_hash_array(ids: np.ndarray, salt: int, max_value: int) -> np.ndarray:
-    """The hash over a numpy array of int64: spread, combined with the salt, floor-mod max_value."""
+def _fnv(x: np.ndarray) -> np.ndarray:
+    """FNV-1a over the eight bytes of each integer, the lowest first."""
+    h = np.full(len(x), FNV_BASIS)
+    for i in range(8):
+        h = (h ^ (x >> np.uint64(8 * i) & np.uint64(255))) * FNV_PRIME
+    return h
+
+
+def sigrid_hash_array(ids: np.ndarray, salt: int, max_value: int, variant: str = "cpu") -> np.ndarray:
+    """The hash over a numpy array of int64: spread, combined with the salt, floor-mod max_value.
+
+    variant "gpu": salt and spread id go through FNV-1a before they are combined, and max_value 1 gives
+    the whole hash.
+    """
     if max_value <= 0:
         raise ValueError("max_value must be positive")
-    if max_value == 1:
+    if max_value == 1 and variant == "cpu":
         return np.zeros(len(ids), np.int64)
     with np.errstate(over="ignore"):
-        upper = np.uint64(salt & (1 << 64) - 1)
+        upper = np.array([salt & (1 << 64) - 1], np.uint64)
         shift = np.uint64(47)
-        a = (_spread(ids.astype(np.int64).view(np.uint64)) ^ upper) * K_MUL
+        low = _spread(ids.astype(np.int64).view(np.uint64))
+        if variant == "gpu":
+            upper, low = _fnv(upper), _fnv(low)
+        a = (low ^ upper) * K_MUL
         a ^= a >> shift
         b = (upper ^ a) * K_MUL
         b ^= b >> shift
         b *= K_MUL
-    return np.mod(b.view(np.int64), max_value)
+    return np.mod(b.view(np.int64), max_value) if max_value > 1 else b.view(np.int64)
 
 
-def sigrid_hash(x, salt: int, max_value: int) -> Column:
-    """Salted hash of an id into [0, max_value); bigint result."""
+def sigrid_hash(x, salt: int, max_value: int, variant: str = "cpu") -> Column:
+    """Salted hash of an id into [0, max_value); bigint result. variant: see sigrid_hash_array."""
     if max_value <= 0:
         raise ValueError("max_value must be positive")
 
     @F.arrow_udf("bigint")
     def hashed(x: pa.Array) -> pa.Array:
-        made = pa.array(sigrid_hash_array(x.fill_null(0).to_numpy(zero_copy_only=False), salt, max_value))
+        made = pa.array(sigrid_hash_array(x.fill_null(0).to_numpy(zero_copy_only=False), salt, max_value, variant))
         return pc.if_else(x.is_valid(), made, pa.scalar(None, pa.int64())) if x.null_count else made
 
     # bare calls, so that a chain of hashes is one trip to Python
@@ -212,10 +240,16 @@ def ngram(a, n: int) -> Column:
     return _null_free(F.when(F.size(a) == 0, a).otherwise(windows), a)
 
 
-def mapid(a, mapping) -> Column:
-    """Each element replaced by mapping[element]; at or past its end, 0."""
+def mapid(a, mapping, variant: str = "cpu") -> Column:
+    """Each element replaced by mapping[element]; at or past its end, 0.
+
+    variant "gpu": negative elements give 0, and others are taken modulo the mapping's length.
+    """
     a, m = col(a), col(mapping)
     zero = F.lit(0).cast("bigint")
+    if variant == "gpu":
+        at = lambda e: F.get(m, F.pmod(e, F.size(m)).cast("int")).cast("bigint")
+        return _null_free(F.transform(a, lambda e: F.when(e < 0, zero).otherwise(at(e))), a, m)
     return _null_free(F.transform(a, lambda e: F.when(e >= F.size(m), zero).otherwise(F.get(m, e.cast("int")).cast("bigint"))), a, m)
 
 

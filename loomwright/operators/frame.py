@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import presto
+from ..sources.tables import materialize
 
+#: Rows of a block in which neighbours are compared.
+BLOCK_ROWS = 1 << 20
 INF, NAN = float("inf"), float("nan")
 
 
@@ -44,7 +47,7 @@ def log(x: Column) -> Column:
 
 #: Unicode character tests of whole, non-empty texts. Fixed values.
 PATTERNS = {
-    "isalpha": r"^\p{L}+$", "isalnum": r"^[\p{L}\p{N}]+$", "isdigit": r"^\p{Nd}+$", "isdecimal": r"^\p{Nd}+$", "isnumeric": r"^\p{N}+$", "isspace": r"^\s+$",
+    "isalpha": r"^\p{L}+$", "isalnum": r"^[\p{L}\p{N}]+$", "isdigit": r"^[\p{Nd}\p{No}]+$", "isdecimal": r"^\p{Nd}+$", "isnumeric": r"^\p{N}+$", "isspace": r"^\s+$",
 }
 
 
@@ -58,6 +61,20 @@ def text_is(x: Column, what: str) -> Column:
     return F.rlike(x, F.lit(PATTERNS[what]))
 
 
+def numbered(df: DataFrame, order: Sequence, out: str) -> DataFrame:
+    """df with out: rows' positions from 0 in an order of columns.
+
+    Rows are sorted over ranges of the order; a range's rows are numbered behind the totals of the ranges
+    before it, of which there are as many as partitions. No task has all rows. The sorted rows are
+    written down, so that ranges hold while they are counted and read.
+    """
+    sorted_ = materialize(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    totals = sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = totals.select(F.col("_range").alias("_r"), "_first", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    joined = sorted_.join(F.broadcast(before), F.col("_range") == F.col("_r"))  # a row per partition
+    return joined.withColumn(out, F.col("_before") + F.col("_place") - F.col("_first")).drop("_range", "_place", "_r", "_first", "_before")
+
+
 class Frame:
     def __init__(self, df: DataFrame, order: Sequence[str]):
         self.df, self.order = df, list(order)
@@ -83,7 +100,7 @@ class Frame:
     # --- rows
 
     def _numbered(self) -> DataFrame:
-        return self.df.withColumn("_row", F.row_number().over(W.orderBy(*self.order)) - 1)
+        return numbered(self.df, self.order, "_row")
 
     def rows(self, start: int, stop: int | None, step: int = 1) -> Frame:
         """Rows by position. From the front a limit suffices; only steps number all rows."""
@@ -208,8 +225,8 @@ class Frame:
         if interpolation == "linear":
             return self.df.agg(F.percentile(column, q).alias("q"))
         known = self.df.where(F.col(column).isNotNull())
-        n = known.withColumn("_i", F.row_number().over(W.orderBy(column)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
-        place = F.lit(float(q)) * (F.col("_n") - 1)
+        n = numbered(known.select(column), [column], "_i")
+        place = F.lit(float(q) * (known.count() - 1))
         low, high = F.floor(place), F.ceil(place)
         ends = n.agg(
             F.max(F.when(F.col("_i") == low, F.col(column))).alias("low"), F.max(F.when(F.col("_i") == high, F.col(column))).alias("high"), F.max(place - low).alias("f")
@@ -224,9 +241,28 @@ class Frame:
         return self.df.agg((F.count(column) == F.count_distinct(column)).alias("is_unique"))
 
     def is_monotonic(self, column: str, increasing: bool = True) -> DataFrame:
-        before = F.lag(column).over(W.orderBy(*self.order))
-        ok = F.col(column) >= F.col("_b") if increasing else F.col(column) <= F.col("_b")
-        return self.df.withColumn("_b", before).agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("is_monotonic"))
+        rows = numbered(self.df.select(*dict.fromkeys([*self.order, column])), self.order, "_i").select(F.col(column).alias("_x"), "_i")
+        # neighbours meet in blocks of positions; a block's last row goes to the next block as well
+        block = F.floor(F.col("_i") / BLOCK_ROWS)
+        both = rows.withColumn("_b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_i") + 1) / BLOCK_ROWS)))))
+        before = F.lag("_x").over(W.partitionBy("_b").orderBy("_i"))
+        ok = F.col("_x") >= F.col("_l") if increasing else F.col("_x") <= F.col("_l")
+        return both.withColumn("_l", before).agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("is_monotonic"))
+
+    def copy(self) -> Frame:
+        """Itself: a frame never changes."""
+        return self
+
+    def reduce(self, column: str, f: Callable[[Column, Column], Column], start, out: str = "reduced") -> DataFrame:
+        """A column folded in the frame's order by a function of columns.
+
+        The fold needs one row after the other, so a partition's values are folded in order as one array:
+        for results that don't depend on how rows are grouped, `stats` and Spark's aggregates scale and this
+        doesn't.
+        """
+        rows = F.array_sort(F.collect_list(F.struct(*self.order, F.col(column).alias("_x"))))
+        start = start if isinstance(start, Column) else F.lit(start)
+        return self.df.agg(F.aggregate(F.transform(rows, lambda r: r["_x"]), start, f).alias(out))
 
     def describe(self, columns: Sequence[str], percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
         """count, mean, std, min, percentiles and max of each column, one row per column."""

@@ -188,6 +188,15 @@ TABLE_SIZES = [
     27, 14992, 5461306, 10, 5652, 2173, 4, 7046547, 18, 15, 286181, 105, 142572,
 ]
 
+#: Table sizes of plan 1: the preprocessing baseline's default list, in order of the sparse columns. Fixed values.
+TABLE_SIZES_1 = [
+    33121475, 30875, 15297, 7296, 19902, 4, 6519, 1340, 63, 20388174, 945108, 253624, 11,
+    2209, 10074, 75, 4, 964, 15, 39991895, 7312994, 28182799, 347447, 11111, 98, 35,
+]
+#: Where operators of plans 2 and 3 change, over dense and over sparse columns. Fixed values.
+CUTS_2, SPARSE_CUTS_2 = (7, 16), (11, 27, 39)
+CUTS_3, SPARSE_CUTS_3 = (16, 37), (25, 53, 78)
+
 
 def _filled(dense: list[str], sparse: list[str]) -> list[str]:
     lines = []
@@ -199,7 +208,7 @@ def _filled(dense: list[str], sparse: list[str]) -> list[str]:
 
 
 def plan_0(dense=DENSE, sparse=SPARSE, sizes=TABLE_SIZES, salt: int = 0) -> str:
-    """Fill, bucketize the first dense column, logit all dense, hash all sparse into one-element lists. Also plan 1, with its own sizes."""
+    """Fill, bucketize the first dense column, logit all dense, hash all sparse into one-element lists."""
     lines = _filled(dense, sparse) + [f'df["bucketize_{dense[0]}"] = bucketize(df["{dense[0]}"], [0.5, 1.0, 1.5])', f'df["bucketize_{dense[0]}"] = df["bucketize_{dense[0]}"].cast("int64")']
     lines += [f'df["{c}"] = df["{c}"].logit(1e-5)' for c in dense]
     for c, n in zip(sparse, sizes):
@@ -207,6 +216,11 @@ def plan_0(dense=DENSE, sparse=SPARSE, sizes=TABLE_SIZES, salt: int = 0) -> str:
     return "\n".join(lines)
 
 
+def plan_1(dense=DENSE, sparse=SPARSE, salt: int = 0) -> str:
+    """Plan 0 with the other table sizes."""
+    return plan_0(dense, sparse, TABLE_SIZES_1, salt)
+
+
 def _wide_plan(n_dense: int, n_sparse: int, cuts: tuple[int, int], sparse_cuts: tuple[int, int, int], rounds: int, dense, sparse) -> str:
     lines = _filled(dense, sparse)
     lines += [f'df["int_{i}"] = df["{dense[i % len(dense)]}"]' for i in range(len(dense), n_dense)]
@@ -235,9 +249,9 @@ def _wide_plan(n_dense: int, n_sparse: int, cuts: tuple[int, int], sparse_cuts:
 
 def plan_2(dense=DENSE, sparse=SPARSE, rounds: int = 4) -> str:
     """26 dense and 52 sparse columns through logit, Box-Cox, one-hot, hash, clamp, first-x and n-gram."""
-    return _wide_plan(26, 52, (7, 16), (11, 27, 39), rounds, dense, sparse)
+    return _wide_plan(26, 52, CUTS_2, SPARSE_CUTS_2, rounds, dense, sparse)
 
 
 def plan_3(dense=DENSE, sparse=SPARSE, rounds: int = 4) -> str:
     """The same over 52 dense and 104 sparse columns."""
-    return _wide_plan(52, 104, (16, 37), (25, 53, 78), rounds, dense, sparse)
+    return _wide_plan(52, 104, CUTS_3, SPARSE_CUTS_3, rounds, dense, sparse)

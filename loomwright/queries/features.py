@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rec, text
+from ..operators import columns as V
 from ..operators.frame import Frame, concat
 from ..plans import dsl
 from ..sources import collate, criteo, formats
-from ..sources.tables import load
+from ..sources.tables import fresh_path, load
 from ..streaming import metrics as M
+from .scalars import sigrid_sql
 
 c = F.col
 QUERIES: dict = {}
@@ -56,10 +55,30 @@ def plan_0(spark, t, _):
     return out.select("l_orderkey", "l_linenumber", c("bucketize_int_0").alias("bucket"), F.round(c("int_3").cast("double"), 3).alias("int_3"), F.size("cat_5").alias("ids"))
 
 
-@query()
+def _cat(i: int, key: str) -> str:
+    return f"SELECT {key} AS k, coalesce(CASE WHEN l_linenumber <> {1 + i % 5} THEN CAST(l_partkey * {i + 3} + l_suppkey AS INT) END, 0) AS x FROM lineitem"
+
+
+def _hash_sums(columns: dict[str, int], sizes: dict[str, int], rounds: int = 1) -> str:
+    """Per column the sum of its ids' hashes, as one row; columns: name to number of the id column."""
+    x = " UNION ALL ".join(_cat(i, f"'{name}'") for name, i in columns.items())
+    most = "(CASE k " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in sizes.items()) + " END)"
+    for _ in range(rounds):
+        x = f"SELECT k, r AS x FROM ({sigrid_sql(x, 0, most)})"
+    return f"(SELECT k, sum(x) AS s FROM ({x}) GROUP BY 1)"
+
+
+def _pivot(sums: str, names) -> str:
+    return ", ".join(f"(SELECT CAST(s AS BIGINT) FROM {sums} WHERE k = '{n}') AS {n}" for n in names)
+
+
+_SIZES_1 = dict(zip(dsl.SPARSE, dsl.TABLE_SIZES_1))
+
+
+@query(f"WITH h AS {_hash_sums({f'cat_{i}': i for i in range(26)}, _SIZES_1)} SELECT {_pivot('h', dsl.SPARSE)}")
 def plan_1(spark, t, _):
     """The same plan with the other table sizes: whole tables' hashes, summed per sparse column."""
-    out = dsl.compile_plan(dsl.plan_0(sizes=[33121, 30875, 15297, 7296, 19902, 4, 6519, 1340, 63, 20388, 945, 253, 11, 2209, 10074, 75, 4, 964, 15, 39991, 7312, 28182, 347, 11111, 98, 35]))(clicks(t))
+    out = dsl.compile_plan(dsl.plan_1())(clicks(t))
     return out.agg(*[F.sum(c(s)[0]).alias(s) for s in dsl.SPARSE])
 
 
@@ -76,12 +95,57 @@ def _wide(t, plan: str):
     return out.agg(*sums)
 
 
-@query()
+def _wide_sql(n_dense: int, n_sparse: int, cuts, sparse_cuts, rounds: int = 4) -> str:
+    """The same sums in SQL: each operator written out, over all rounds."""
+
+    def logit(x: str) -> str:
+        p = f"least(greatest(CAST({x} AS DOUBLE), 0.00001), 1.0 - 0.00001)"
+        return f"CAST(ln({p} / (1 - {p})) AS FLOAT)"
+
+    def boxcox(x: str) -> str:
+        return f"CAST(CASE WHEN {x} > 0 THEN (pow(CAST({x} AS DOUBLE), 0.00001) - 1) / 0.00001 ELSE CAST({x} AS DOUBLE) END AS FLOAT)"
+
+    def first_of_onehot(x: str, k: int) -> str:
+        at = f"CAST(trunc(CAST({x} AS DOUBLE) / (16.0::DOUBLE / {k})) AS BIGINT)"
+        return f"CASE WHEN {x} >= 0 AND {at} > 0 AND {at} < {k} THEN 0.0 ELSE 1.0 END"
+
+    base = ["CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label"]
+    base += [f"CAST(coalesce(CASE WHEN l_linenumber <> {1 + i % 7} THEN CAST(trunc(l_quantity * {i + 1}) AS INT) % 40 END, 0) AS FLOAT) AS d{i}" for i in range(13)]
+    base += [f"CAST(coalesce(CASE WHEN l_linenumber <> {1 + i % 5} THEN CAST(l_partkey * {i + 3} + l_suppkey AS INT) END, 0) AS BIGINT) AS s{i}" for i in range(26)]
+    layers, sums = f"SELECT {', '.join(base)} FROM lineitem", ["CAST(sum(label) AS BIGINT) AS label"]
+    state = [f"d{i % 13} AS int_{i}" for i in range(n_dense)]
+    layers = f"SELECT label, {', '.join(f's{i}' for i in range(26))}, {', '.join(state)} FROM ({layers})"
+    for _ in range(rounds):
+        step = [f"{logit(f'int_{i}') if i < cuts[0] else boxcox(f'int_{i}')} AS int_{i}" for i in range(cuts[1])]
+        layers = f"SELECT * REPLACE ({', '.join(step)}) FROM ({layers})"
+    for i in range(n_dense):
+        sums.append(f"round(sum(CAST(int_{i} AS DOUBLE)), 2) AS int_{i}")
+        if i >= cuts[1]:
+            sums.append(f"round(sum(CAST({first_of_onehot(f'int_{i}', 5)} AS DOUBLE)), 2) AS int_{i}_onehot")
+    hashed = {}
+    for i in range(n_sparse):
+        x, name = f"s{i % 26}", f"cat_{i}"
+        if i < sparse_cuts[0]:
+            hashed[name] = i % 26
+            continue
+        if i < sparse_cuts[1]:
+            sums.append(f"CAST(sum(greatest(0, least(16, {x}))) AS BIGINT) AS {name}")
+            continue
+        sums.append(f"CAST(sum({x}) AS BIGINT) AS {name}")
+        if i < sparse_cuts[2]:
+            sums.append(f"CAST(sum({x}) AS BIGINT) AS {name}firstx")
+        else:
+            sums.append(f"round(sum(CAST({first_of_onehot(x, 8)} AS DOUBLE)), 2) AS {name}ngram")
+    sums_of = _hash_sums(hashed, dict.fromkeys(hashed, 65536), rounds)
+    return f"WITH h AS {sums_of}, w AS ({layers}) SELECT {', '.join(sums)}, {_pivot('h', hashed)} FROM w"
+
+
+@query(_wide_sql(26, 52, dsl.CUTS_2, dsl.SPARSE_CUTS_2))
 def plan_2(spark, t, _):
     return _wide(t, dsl.plan_2())
 
 
-@query()
+@query(_wide_sql(52, 104, dsl.CUTS_3, dsl.SPARSE_CUTS_3))
 def plan_3(spark, t, _):
     return _wide(t, dsl.plan_3())
 
@@ -244,9 +308,14 @@ def df_is_unique(spark, t, _):
     return orders(t).is_unique("o_orderkey")
 
 
-@query("SELECT true AS is_monotonic")
+@query("SELECT bool_and(x >= b) AS is_monotonic FROM (SELECT o_custkey AS x, lag(o_custkey) OVER (ORDER BY o_orderkey) AS b FROM orders)")
 def df_is_monotonic(spark, t, _):
-    return orders(t).is_monotonic("o_orderkey")
+    return orders(t, "o_custkey").is_monotonic("o_custkey")
+
+
+@query("SELECT coalesce(bool_and(x >= b), true) AS is_monotonic FROM (SELECT o_orderdate AS x, lag(o_orderdate) OVER (ORDER BY o_orderdate, o_orderkey) AS b FROM orders)")
+def df_is_monotonic_sorted(spark, t, _):
+    return Frame(t("orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).is_monotonic("o_orderdate")
 
 
 @query("""SELECT 'o_totalprice' AS column, count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min,
@@ -286,8 +355,7 @@ def df_groupby_apply(spark, t, _):
 
 def _folder(spark) -> str:
     """A fresh path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomwright-checkpoints"
-    return f"{root.rstrip('/')}/formats-{uuid.uuid4().hex}"
+    return fresh_path(spark, "formats")
 
 
 for _fmt in ("parquet", "orc", "json", "csv"):
@@ -345,10 +413,14 @@ def io_etl(spark, t, _):
     return criteo.etl(clicks(t), 1000)
 
 
-@query("SELECT sum(n)::BIGINT AS n FROM (SELECT count(*) AS n FROM orders)")
+@query("SELECT o_orderkey, 1::BIGINT AS readers, true AS even FROM orders")
 def io_rank_shards(spark, t, _):
-    parts = [criteo.rank_shard(t("orders"), "o_orderkey", r, 3).agg(F.count("*").alias("n")) for r in range(3)]
-    return parts[0].union(parts[1]).union(parts[2]).agg(F.sum("n").alias("n"))
+    """Every row goes to one of the readers, and no reader gets less than half of its share."""
+    parts = [criteo.rank_shard(t("orders"), "o_orderkey", r, 3).select("o_orderkey", F.lit(r).alias("rank")) for r in range(3)]
+    rows = parts[0].union(parts[1]).union(parts[2])
+    each = rows.groupBy("rank").agg(F.count("*").alias("n"))
+    even = each.agg((F.min("n") * 6 >= F.sum("n")).alias("even"))  # one row
+    return rows.groupBy("o_orderkey").agg(F.count("*").alias("readers")).join(F.broadcast(even), F.lit(True))
 
 
 @query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")

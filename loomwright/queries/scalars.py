@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import presto as P
 from ..functions import rec, sparkdialect as S
+from ..operators import columns as C
 from ..operators import frame as V
 from ..sources.tables import load
 
@@ -77,6 +78,7 @@ MATH = [
     ("math_min", "customer", lambda: P.least("c_acctbal", F.lit(1000.0)), "least(c_acctbal, 1000.0)"),
     ("math_width_bucket", "customer", lambda: P.width_bucket("c_acctbal", -1000.0, 9000.0, 20).cast("bigint"), "CAST(CASE WHEN c_acctbal < -1000 THEN 0 WHEN c_acctbal >= 9000 THEN 21 ELSE floor((c_acctbal + 1000) / 500) + 1 END AS BIGINT)"),
     ("math_width_bucket_array", "customer", lambda: P.width_bucket_array("c_acctbal", [0.0, 1000.0, 5000.0]), "CAST((c_acctbal >= 0)::INT + (c_acctbal >= 1000)::INT + (c_acctbal >= 5000)::INT AS BIGINT)"),
+    ("math_rand", "orders", lambda: (F.rand(3) >= 0) & (F.rand(3) < 1), "true"),
     ("math_constants", "nation", lambda: r6(F.pi() + F.e() + c("n_nationkey")), "round(pi() + exp(1) + n_nationkey, 6)"),
     ("math_infinity_nan", "customer", lambda: F.concat_ws(",", P.is_finite("c_acctbal").cast("string"), P.is_infinite(F.lit(P.INF)).cast("string"), F.isnan(F.lit(P.NAN)).cast("string")), "CASE WHEN isfinite(c_acctbal) THEN 'true' ELSE 'false' END || ',true,true'"),
     ("math_from_base", "customer", lambda: P.from_base(F.lower(F.hex("c_custkey")), 16), "c_custkey"),
@@ -121,6 +123,19 @@ LOGIC = [
     ("row_constructor", "orders", lambda: F.struct(c("o_custkey").alias("a"), c("o_orderstatus").alias("b"))["b"], "o_orderstatus"),
 ]
 
+def _words_that_are(what: str) -> Column:
+    """How many words of the whole text pass a character test."""
+    return F.size(F.filter(F.split("text", r"[\x09-\x0D\x20]+"), lambda w: V.text_is(w, what))).cast("bigint")
+
+
+_LETTERS = r"regexp_extract_all(w, '\p{L}+')"
+#: Tests of a word w in SQL.
+WORD_TESTS = {
+    "isalpha": r"regexp_full_match(w, '\p{L}+')", "isalnum": r"regexp_full_match(w, '[\p{L}\p{N}]+')", "isdigit": r"regexp_full_match(w, '[\p{Nd}\p{No}]+')",
+    "isdecimal": r"regexp_full_match(w, '\p{Nd}+')", "isnumeric": r"regexp_full_match(w, '\p{N}+')", "islower": "lower(w) = w AND upper(w) <> w", "isupper": "upper(w) = w AND lower(w) <> w",
+    "istitle": f"len({_LETTERS}) > 0 AND len(list_filter({_LETTERS}, lambda z: NOT regexp_full_match(z, '[\\p{{Lu}}\\p{{Lt}}]\\p{{Ll}}*'))) = 0",
+}
+
 STRINGS = [
     ("str_chr", "nation", lambda: P.chr_(c("n_nationkey") + 228), "chr(n_nationkey + 228)"),
     ("str_codepoint", "nation", lambda: P.codepoint(F.substring("n_name", 1, 1)), "ascii(n_name)"),
@@ -151,6 +166,7 @@ STRINGS = [
     ("str_match_re", "orders", lambda: rec.match_re("o_orderpriority", r"\d-\w+"), "regexp_full_match(o_orderpriority, '\\d-\\w+')"),
     ("bin_md5", "customer", lambda: F.hex(F.unhex(F.md5("c_name"))), "upper(md5(c_name))"),
     ("bin_sha256", "customer", lambda: F.hex(F.unhex(F.sha2("c_name", 256))), "upper(sha256(c_name))"),
+    ("bin_sha512", "customer", lambda: F.hex(P.sha512("c_name")), None),
     ("bin_hex", "customer", lambda: F.hex("c_name"), "hex(c_name)"),
     ("bin_from_hex", "customer", lambda: F.decode(F.unhex(F.hex("c_name")), "UTF-8"), "c_name"),
     ("bin_to_base64", "customer", lambda: F.base64(F.encode("c_name", "UTF-8")), "base64(encode(c_name))"),
@@ -163,7 +179,8 @@ STRINGS = [
     ("url_query", "pages", lambda: P.url_extract_query("url"), "nullif(regexp_extract(url, '\\?([^#]*)', 1), '')"),
     ("url_fragment", "pages", lambda: P.url_extract_fragment("url"), "nullif(regexp_extract(url, '#(.*)$', 1), '')"),
     ("url_parameter", "pages", lambda: P.url_extract_parameter("url", "page"), "nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '')"),
-    *[(f"text_{k}", "documents", lambda k=k: V.text_is(F.substring("text", 1, 3), k), None) for k in ("isalpha", "isalnum", "isdigit", "isdecimal", "isnumeric", "isspace", "islower", "isupper", "istitle")],
+    *[(f"text_{k}", "documents", lambda k=k: _words_that_are(k), f"CAST(len(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20]+'), lambda w: {sql})) AS BIGINT)") for k, sql in WORD_TESTS.items()],
+    ("text_isspace", "documents", lambda: F.size(F.filter(F.split("text", r"[^\x09-\x0D\x20]+"), lambda w: V.text_is(w, "isspace"))).cast("bigint"), "CAST(len(list_filter(regexp_split_to_array(text, '[^\\x09-\\x0D\\x20]+'), lambda w: w <> '')) AS BIGINT)"),
     ("text_count", "documents", lambda: F.regexp_count("text", F.lit("the")).cast("bigint"), "CAST(len(regexp_extract_all(text, 'the')) AS BIGINT)"),
     ("text_find", "documents", lambda: (F.instr("text", "and") - 1).cast("bigint"), "CAST(strpos(text, 'and') - 1 AS BIGINT)"),
     ("text_contains", "documents", lambda: F.contains("text", F.lit("ing")), "contains(text, 'ing')"),
@@ -171,6 +188,7 @@ STRINGS = [
 ]
 
 TIME = [
+    ("time_from_unixtime_zone", "events", lambda: F.date_format(F.from_utc_timestamp(P.from_unixtime_zone(P.to_unixtime("ts"), "+05:30")["ts"], "+05:30"), "yyyy-MM-dd HH:mm:ss"), "strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')"),
     ("time_to_unixtime", "orders", lambda: P.to_unixtime("o_orderdate"), "epoch(o_orderdate)"),
     ("time_from_unixtime", "orders", lambda: F.date_format(P.from_unixtime(P.to_unixtime("o_orderdate")), "yyyy-MM-dd HH:mm:ss"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"),
     *[(f"time_{n}", "events", lambda f=f: f(c("ts")).cast("bigint"), sql) for n, f, sql in (
@@ -245,7 +263,7 @@ ARRAYS = [
     ("arr_element_at", "embeddings", lambda: F.try_element_at(_ids(), F.lit(-2)), f"({IDS})[-2]"),
     ("arr_subscript", "embeddings", lambda: F.element_at(_ids(), F.lit(1)), f"({IDS})[1]"),
     ("arr_cardinality", "embeddings", lambda: F.cardinality("embedding").cast("bigint"), "len(embedding)"),
-    ("arr_combinations", "embeddings", lambda: F.size(P.combinations(_ids(), 2)).cast("bigint"), "CAST(15 AS BIGINT)"),
+    ("arr_combinations", "embeddings", lambda: j(F.transform(P.combinations(_ids(), 2), lambda p: p[0] * 100 + p[1])), js(f"list_transform(flatten(list_transform([1, 2, 3, 4, 5], lambda i: list_transform(range(i + 1, 7), lambda k: [({IDS})[i], ({IDS})[k]]))), lambda p: p[1] * 100 + p[2])")),
     ("map_entries", "embeddings", lambda: j(F.transform(F.map_entries(F.map_from_arrays(F.sequence(F.lit(1), F.lit(6)), _ids())), lambda e: e["key"] * 100 + e["value"])), js(f"list_transform(list_zip([1, 2, 3, 4, 5, 6], {IDS}), lambda p: p[1] * 100 + p[2])")),
     ("map_concat", "embeddings", lambda: P.map_concat(F.create_map(F.lit("a"), _ids()[0], F.lit("b"), _ids()[1]), F.create_map(F.lit("b"), _ids()[2]))["b"], f"({IDS})[3]"),
     ("map_concat_empty_nulls", "embeddings", lambda: F.size(P.map_concat_empty_nulls(F.when(_ids()[0] > 0, F.create_map(F.lit("a"), _ids()[0])), kind="map<string,bigint>")).cast("bigint"), f"CAST(CASE WHEN ({IDS})[1] > 0 THEN 1 ELSE 0 END AS BIGINT)"),
@@ -255,11 +273,16 @@ ARRAYS = [
     ("map_transform", "embeddings", lambda: F.transform_values(F.transform_keys(F.create_map(F.lit(1), _ids()[0]), lambda k, v: k + 1), lambda k, v: v + k)[F.lit(2)], f"({IDS})[1] + 2"),
 ]
 
+#: Arrays whose text, but not whose own elements, may hold the value; and what holds.
+JSON_CASES = [('["a,1,b"]', 1), ("[[1,2],3]", 1), ('[{"k":[1]}]', 1), ("[1.0,2]", 1), ("[1.0,2]", 1.0), ("[3, 1]", 1), ('["1"]', 1), ('["x","1"]', "1"), ("[true]", True), ("[1]", True), ("[]", 1), ("{}", 1), ("nope", 1), ("[null]", 1), ("[1e0]", 1.0)]
+JSON_WANT = ["false", "false", "false", "false", "true", "true", "false", "true", "true", "false", "false", "null", "null", "false", "true"]
+
 JSON = [
     ("json_extract_scalar", "events", lambda: P.json_extract_scalar("props", "$.k"), "json_extract_string(props, '$.k')"),
     ("json_extract_scalar_of_object", "events", lambda: P.json_extract_scalar(F.concat(F.lit('{"o":'), "props", F.lit("}")), "$.o"), "CAST(NULL AS VARCHAR)"),
     ("json_is_scalar", "events", lambda: P.is_json_scalar("props"), "false"),
     ("json_array_length", "events", lambda: F.json_array_length(F.concat(F.lit("["), "props", F.lit(",1,2]"))).cast("bigint"), "CAST(json_array_length('[' || props || ',1,2]') AS BIGINT)"),
+    ("json_array_contains_nested", "events", lambda: F.concat_ws(",", *[F.coalesce(P.json_array_contains(F.lit(x), v).cast("string"), F.lit("null")) for x, v in JSON_CASES]), f"'{','.join(JSON_WANT)}'"),
     ("json_array_contains", "events", lambda: P.json_array_contains(F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(",7]")), 7), "true"),
     ("json_cast", "events", lambda: F.from_json("props", "k bigint")["k"], "CAST(json_extract_string(props, '$.k') AS BIGINT)"),
     ("json_to", "events", lambda: F.to_json(F.struct(c("user_id").alias("u"))), "'{\"u\":' || user_id || '}'"),
@@ -292,13 +315,37 @@ SPARK = [
     ("sp_getarrayitem", "embeddings", lambda: S.getarrayitem(_ids(), 6), "CAST(NULL AS BIGINT)"),
     ("sp_getmapvalue", "embeddings", lambda: S.getmapvalue(F.map_from_arrays(F.sequence(F.lit(1), F.lit(6)), _ids()), 3), f"({IDS})[3]"),
     ("sp_named_struct", "orders", lambda: F.named_struct(F.lit("a"), c("o_custkey"), F.lit("b"), c("o_orderkey"))["a"], "o_custkey"),
-    ("sp_hash", "customer", lambda: F.hash("c_custkey"), None),
+    ("sp_hash", "customer", lambda: F.hash(c("c_custkey").cast("bigint")), None),
+    ("sp_add_subtract_multiply", "orders", lambda: S.SAME["abs"](c("o_orderkey") + c("o_custkey") * 3 - F.lit(10000)), "abs(o_orderkey + o_custkey * 3 - 10000)"),
+    ("sp_abs_exp_power", "customer", lambda: r6(F.abs("c_acctbal") + F.exp(c("c_acctbal") / 10000) + S.power(c("c_custkey") % 10, F.lit(2))), "round(abs(c_acctbal) + exp(c_acctbal / 10000) + pow(c_custkey % 10, 2), 6)"),
+    ("sp_compare", "orders", lambda: F.concat_ws(",", *[x.cast("string") for x in (c("o_custkey") == 50, c("o_custkey") != 50, c("o_custkey") < 50, c("o_custkey") <= 50, c("o_custkey") > 50, c("o_custkey") >= 50)]), "concat_ws(',', o_custkey = 50, o_custkey <> 50, o_custkey < 50, o_custkey <= 50, o_custkey > 50, o_custkey >= 50)"),
+    ("sp_between", "orders", lambda: c("o_custkey").between(10, 40), "o_custkey BETWEEN 10 AND 40"),
+    ("sp_in", "orders", lambda: F.nullif("o_orderstatus", F.lit("F")).isin("O", "P"), "nullif(o_orderstatus, 'F') IN ('O', 'P')"),
+    ("sp_rand", "orders", lambda: (S.SAME["rand"](7) >= 0) & (S.SAME["rand"](7) < 1), "true"),
+    ("sp_concat_lower_upper_replace", "customer", lambda: F.concat(F.lower("c_name"), F.upper("c_name"), F.replace("c_name", F.lit("#"), F.lit("-"))), "lower(c_name) || upper(c_name) || replace(c_name, '#', '-')"),
+    ("sp_array", "orders", lambda: j(F.array("o_orderkey", "o_custkey")), "o_orderkey || ',' || o_custkey"),
+    ("sp_array_contains", "embeddings", lambda: F.array_contains(_ids(), F.lit(3).cast("bigint")), f"list_contains({IDS}, 3)"),
+    ("sp_array_intersect", "embeddings", lambda: j(F.sort_array(F.array_intersect(_ids(), _ids_b()))), js(f"list_sort(list_intersect({IDS}, {IDS_B}))")),
+    ("sp_map_from_arrays_filter", "embeddings", lambda: j(F.map_values(F.map_filter(F.map_from_arrays(F.sequence(F.lit(1), F.lit(6)), _ids()), lambda k, v: (k > 2) & (v > 0)))), js(f"list_filter(({IDS})[3:6], lambda e: e > 0)")),
+    ("sp_map", "orders", lambda: F.create_map(F.lit("a"), "o_custkey", F.lit("b"), "o_orderkey")["b"], "o_orderkey"),
+    ("sp_transform_aggregate_filter", "embeddings", lambda: F.aggregate(F.filter(F.transform(_ids(), lambda e: e * 3), lambda e: e > 3), F.lit(0).cast("bigint"), lambda a, e: a + e), f"CAST(coalesce(list_sum(list_filter(list_transform({IDS}, lambda e: e * 3), lambda e: e > 3)), 0) AS BIGINT)"),
     ("sp_xxhash64_seed0", "customer", lambda: F.hex(P.xxhash64("c_name")), None),
     ("sp_isnull", "orders", lambda: F.isnull(F.nullif("o_orderstatus", F.lit("F"))) & F.isnotnull("o_orderkey"), "o_orderstatus = 'F'"),
 ]
 
 FRAME = [
-    ("df_true_divide", "orders", lambda: V.true_divide(c("o_orderkey"), F.pmod("o_custkey", F.lit(2))).cast("string"), None),
+    ("df_true_divide", "orders", lambda: V.true_divide(c("o_orderkey"), F.pmod("o_custkey", F.lit(2))), "CASE WHEN o_custkey % 2 = 1 THEN CAST(o_orderkey AS DOUBLE) WHEN o_orderkey = 0 THEN 'NaN'::DOUBLE ELSE 'Infinity'::DOUBLE END"),
+    ("df_str_strip", "customer", lambda: C.str_strip(F.concat(F.lit(" \t"), "c_name", F.lit("\n "))), "c_name"),
+    ("df_str_slice", "customer", lambda: F.concat_ws("|", C.str_slice("c_name", 2, 5), C.str_slice("c_name", -4), C.str_slice("c_name", 3, -3), C.str_slice("c_name", 900)), "substr(c_name, 3, 3) || '|' || right(c_name, 4) || '|' || substr(c_name, 4, length(c_name) - 6) || '|'"),
+    ("df_str_cat", "customer", lambda: C.str_cat("c_name", F.lit("-"), "c_mktsegment"), "c_name || '-' || c_mktsegment"),
+    ("df_str_findall", "documents", lambda: F.size(C.str_findall("text", r"[0-9]+")).cast("bigint"), "CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT)"),
+    ("df_list_vmap", "embeddings", lambda: j(C.list_vmap(_ids(), lambda e: e * e - 1)), js(f"list_transform({IDS}, lambda e: e * e - 1)")),
+    ("df_list_map_filter_reduce", "embeddings", lambda: C.list_reduce(C.list_filter(C.list_map(_ids(), lambda e: e + 1), lambda e: e > 2), lambda a, e: a * 2 + e, F.lit(0).cast("bigint")), f"list_reduce(list_concat([0::BIGINT], list_filter(list_transform({IDS}, lambda e: e + 1), lambda e: e > 2)), lambda a, e: a * 2 + e)"),
+    ("df_list_flatmap", "embeddings", lambda: j(C.list_flatmap(_ids(), lambda e: F.array(e, -e))), js(f"flatten(list_transform({IDS}, lambda e: [e, -e]))")),
+    ("df_list_length_get_slice_join", "embeddings", lambda: F.concat_ws("|", C.list_length("embedding").cast("string"), C.list_get(_ids(), -1).cast("string"), C.list_join(C.list_slice(_ids(), 1, -1), "-")), f"len(embedding) || '|' || ({IDS})[6] || '|' || array_to_string(({IDS})[2:5], '-')"),
+    ("df_map_get", "orders", lambda: C.map_get(F.create_map(F.lit("F"), "o_custkey", F.lit("O"), "o_orderkey"), c("o_orderstatus"), -1), "CASE o_orderstatus WHEN 'F' THEN o_custkey WHEN 'O' THEN o_orderkey ELSE -1 END"),
+    ("df_functional", "customer", lambda: C.call("width_bucket", "c_acctbal", -1000.0, 9000.0, 20).cast("bigint") + C.call("length", "c_name"), "CAST(CASE WHEN c_acctbal < -1000 THEN 0 WHEN c_acctbal >= 9000 THEN 21 ELSE floor((c_acctbal + 1000) / 500) + 1 END AS BIGINT) + length(c_name)"),
+    ("df_deferred", "orders", lambda: C.evaluate((C.me["o_custkey"] + 1) * C.me["o_orderkey"], {x: c(x) for x in ("o_custkey", "o_orderkey")}), "(o_custkey + 1) * o_orderkey"),
     ("df_floor_divide", "customer", lambda: V.floor_divide(c("c_acctbal").cast("bigint"), F.lit(-7).cast("bigint")), "CAST(floor(CAST(trunc(c_acctbal) AS BIGINT) / -7.0) AS BIGINT)"),
     ("df_floor_mod", "customer", lambda: V.floor_mod(c("c_acctbal").cast("bigint"), F.lit(-7).cast("bigint")), "((CAST(trunc(c_acctbal) AS BIGINT) % -7) + -7) % -7"),
     ("df_int_pow", "customer", lambda: V.int_pow(c("c_custkey") % 10, F.lit(3)), "CAST(pow(c_custkey % 10, 3) AS BIGINT)"),
@@ -320,7 +367,13 @@ def _common(pick: str) -> str:
     return f"coalesce(list_sum(list_transform(list_intersect(list_distinct({IDS}), {IDS_B}), lambda e: {pick}(len(list_filter({IDS}, lambda x: x = e)), len(list_filter({IDS_B}, lambda x: x = e))))), 0)"
 
 
-def _sigrid(x: str, salt: int, most: int) -> str:
+def _dot(a: str, wa: str, b: str, wb: str) -> str:
+    """Sum over common ids of the products of both lists' summed weights."""
+    total = lambda ids, w: f"list_sum(list_transform(list_filter(list_zip({ids}, {w}), lambda p: p[1] = e), lambda p: p[2]))"
+    return f"coalesce(list_sum(list_transform(list_intersect(list_distinct({a}), {b}), lambda e: {total(a, wa)} * {total(b, wb)})), 0)"
+
+
+def sigrid_sql(x: str, salt: int, most: int | str) -> str:
     """The hash in 128-bit arithmetic: every step modulo 2**64."""
     m = "18446744073709551616"
     mul = "11376068507788127593"  # the multiplier in decimals
@@ -351,6 +404,26 @@ def _sigrid(x: str, salt: int, most: int) -> str:
     return sql
 
 
+def murmur_sql(x: str) -> str:
+    """The 32-bit hash of a bigint with seed 42: two halves mixed in, then the final mix."""
+    m = 4294967296
+    turn = lambda v, n: f"((({v} << {n}) | ({v} >> {32 - n})) % {m}::UBIGINT)"
+    times = lambda v, k: f"(({v} * {k}::UBIGINT) % {m}::UBIGINT)"
+    half = lambda v: times(turn("a", 15), 461845907).join([f"SELECT k, lo, hi, h, ", f" AS a FROM (SELECT k, lo, hi, h, {times(v, 3432918353)} AS a FROM ({{0}}))"])
+    mixed = f"SELECT k, lo, hi, ({times(turn('b', 13), 5)} + 3864292196::UBIGINT) % {m}::UBIGINT AS h FROM (SELECT k, lo, hi, xor(h, a) AS b FROM ({{0}}))"
+    steps = [
+        f"SELECT k, CAST(x & 4294967295 AS UBIGINT) AS lo, CAST((x >> 32) & 4294967295 AS UBIGINT) AS hi, 42::UBIGINT AS h FROM ({x})",
+        half("lo"), mixed, half("hi"), mixed,
+        "SELECT k, xor(h, 8::UBIGINT) AS a FROM ({0})", "SELECT k, xor(a, a >> 16) AS a FROM ({0})", f"SELECT k, {times('a', 2246822507)} AS a FROM ({{0}})",
+        "SELECT k, xor(a, a >> 13) AS a FROM ({0})", f"SELECT k, {times('a', 3266489909)} AS a FROM ({{0}})", "SELECT k, xor(a, a >> 16) AS a FROM ({0})",
+        f"SELECT k, CAST(CASE WHEN a >= 2147483648 THEN CAST(a AS BIGINT) - {m} ELSE CAST(a AS BIGINT) END AS INTEGER) AS r FROM ({{0}})",
+    ]
+    sql = steps[0]
+    for s in steps[1:]:
+        sql = s.replace("{0}", sql)
+    return sql
+
+
 FEATURES = [
     ("rec_fill_null", "orders", lambda: rec.fill_null(F.nullif(c("o_custkey"), F.lit(3)), 0, "bigint"), "coalesce(nullif(o_custkey, 3), 0)"),
     ("rec_bucketize", "orders", lambda: rec.bucketize("o_totalprice", [1000.0, 50000.0, 100000.0]), "CASE WHEN o_totalprice <= 1000 THEN 0 WHEN o_totalprice <= 50000 THEN 1 WHEN o_totalprice <= 100000 THEN 2 ELSE 3 END"),
@@ -373,7 +446,10 @@ FEATURES = [
     ("rec_score_sum", "embeddings", lambda: F.round(rec.get_score_sum(_ids(), _w(1), _ids_b(), _w(4)).cast("double"), 3), f"round(CAST(CAST(coalesce(list_sum(list_transform(list_filter(list_zip({IDS_B}, {W_B}), lambda p: list_contains({IDS}, p[1])), lambda p: p[2])), 0) AS FLOAT) AS DOUBLE), 3)"),
     ("rec_score_min", "embeddings", lambda: F.round(rec.get_score_min(_ids(), _ids_b(), _w(4)).cast("double"), 3), f"round(CAST(CAST(coalesce(list_min(list_transform(list_filter(list_zip({IDS_B}, {W_B}), lambda p: list_contains({IDS}, p[1])), lambda p: p[2])), 0) AS FLOAT) AS DOUBLE), 3)"),
     ("rec_score_max", "embeddings", lambda: F.round(rec.get_score_max(_ids(), _ids_b(), _w(4)).cast("double"), 3), f"round(CAST(CAST(coalesce(list_max(list_transform(list_filter(list_zip({IDS_B}, {W_B}), lambda p: list_contains({IDS}, p[1])), lambda p: p[2])), 0) AS FLOAT) AS DOUBLE), 3)"),
-    ("rec_cosine", "embeddings", lambda: F.round(rec.get_cosine_similarity(_ids(), _w(1), _ids_b(), _w(4)).cast("double"), 4), None),
+    ("rec_cosine", "embeddings", lambda: F.round(rec.get_cosine_similarity(_ids(), _w(1), _ids_b(), _w(4)).cast("double"), 4), f"round(CAST(CAST({_dot(IDS, W_A, IDS_B, W_B)} / (sqrt({_dot(IDS, W_A, IDS, W_A)}) * sqrt({_dot(IDS_B, W_B, IDS_B, W_B)})) AS FLOAT) AS DOUBLE), 4)"),
+    ("rec_bucketize_gpu", "customer", lambda: rec.bucketize("c_custkey", [5, 5, 9], "gpu"), "CAST(CASE WHEN c_custkey <= 5 THEN 0 WHEN c_custkey <= 9 THEN 2 ELSE 3 END AS BIGINT)"),
+    ("rec_mapid_gpu", "embeddings", lambda: j(rec.mapid(F.transform(_ids(), lambda e: e - 1), F.array(F.lit(7), F.lit(8), F.lit(9)), "gpu")), js(f"list_transform({IDS}, lambda e: CASE WHEN e < 1 THEN 0 ELSE [7, 8, 9][(e - 1) % 3 + 1] END)")),
+    ("rec_sigrid_hash_gpu", "customer", lambda: rec.sigrid_hash("c_custkey", 7, 1000003, "gpu"), None),
     ("rec_add_tokens", "embeddings", lambda: j(rec.add_tokens(rec.add_tokens(_ids(), [101], True), [102], False)), js(f"list_concat(list_concat([101], {IDS}), [102])")),
     ("rec_sigmoid", "customer", lambda: r6(rec.sigmoid(c("c_acctbal") / 10000)), "round(1 / (1 + exp(-c_acctbal / 10000)), 6)"),
     ("rec_sigrid_hash_list", "embeddings", lambda: j(rec.sigrid_hash_list(_ids(), 0, 100)), None),
@@ -393,5 +469,8 @@ def queries():
 
 def oracle_sql():
     out = {name: _sql(table, KEYS[table], sql, None) for group in GROUPS for name, table, _, sql in group if sql}
-    out["rec_sigrid_hash"] = _sigrid("SELECT o_orderkey AS k, o_custkey AS x FROM orders", 7, 1000003)
+    out["rec_sigrid_hash"] = sigrid_sql("SELECT o_orderkey AS k, o_custkey AS x FROM orders", 7, 1000003)
+    each = sigrid_sql(f"SELECT {{'v': vec_id, 'i': i}} AS k, x FROM (SELECT vec_id, unnest({IDS}) AS x, unnest([1, 2, 3, 4, 5, 6]) AS i FROM embeddings)", 0, 100)
+    out["rec_sigrid_hash_list"] = f"SELECT k.v AS k, string_agg(CAST(r AS VARCHAR), ',' ORDER BY k.i) AS r FROM ({each}) GROUP BY 1"
+    out["sp_hash"] = murmur_sql("SELECT c_custkey AS k, CAST(c_custkey AS BIGINT) AS x FROM customer")
     return out

@@ -1,7 +1,10 @@
-"""Loading of the star-schema, event and corpus tables."""
+"""Loading of the star-schema, event and corpus tables, and tables between steps in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -19,3 +22,36 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temporary views of the tables, for SQL text."""
     for name in names:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine gets a temporary folder; on a cluster, whose machines
+    share no such folder, it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/loomwright-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/loomwright-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application wrote into the shared folder; its results must have been used by then."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
