@@ -18,11 +18,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _null_free(result: Column, *arrays: Column) -> Column:
-    """result where no array is null or holds a null."""
+def _null_free(result: Column, *arrays: Column, nulls: bool = True) -> Column:
+    """result where no array is null or holds a null; nulls: whether arrays may hold nulls, as far as the caller knows."""
     ok = None
     for a in arrays:
-        here = a.isNotNull() & ~F.exists(a, lambda e: e.isNull())
+        here = a.isNotNull() & ~F.exists(a, lambda e: e.isNull()) if nulls else a.isNotNull()
         ok = here if ok is None else ok & here
     return F.when(ok, result)
 
@@ -79,11 +79,11 @@ def clamp(x, low, high) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def clamp_list(a, low, high) -> Column:
+def clamp_list(a, low, high, nulls: bool = True) -> Column:
     if low > high:
         raise ValueError("low must not exceed high")
     a = col(a)
-    return _null_free(F.transform(a, lambda e: F.greatest(F.lit(low), F.least(F.lit(high), e))), a)
+    return _null_free(F.transform(a, lambda e: F.greatest(F.lit(low), F.least(F.lit(high), e))), a, nulls=nulls)
 
 
 def _logit(x: Column, eps: float) -> Column:
@@ -220,24 +220,25 @@ def array_constructor(*xs) -> Column:
     return F.array(*[col(x) for x in xs])
 
 
-def onehot(a, low: float, high: float, k: int) -> Column:
+def onehot(a, low: float, high: float, k: int, nulls: bool = True) -> Column:
     """k zeros and ones by where the first element lies between low and high; outside them, class 0."""
     a = col(a)
     x = F.get(a, F.lit(0)).cast("double")
     at = ((x - F.lit(float(low))) / F.lit((high - low) / k)).cast("int")
     at = F.when((at >= 0) & (at < k) & (x >= F.lit(float(low))), at).otherwise(0)
-    made = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == at, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
-    return _null_free(F.when(F.size(a) > 0, made), a)
+    zero, one = F.lit(0.0).cast("float"), F.lit(1.0).cast("float")
+    made = F.concat(F.array_repeat(zero, at), F.array(one), F.array_repeat(zero, F.lit(k - 1) - at))
+    return _null_free(F.when(F.size(a) > 0, made), a, nulls=nulls)
 
 
-def ngram(a, n: int) -> Column:
+def ngram(a, n: int, nulls: bool = True) -> Column:
     """All windows of n elements, one after the other in one flat array; n is cut to the length."""
     if n <= 0:
         raise ValueError("n must be positive")
     a = col(a)
     width = F.least(F.lit(n), F.size(a))
     windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size(a) - width + 1), lambda i: F.slice(a, i, width)))
-    return _null_free(F.when(F.size(a) == 0, a).otherwise(windows), a)
+    return _null_free(F.when(F.size(a) == 0, a).otherwise(windows), a, nulls=nulls)
 
 
 def mapid(a, mapping, variant: str = "cpu") -> Column:
@@ -253,10 +254,10 @@ def mapid(a, mapping, variant: str = "cpu") -> Column:
     return _null_free(F.transform(a, lambda e: F.when(e >= F.size(m), zero).otherwise(F.get(m, e.cast("int")).cast("bigint"))), a, m)
 
 
-def firstx(a, n: int) -> Column:
+def firstx(a, n: int, nulls: bool = True) -> Column:
     """The first n elements, or all."""
     a = col(a)
-    return _null_free(F.slice(a, 1, n), a)
+    return _null_free(F.slice(a, 1, n), a, nulls=nulls)
 
 
 def add_tokens(a, tokens: list, begin: bool) -> Column:

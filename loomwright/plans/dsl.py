@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rec
 
@@ -42,6 +43,47 @@ OPERATORS: dict[str, Callable[..., Column]] = {
 }
 
 
+#: Operators that ask whether their list may hold nulls: where the schema says it can't, they are spared the look.
+LISTS = {"onehot", "ngram", "firstx", "clamp_list"}
+
+
+def _ok(a: str, nulls: bool) -> str:
+    return f"{a} IS NOT NULL AND NOT exists({a}, e -> e IS NULL)" if nulls else f"{a} IS NOT NULL"
+
+
+def _logit_text(x, eps=1e-6):
+    c = f"greatest({float(eps)!r}D, least({1.0 - eps!r}D, CAST({x} AS DOUBLE)))"
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(ln({c} / (1.0D - {c})) AS FLOAT) END"
+
+
+def _boxcox_text(x, lmbda):
+    d = f"CAST({x} AS DOUBLE)"
+    raised = f"ln({d})" if lmbda == 0 else f"(power({d}, {float(lmbda)!r}D) - 1) / {float(lmbda)!r}D"
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(CASE WHEN {d} > 0 THEN {raised} ELSE {d} END AS FLOAT) END"
+
+
+def _onehot_text(a, low, high, k, nulls=True):
+    x = f"CAST(get({a}, 0) AS DOUBLE)"
+    at = f"CAST(({x} - {float(low)!r}D) / {(high - low) / k!r}D AS INT)"
+    at = f"CASE WHEN {at} >= 0 AND {at} < {k} AND {x} >= {float(low)!r}D THEN {at} ELSE 0 END"
+    made = f"concat(array_repeat(CAST(0 AS FLOAT), {at}), array(CAST(1 AS FLOAT)), array_repeat(CAST(0 AS FLOAT), {k - 1} - {at}))"
+    return f"CASE WHEN {_ok(a, nulls)} AND size({a}) > 0 THEN {made} END"
+
+
+def _ngram_text(a, n, nulls=True):
+    width = f"least({n}, size({a}))"
+    windows = f"flatten(transform(sequence(1, size({a}) - {width} + 1), i -> slice({a}, i, {width})))"
+    return f"CASE WHEN {_ok(a, nulls)} THEN CASE WHEN size({a}) = 0 THEN {a} ELSE {windows} END END"
+
+
+#: The same as SQL text, for operators that wide plans use often: one expression is parsed faster than its columns are built.
+TEXTS: dict[str, Callable[..., str]] = {
+    "cast": lambda x, to: f"CAST({x} AS { {'float32': 'FLOAT', 'float64': 'DOUBLE', 'int32': 'INT', 'int64': 'BIGINT'}.get(to, to)})",
+    "logit": _logit_text, "boxcox": _boxcox_text, "onehot": _onehot_text, "ngram": _ngram_text, "array_constructor": lambda *xs: f"array({', '.join(xs)})",
+    "firstx": lambda a, n, nulls=True: f"CASE WHEN {_ok(a, nulls)} THEN slice({a}, 1, {n}) END",
+}
+
+
 @dataclass
 class Step:
     """One line: the column it writes, the operator, and arguments, columns being ("col", name)."""
@@ -142,6 +184,14 @@ def _values(steps: list[Step]) -> tuple[list[tuple], dict[str, int]]:
     return [(v, *made[v]) for v in sorted(needed)], now
 
 
+def _valid(op: str, args: list) -> bool:
+    """Whether columns stand only where the text form takes them, and numbers are in range; else the column form decides."""
+    columns = [a[0] == "col" for a in args]
+    if op == "array_constructor":
+        return all(columns)
+    return columns[0] and not any(columns[1:]) and (op != "ngram" or ast.literal_eval(args[1][1]) > 0)
+
+
 def compile_plan(text: str) -> Callable[[DataFrame], DataFrame]:
     """A function that applies the plan to a DataFrame: one projection per level of distinct values."""
     values, last = _values(parse(text))
@@ -156,13 +206,31 @@ def compile_plan(text: str) -> Callable[[DataFrame], DataFrame]:
         names[v] = f"_plan_{v}"
         levels_.setdefault(depth[v], []).append((v, op, args))
 
+    # the last level that reads a value, so that each level carries only what is still needed
+    used = {v: max(levels_, default=0) + 1 for v in last.values()}
+    for level in levels_:
+        for _, _, args in levels_[level]:
+            for a in args:
+                if a[0] == "col":
+                    used[a[1]] = max(used.get(a[1], 0), level)
+
     def apply(df: DataFrame) -> DataFrame:
         columns = df.columns
+        kept = {c for c in columns if c not in last}  # the plan doesn't write them again
         for level in sorted(levels_):
-            made = {
-                names[v]: OPERATORS[op](*[F.col(f"`{names[a[1]]}`") if a[0] == "col" else ast.literal_eval(a[1]) for a in args]) for v, op, args in levels_[level]
-            }
-            df = df.withColumns(made)
+            schema = {f.name: f.dataType for f in df.schema}
+            made = []
+            for v, op, args in levels_[level]:
+                sure = op in LISTS and isinstance(schema[names[args[0][1]]], T.ArrayType) and not schema[names[args[0][1]]].containsNull
+                more = {"nulls": False} if sure else {}
+                if op in TEXTS and _valid(op, args):
+                    given = [f"`{names[a[1]]}`" if a[0] == "col" else ast.literal_eval(a[1]) for a in args]
+                    made.append(F.expr(f"{TEXTS[op](*given, **more)} AS `{names[v]}`"))
+                else:
+                    given = [F.col(f"`{names[a[1]]}`") if a[0] == "col" else ast.literal_eval(a[1]) for a in args]
+                    made.append(OPERATORS[op](*given, **more).alias(names[v]))
+            needed = {names[v] for v in used if v in names and used[v] > level and depth[v] < level} | kept
+            df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in needed], *made)
         old = [F.col(f"`{names[last[c]]}`").alias(c) if c in last else F.col(f"`{c}`") for c in columns]
         new = [F.col(f"`{names[v]}`").alias(c) for c, v in last.items() if c not in columns]
         return df.select(*old, *new)

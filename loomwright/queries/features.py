@@ -87,11 +87,12 @@ def _wide(t, plan: str):
     out = dsl.compile_plan(plan)(clicks(t))
     sums = []
     for f in out.drop("l_orderkey", "l_linenumber").schema:
-        x, kind = c(f.name), f.dataType
+        x, kind = f"`{f.name}`", f.dataType
+        real = isinstance(kind.elementType if isinstance(kind, T.ArrayType) else kind, T.FractionalType)
+        to = "DOUBLE" if real else "BIGINT"
         if isinstance(kind, T.ArrayType):
-            kind, zero = kind.elementType, F.lit(0).cast("double" if isinstance(kind.elementType, T.FractionalType) else "bigint")
-            x = F.aggregate(x, zero, lambda a, e: a + e)
-        sums.append(F.round(F.sum(x.cast("double")), 2).alias(f.name) if isinstance(kind, T.FractionalType) else F.sum(x.cast("bigint")).alias(f.name))
+            x = f"aggregate({x}, CAST(0 AS {to}), (a, e) -> a + e)"
+        sums.append(F.expr(f"{'round(' if real else ''}sum(CAST({x} AS {to})){', 2)' if real else ''} AS `{f.name}`"))
     return out.agg(*sums)
 
 
