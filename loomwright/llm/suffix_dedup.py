@@ -10,8 +10,10 @@ corpus `length` times over, positions are first dealt by content:
    have the same name at the same offset, and neighbouring windows mostly share one, so a text falls
    into runs of windows with one name. Names travel as 8-byte hashes; those that occur once in the
    corpus can't be of a repeated window, and only the others come back.
-3. Runs with a name that occurs again are sent to the name's bucket with their bytes, equal bytes of a
-   partition once. A name too frequent for a task is dealt further by the bytes around the k-gram.
+3. Runs with a name that occurs again are sent to the name's bucket with their bytes. Equal runs of a
+   partition are sent once, with their number, and their places stay behind, so that a string which one
+   text repeats over and over costs an entry. A name too frequent for a task is dealt further by the
+   bytes around the k-gram.
 4. In a bucket, equal runs (told by 160-bit digests) are repeated as a whole. Where runs of a name differ, the suffixes at their
    windows are sorted by deep-shallow sorting, separately for each offset of the k-gram: multikey
    quicksort, in which characters are 8 bytes and a ternary split about a median compares one, orders
@@ -20,8 +22,9 @@ corpus `length` times over, positions are first dealt by content:
    it together are repeated.
 5. Each text gets its repeated windows back and drops the bytes that they cover.
 
-Defined results: null text is empty; texts shorter than `length` lose nothing; rows that repeat repeat
-each other; a null key stays null; empty tables give empty results; other columns aren't read.
+Defined results: null text is empty; texts shorter than `length` lose nothing; texts of any length are
+judged whole; rows that repeat repeat each other, and of equal strings none is kept; a null key stays
+null; empty tables give empty results; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -347,10 +350,13 @@ def _repeated_names(hot: int):
 
 
 def _records(parts: int, length: int, k: int):
-    """(bucket, part, head, body) rows of a part's runs whose names occur again.
+    """Rows of a part's runs whose names occur again.
 
-    head: per run its group, content's number, text's place, first window and gram's offset; body: how many
-    windows each distinct content has, and the contents.
+    Runs with one name, content and gram's offset are one entry, with their number, so that a text which
+    repeats one string over and over sends it once. Rows for a bucket have, in head, each entry's group,
+    content's number, gram's offset, runs and number in the part, and in body the contents, with their
+    windows in counts. A row of a bucket below 0, of its own, holds the part's places, as text's place and
+    first window in the order of entries, with the runs of each entry in counts.
     """
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("head", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
 
@@ -381,13 +387,24 @@ def _records(parts: int, length: int, k: int):
                     sub = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=g.to_bytes(8, "big") + bytes([low // STEP])).digest(), "big")
                     per.setdefault((sub >> 32) * parts >> 32, []).append((sub, d, f, n, o))
                     f += n
+            kids, docs, firsts, done = [], [], [], 0
             for bucket, rows in sorted(per.items()):
                 contents: dict[tuple[int, bytes], int] = {}
-                number = [contents.setdefault((c, texts[d][f : f + c + length - 1]), len(contents)) for _, d, f, c, _ in rows]
-                head = np.array([(r[0] - (1 << 64) if r[0] >> 63 else r[0], n, r[1], r[2], r[4]) for r, n in zip(rows, number)], np.int64)
-                packed = head[:, 0].tobytes() + head[:, 1:].astype(np.int32).tobytes()
+                entries: dict[tuple[int, int, int], int] = {}
+                for g, d, f, c, o in rows:
+                    number = contents.setdefault((c, texts[d][f : f + c + length - 1]), len(contents))
+                    kids.append(done + entries.setdefault((g, number, o), len(entries)))
+                    docs.append(d)
+                    firsts.append(f)
+                runs = np.bincount(np.array(kids[len(kids) - len(rows) :]) - done, minlength=len(entries))
+                head = np.array([(g - (1 << 64) if g >> 63 else g, n, o) for g, n, o in entries], np.int64)
+                rest = np.stack([head[:, 1], head[:, 2], runs, np.arange(done, done + len(entries))], 1).astype(np.int32)
                 counts = np.array([c for c, _ in contents], np.int32).tobytes()
-                cells.append((bucket, part, _squeeze(packed), counts, _squeeze(b"".join(x for _, x in contents))))
+                cells.append((bucket, part, _squeeze(head[:, 0].tobytes() + rest.tobytes()), counts, _squeeze(b"".join(x for _, x in contents))))
+                done += len(entries)
+            order = np.argsort(np.array(kids, np.int64), kind="stable")
+            places = np.stack([np.array(docs, np.int32)[order], np.array(firsts, np.int32)[order]]) if kids else np.empty((2, 0), np.int32)
+            cells.append((-1 - part, part, b"", np.bincount(kids, minlength=done).astype(np.int32).tobytes() if kids else b"", _squeeze(places.tobytes())))
         return pa.Table.from_arrays([pa.array([c[i] for c in cells], schema.field(i).type) for i in range(5)], schema=schema)
 
     return run
@@ -412,17 +429,19 @@ def _windows(raw, kinds, begin, counts, name, offset, length: int, spans: dict[i
 
 
 def _solve(length: int):
-    """(part, spans) rows of one bucket: repeated windows as (text's place, first, windows)."""
-    schema = pa.schema([("part", pa.int32()), ("spans", pa.binary())])
+    """(part, spans, counts, body) rows: of a bucket repeated windows, as (entry's number, first from its runs' begin, windows); a part's places as they are."""
+    schema = pa.schema([("part", pa.int32()), ("spans", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        source, group, content, doc, first, offset = [], [], [], [], [], []
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.Table.from_arrays([table.column("part"), pa.nulls(len(table), pa.binary()), table.column("counts"), table.column("body")], schema=schema)
+        source, group, content, offset, runs, number = [], [], [], [], [], []
         raw, begin, counts = bytearray(), [], []  # distinct contents end to end
         seen: dict[bytes, int] = {}
         for row in range(len(table)):
             head, count, body = (table.column(c)[row].as_py() for c in ("head", "counts", "body"))
             head, body = _unsqueeze(head), memoryview(_unsqueeze(body))
-            n, at, number = len(head) // 24, 0, []
+            n, at, mine = len(head) // 24, 0, []
             for c in np.frombuffer(count, np.int32).tolist():
                 part = body[at : at + c + length - 1]
                 at += len(part)
@@ -432,23 +451,23 @@ def _solve(length: int):
                     begin.append(len(raw))
                     counts.append(c)
                     raw += part
-                number.append(seen[mark])
+                mine.append(seen[mark])
             rest = np.frombuffer(head, np.int32, 4 * n, 8 * n).reshape(n, 4).astype(np.int64)
             source.append(np.full(n, row))
             group.append(np.frombuffer(head, np.int64, n))
-            content.append(np.array(number, np.int64)[rest[:, 0]])
-            doc.append(rest[:, 1])
-            first.append(rest[:, 2])
-            offset.append(rest[:, 3])
+            content.append(np.array(mine, np.int64)[rest[:, 0]])
+            offset.append(rest[:, 1])
+            runs.append(rest[:, 2])
+            number.append(rest[:, 3])
         del seen
-        source, group, content, doc, first, offset = (np.concatenate(x) for x in (source, group, content, doc, first, offset))
+        source, group, content, offset, runs, number = (np.concatenate(x) for x in (source, group, content, offset, runs, number))
         raw += bytes(16)
         raw, begin, counts = np.frombuffer(raw, np.uint8), np.array(begin, np.int64), np.array(counts, np.int64)
         pair = np.lexsort((offset, content, group))
         g, c, o = group[pair], content[pair], offset[pair]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])))
         kind = np.cumsum(new) - 1  # runs of one name, offset and content
-        times = np.bincount(kind)
+        times = np.bincount(kind, runs[pair])
         at = np.flatnonzero(new)
         kg, kc, ko = g[at], c[at], o[at]
         members = np.bincount(np.cumsum(np.concatenate(([True], kg[1:] != kg[:-1]))) - 1)
@@ -471,9 +490,9 @@ def _solve(length: int):
         for i, k in zip(pair.tolist(), kind.tolist()):
             found = [(0, int(counts[kc[k]]))] if whole[k] else spans.get(k, ())
             for s, w in found:
-                parts_of.setdefault(parts[source[i]], []).append((doc[i], first[i] + s, w))
-        cells = [(p, np.array(v, np.int32).tobytes()) for p, v in sorted(parts_of.items())]
-        return pa.Table.from_arrays([pa.array([x[i] for x in cells], schema.field(i).type) for i in range(2)], schema=schema)
+                parts_of.setdefault(parts[source[i]], []).append((number[i], s, w))
+        cells = [(p, np.array(v, np.int32).tobytes(), None, None) for p, v in sorted(parts_of.items())]
+        return pa.Table.from_arrays([pa.array([x[i] for x in cells], schema.field(i).type) for i in range(4)], schema=schema)
 
     return run
 
@@ -486,8 +505,16 @@ def _finish(length: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts, numbers = _unpack_texts(left)
-        rows = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in right.column("spans").to_pylist()]
-        found = np.concatenate(rows).astype(np.int64) if rows else np.empty((0, 3), np.int64)
+        found = np.empty((0, 3), np.int64)
+        if len(right):
+            rows = [np.frombuffer(x, np.int32).reshape(-1, 3).astype(np.int64) for x in right.column("spans").to_pylist() if x]
+            kept = [(np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(_unsqueeze(x), np.int32).reshape(2, -1).astype(np.int64)) for c, x in zip(right.column("counts").to_pylist(), right.column("body").to_pylist()) if x]
+            if rows and kept:  # a part has one row of places
+                (runs, (doc, first)), spans = kept[0], np.concatenate(rows)
+                n, begin = runs[spans[:, 0]], (np.cumsum(runs) - runs)[spans[:, 0]]
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                spans = np.repeat(spans, n, axis=0)
+                found = np.stack([doc[at], first[at] + spans[:, 1], spans[:, 2]], 1)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         at = np.searchsorted(found[:, 0], np.arange(len(texts) + 1))
         out = []
@@ -519,7 +546,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         raise ValueError("length must be at least 8 bytes")
     spark, k = docs.sparkSession, min(GRAM, length)
     parts = parts_for(measured_bytes(docs, text), spark, 4 << 20)
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     d1, d2 = F.xxhash64(raw), F.xxhash64(F.lit("second"), raw)
     packed = docs.select(d1, d2, raw).mapInArrow(_pack_texts(parts), "part int, keys binary, sizes binary, texts binary")
     by_part = packed.groupBy("part")
@@ -527,7 +554,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     again = names.groupBy("bucket").applyInArrow(_repeated_names(hot), "part int, names binary, hot binary")
     records = by_part.cogroup(again.groupBy("part")).applyInArrow(_records(parts, length, k), "bucket int, part int, head binary, counts binary, body binary")
     # packed rows look small: without a number of its own, this step would get few tasks
-    solved = records.repartition(tasks_for(parts, spark), "bucket").groupBy("bucket").applyInArrow(_solve(length), "part int, spans binary")
-    result = by_part.cogroup(solved.groupBy("part")).applyInArrow(_finish(length), "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    rows = docs.select(F.col(key), F.octet_length(raw).cast("long").alias("n_bytes"), d1.alias("_d1"), d2.alias("_d2"))
+    solved = records.repartition(tasks_for(parts, spark), "bucket").groupBy("bucket")
+    found = solved.applyInArrow(_solve(length), "part int, spans binary, counts binary, body binary")
+    result = by_part.cogroup(found.groupBy("part")).applyInArrow(_finish(length), "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    rows = docs.select(F.col(f"`{key}`"), F.octet_length(raw).cast("long").alias("n_bytes"), d1.alias("_d1"), d2.alias("_d2"))
     return rows.join(result, (F.col("_d1") == F.col("d1")) & (F.col("_d2") == F.col("d2")), "left").select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -54,10 +54,11 @@ def test_suffix_dedup_of_table(spark, sf_dir):
 
 
 def test_suffix_dedup_of_periodic_and_empty(spark):
-    texts = ["ab" * 300, "x" * 700, "y" * 200, "y" * 200 + "z", "é" * 150, ""]
+    texts = ["ab" * 300, "x" * 700, "y" * 200, "y" * 200 + "z", "é" * 150, "", "the " * 900 + "end", "start the the " + "the " * 500, "of " * 70, "q" + "of " * 66]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.repeated_spans(df).collect()}
-    assert [got[i] for i in range(6)] == brute_dedup(texts, 200)
+    for hot in (5_000, 2):
+        got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.repeated_spans(df, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_dedup(texts, 200)
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
