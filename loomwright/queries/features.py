@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions import rec, text
 from ..operators import columns as V
 from ..operators.frame import Frame, concat
 from ..plans import dsl
 from ..sources import collate, criteo, formats
+from ..sources.numbering import numbered
 from ..sources.tables import fresh_path, load
 from ..streaming import metrics as M
 from .scalars import sigrid_sql
@@ -383,7 +389,107 @@ def io_table_write_rows(spark, t, _):
     return spark.createDataFrame([(formats.write(t("nation"), _folder(spark)),)], "rows long")
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+_REGION = "SELECT r_regionkey, r_name FROM region"
+
+
+@query(_REGION)
+def io_pandas(spark, t, _):
+    return formats.from_pandas(spark, formats.to_pandas(t("region").select("r_regionkey", "r_name")))  # five rows
+
+
+@query(_REGION)
+def io_pysequence(spark, t, _):
+    return formats.from_pysequence(spark, formats.to_pylist(t("region").select("r_regionkey", "r_name")), t("region").select("r_regionkey", "r_name").schema)
+
+
+@query("SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings WHERE vec_id < 20")
+def io_numpy(spark, t, _):
+    """A matrix to the driver, in batches, and back as a column of arrays."""
+    rows = t("embeddings").where("vec_id < 20")
+    parts = list(collate.batches(rows.select("vec_id", "embedding"), 7))
+    whole = collate.unbatch(spark, parts, "vec_id long, embedding array<double>")
+    matrix = formats.from_numpy(spark, np.array([e for p in parts for e in p["embedding"].tolist()], np.float64), "e")  # at most 20 rows
+    least = matrix.agg(F.min(F.size("e")).alias("m"))
+    return whole.join(F.broadcast(least), F.size("embedding") == c("m")).select("vec_id", c("m").cast("bigint").alias("n"), c("embedding")[0].alias("x"))
+
+
+@query("SELECT c_name AS value FROM customer")
+def io_text(spark, t, _):
+    path = _folder(spark)
+    formats.write(t("customer").select("c_name"), path, "text")
+    return formats.scan(spark, path, "text")
+
+
+@query("SELECT n_nationkey, true AS here FROM nation")
+def io_path_column(spark, t, _):
+    """Each row's file, as a column."""
+    path = _folder(spark)
+    formats.write(t("nation").select("n_nationkey"), path)
+    return formats.scan(spark, path, path_column="file").select("n_nationkey", F.contains("file", F.lit("part-")).alias("here"))
+
+
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey")
+def io_bucketed(spark, t, _):
+    """Two tables bucketed by their join keys: their join needs no shuffle."""
+    names = [f"loomwright_{x}_{uuid.uuid4().hex[:12]}" for x in ("o", "c")]
+    formats.write_bucketed(t("orders").select("o_orderkey", "o_custkey"), names[0], 4, "o_custkey", path=_folder(spark))
+    formats.write_bucketed(t("customer").select("c_custkey", "c_mktsegment"), names[1], 4, "c_custkey", path=_folder(spark))
+    a, b = (spark.table(n) for n in names)
+    return a.join(b, a["o_custkey"] == b["c_custkey"]).select("o_orderkey", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def rel_round_robin(spark, t, _):
+    """Rows dealt in turn to so many partitions, none of which gets much more than another."""
+    o = t("orders").select("o_orderkey", "o_custkey").repartition(4).withColumn("_p", F.spark_partition_id())
+    return o.where(c("_p") < 4).drop("_p")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
+def rel_merge_exchange(spark, t, _):
+    """Ranges in order, one behind the other: places in the whole order without a task that has all rows."""
+    return numbered(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], "place")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_callback(spark, t, sf_dir):
+    """A stream's batches handed to a function of one's own, which writes them."""
+    path = _folder(spark)
+    s = event_stream(spark, sf_dir).select("event_type")
+    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+    s.writeStream.foreachBatch(sink).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(sum(o_custkey) AS BIGINT) AS reduced FROM orders")
+def df_reduce(spark, t, _):
+    return orders(t, "o_custkey").reduce("o_custkey", lambda a, x: a + x, F.lit(0).cast("bigint"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9")
+def df_trace_replay(spark, t, _):
+    """Calls recorded on one frame and run again on another."""
+    traced = V.Trace(orders(t, "o_custkey")).drop("o_custkey").copy().head(9)
+    return V.replay(traced.statements(), orders(t, "o_custkey")).df
+
+
+@query("SELECT 500::BIGINT AS n, true AS ok")
+def df_rand(spark, t, _):
+    return V.rand(spark, 500, 3).agg(F.count("*").alias("n"), F.bool_and((c("rand") >= 0) & (c("rand") < 1)).alias("ok"))
+
+
+@query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS m FROM orders")
+def win_custom(spark, t, _):
+    """A window function of one's own, in Arrow batches of whole windows."""
+
+    @F.pandas_udf("double")
+    def mean(s: pd.Series) -> float:
+        return float(s.mean())
+
+    return t("orders").select("o_orderkey", F.round(mean("o_totalprice").over(W.partitionBy("o_custkey")), 4).alias("m"))
+
+
+@query(_REGION)
 def io_arrow(spark, t, _):
     return formats.from_arrow(spark, formats.to_arrow(t("region")))  # five rows
 
@@ -401,12 +507,14 @@ def io_criteo_dense_log(spark, t, _):
     return criteo.dense_log(clicks(t)).select("l_orderkey", "l_linenumber", F.round(c("int_0").cast("double"), 4).alias("d"))
 
 
-@query("SELECT p, count(*) AS n, count(DISTINCT i) AS ids FROM (SELECT l_partkey AS p, 1 AS i FROM lineitem) GROUP BY 1 HAVING count(*) >= 30")
+@query("""SELECT l_orderkey, l_linenumber, p, coalesce(new, 1)::BIGINT AS x, s, (CASE WHEN s IS NOT NULL THEN coalesce(snew, 1) END)::BIGINT AS y FROM
+  (SELECT l_orderkey, l_linenumber, l_partkey AS p, nullif(l_suppkey, 1) AS s FROM lineitem)
+  LEFT JOIN (SELECT l_partkey AS k, row_number() OVER (ORDER BY count(*) DESC, l_partkey) + 1 AS new FROM lineitem GROUP BY 1 HAVING count(*) >= 30) ON k = p
+  LEFT JOIN (SELECT l_suppkey AS k2, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) + 1 AS snew FROM lineitem WHERE l_suppkey <> 1 GROUP BY 1 HAVING count(*) >= 30) ON k2 = s""")
 def io_sparse_to_contiguous(spark, t, _):
-    """Frequent ids keep a number of their own from 2 on; rare ones share 1."""
-    li = t("lineitem").select(c("l_partkey").alias("p"), c("l_partkey").alias("x"))
-    out = criteo.sparse_to_contiguous(li, ["x"], 30)
-    return out.where("x >= 2").groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("x").alias("ids"))
+    """Frequent ids are numbered from 2 on, the most frequent first; rare ones share 1; two columns in one pass."""
+    li = t("lineitem").select("l_orderkey", "l_linenumber", c("l_partkey").alias("p"), c("l_partkey").alias("x"), F.nullif("l_suppkey", F.lit(1)).alias("s"), F.nullif("l_suppkey", F.lit(1)).alias("y"))
+    return criteo.sparse_to_contiguous(li, ["x", "y"], 30)
 
 
 @query()

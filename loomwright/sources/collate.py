@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rec import col
@@ -112,5 +112,13 @@ def batches(df: DataFrame, n: int):
         yield _columns(rows)
 
 
+def unbatch(spark: SparkSession, parts, schema: str) -> DataFrame:
+    """Numpy batches as rows again."""
+    rows = []
+    for p in parts:
+        rows += zip(*[p[c].tolist() for c in p])
+    return spark.createDataFrame(rows, schema)
+
+
 def _columns(rows) -> dict[str, np.ndarray]:
     return {c: np.array([r[c] for r in rows]) for c in rows[0].asDict()}

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from .numbering import numbered
+from .tables import materialize
 
 DENSE = [f"int_{i}" for i in range(13)]
 SPARSE = [f"cat_{i}" for i in range(26)]
@@ -44,22 +46,28 @@ def dense_log(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.log(F.coalesce(F.col(c), F.lit(0)).cast("double") + 3).cast("float") for c in DENSE})
 
 
+def contiguous_ids(df: DataFrame, columns: Sequence[str], threshold: int = 0) -> DataFrame:
+    """(column, id, new) for the ids of each column that occur `threshold` times or more: new runs from 2 by descending frequency, then by id.
+
+    All columns are counted in one pass, reduced on the map side, and numbered over ranges of one sort.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("id")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("x")).select("x.column", "x.id").where("id IS NOT NULL").groupBy("column", "id").agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(counts.where(F.col("n") >= threshold), ["column", F.desc("n"), "id"], "place")
+    first = placed.groupBy(F.col("column").alias("_c")).agg(F.min("place").alias("_first"))  # a row per column
+    return placed.join(F.broadcast(first), F.col("column") == F.col("_c")).select("column", "id", (F.col("place") - F.col("_first") + 2).alias("new"))
+
+
 def sparse_to_contiguous(df: DataFrame, columns: Sequence[str], threshold: int = 0) -> DataFrame:
-    """Each column's ids numbered from 2 by descending frequency; ids rarer than the threshold become 1.
+    """Each column's ids numbered from 2 by descending frequency; ids rarer than the threshold become 1, nulls stay.
 
-    Counting reduces on the map side. Numbers are given within hash buckets behind the buckets' totals,
-    so no task numbers all ids. The way back is a join that Spark broadcasts only if it is small.
+    The way back is a join per column with its numbers, which Spark broadcasts only if they are small.
     """
+    ids = materialize(contiguous_ids(df, columns, threshold), "contiguous-ids")
     out = df
     for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-        kept = counts.where(F.col("_n") >= threshold)
-        bucketed = kept.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(256)))
-        before = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.sum("_c").over(W.orderBy("_b")) - F.col("_c"))
-        place = F.row_number().over(W.partitionBy("_b").orderBy(F.desc("_n"), "_id"))
-        ids = bucketed.withColumn("_p", place).join(F.broadcast(before.select("_b", "_before")), "_b")  # 256 rows
-        ids = ids.select("_id", (F.col("_before") + F.col("_p") + 1).alias("_new"))
-        out = out.join(ids, out[c] == ids["_id"], "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("_new", F.lit(1).cast("bigint")))).drop("_id", "_new")
+        mine = ids.where(F.col("column") == c).select(F.col("id").alias("_id"), F.col("new").alias("_new"))
+        out = out.join(mine, out[c].cast("bigint") == mine["_id"], "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("_new", F.lit(1).cast("bigint")))).drop("_id", "_new")
     return out
 
 

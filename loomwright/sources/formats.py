@@ -33,9 +33,10 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode:
     return seen.get["rows"]
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, *columns: str) -> None:
-    """A table whose joins on the columns need no shuffle."""
-    df.write.bucketBy(buckets, *columns).sortBy(*columns).mode("overwrite").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, *columns: str, path: str | None = None) -> None:
+    """A table whose joins on the columns need no shuffle; in the warehouse, or at a path."""
+    writer = df.write.bucketBy(buckets, *columns).sortBy(*columns).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:

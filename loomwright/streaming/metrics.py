@@ -5,12 +5,15 @@ States are sums, so that a metric is one aggregation for all tasks together; str
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import materialize
+
 ETA = 1e-12
 
 
@@ -58,15 +61,14 @@ def window_metrics(df: DataFrame, task: str, batch: str, window_samples: int, p:
     per = df.groupBy(task, batch).agg(*[F.sum(t).alias(f"b_{k}") for k, t in terms.items()])
     life = W.partitionBy(task).orderBy(batch).rowsBetween(W.unboundedPreceding, W.currentRow)
     run = per.withColumns({f"l_{k}": F.sum(f"b_{k}").over(life) for k in terms})
-    # samples up to a batch grow, so the window is a range over them: batches that begin within the last samples
-    back = W.partitionBy(task).orderBy("l_n").rangeBetween(-(window_samples - 1), 0)
-    kept = F.collect_list(F.struct("l_n", *[f"b_{k}" for k in terms])).over(back)
-    run = run.withColumn("_w", F.filter(kept, lambda x: x["l_n"] - x["b_n"] >= F.col("l_n") - window_samples))
-
-    def inside(k: str) -> Column:
-        return F.aggregate("_w", F.lit(0).cast("double"), lambda s, x: s + x[f"b_{k}"].cast("double"))
-
-    run = run.withColumns({f"w_{k}": inside(k) for k in terms})
+    # what the window leaves out are the first batches, up to the last that begins before the window's samples do:
+    # the one behind the last batch that ends there. Its running sums are subtracted.
+    sums = F.struct(*[F.col(f"l_{k}").alias(k) for k in terms])
+    in_order = W.partitionBy(task).orderBy(batch)
+    run = run.withColumns({"_next": F.lead(sums).over(in_order), "_first": F.first(sums).over(life)})
+    ended = W.partitionBy(task).orderBy("l_n").rangeBetween(W.unboundedPreceding, -(window_samples + 1))
+    run = run.withColumn("_gone", F.coalesce(F.last("_next").over(ended), F.when(F.col("l_n") > window_samples, F.col("_first"))))
+    run = run.withColumns({f"w_{k}": F.col(f"l_{k}") - F.coalesce(F.col("_gone").getField(k), F.lit(0)) for k in terms})
     out = run.select(task, batch, *[F.col(f"l_{k}").alias(f"s_{k}") for k in terms], *[f"w_{k}" for k in terms])
     done = finish()
     life_cols = [done[n].alias(f"lifetime_{n}") for n in done]
@@ -77,14 +79,14 @@ def window_metrics(df: DataFrame, task: str, batch: str, window_samples: int, p:
 def auc(df: DataFrame, task: str, p: str = "prediction", y: str = "label", w: str = "weight", tie: Sequence[str] = ()) -> DataFrame:
     """Weighted area under the curve per task, by trapezoids in descending order of prediction; 0.5 if one class is missing.
 
-    Ties go by the tie columns, as rows that tie make steps of their own. A task's rows are ordered by
-    ranges of prediction first: sums per range, then the order within each range, so that one task needn't
-    sort them all.
+    Ties go by the tie columns, as rows that tie make steps of their own. Rows are sorted over ranges, of
+    about equal size whatever the predictions are, and written down; then come sums per range, and the order
+    within each range, so that no task has a task's rows whole.
     """
     rows = df.select(F.col(task).alias("t"), F.col(p).cast("double").alias("p"), (F.col(w) * F.col(y)).cast("double").alias("tp"), (F.col(w) * (1 - F.col(y))).cast("double").alias("fp"), *tie)
-    rows = rows.withColumn("_b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * 1024).cast("int"))
+    rows = materialize(rows.orderBy("t", F.desc("p"), *tie).withColumn("_b", F.spark_partition_id()), "auc-rows")
     per = rows.groupBy("t", "_b").agg(F.sum("tp").alias("btp"))
-    after = W.partitionBy("t").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("t").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     above = per.select(F.col("t").alias("_t"), F.col("_b").alias("_bb"), F.coalesce(F.sum("btp").over(after), F.lit(0.0)).alias("above"))
     run = W.partitionBy("t", "_b").orderBy(F.desc("p"), *tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = rows.withColumn("_c", F.sum("tp").over(run))
@@ -146,21 +148,29 @@ def stream_slots(stream: DataFrame, ident: str, slots: int, group: str):
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
-        held = dict(zip(*state.get)) if state.exists else {}
-        held = {k: list(v) for k, v in held.items()}
+        held = {k: list(v) for k, v in zip(*state.get)} if state.exists else {}
         clock = max((v[2] for v in held.values()), default=0)
+        # entries of the heap are dropped late: one counts only while it is its id's present rank
+        rank = lambda i: (held[i][1].bit_length(), held[i][2], i)
+        heap = [rank(i) for i in held]
+        heapq.heapify(heap)
         for pdf in frames:
             out = []
             for i in pdf[ident].tolist():
                 clock += 1
                 if i in held:
-                    held[i][1] += 1
-                    held[i][2] = clock
+                    held[i][1:] = [held[i][1] + 1, clock]
                 elif len(held) < slots:
                     held[i] = [len(held), 1, clock]
                 else:
-                    gone = min(held, key=lambda k: (held[k][1].bit_length(), held[k][2]))
+                    while heap[0][2] not in held or heap[0] != rank(heap[0][2]):
+                        heapq.heappop(heap)
+                    gone = heapq.heappop(heap)[2]
                     held[i] = [held.pop(gone)[0], 1, clock]
+                heapq.heappush(heap, rank(i))
+                if len(heap) > 4 * slots + 64:
+                    heap = [rank(k) for k in held]
+                    heapq.heapify(heap)
                 out.append(held[i][0])
             yield pd.DataFrame({group: key[0], ident: pdf[ident], "slot": out})
         state.update((list(held), [list(v) for v in held.values()]))

@@ -205,3 +205,134 @@ def test_auc_and_window_metrics(spark):
     df = spark.createDataFrame([("t", 0.9, 1.0, 1.0), ("t", 0.8, 0.0, 1.0), ("t", 0.7, 1.0, 2.0), ("t", 0.1, 0.0, 1.0), ("u", 0.3, 1.0, 1.0)], "task string, prediction double, label double, weight double")
     got = {r.task: r.auc for r in M.auc(df, "task").collect()}
     assert got == {"t": pytest.approx((1 + 3) / 6), "u": 0.5}
+
+
+def test_character_classes(spark):
+    from loomwright.operators import frame
+
+    digits = ["12", "²", "½", "٣", "1a", "", "x²"]
+    df = spark.createDataFrame([(d,) for d in digits], "x string")
+    got = {r.x: tuple(r)[1:] for r in df.select("x", *[frame.text_is(F.col("x"), k).alias(k) for k in ("isdigit", "isdecimal", "isnumeric")]).collect()}
+    assert got == {"12": (True,) * 3, "²": (True, False, True), "½": (True, False, True), "٣": (True,) * 3, "1a": (False,) * 3, "": (False,) * 3, "x²": (False,) * 3}
+
+
+def test_combinations_are_those_of_python(spark):
+    import itertools
+
+    rows = [[], [1], [1, 2, 3], [5, None, 5, 7], list(range(7))]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)] + [(99, None)], "i int, a array<bigint>")
+    for n in range(5):
+        got = {r.i: r.c for r in df.select("i", P.combinations("a", n).alias("c")).collect()}
+        assert got[99] is None
+        for i, r in enumerate(rows):
+            assert [list(c) for c in got[i]] == [list(c) for c in itertools.combinations(r, n)], (r, n)
+
+
+def test_sha512(spark):
+    import hashlib
+
+    assert bytes(spark.range(1).select(P.sha512(F.lit("abc"))).first()[0]) == hashlib.sha512(b"abc").digest()
+
+
+def test_gpu_hash_by_hand(spark):
+    mask = (1 << 64) - 1
+
+    def fnv(x):
+        h = 14695981039346656037
+        for b in x.to_bytes(8, "little"):
+            h = (h ^ b) * 1099511628211 & mask
+        return h
+
+    def spread(x):
+        x = (~x + (x << 21)) & mask
+        x ^= x >> 24
+        x = (x + (x << 3) + (x << 8)) & mask
+        x ^= x >> 14
+        x = (x + (x << 2) + (x << 4)) & mask
+        x ^= x >> 28
+        return (x + (x << 31)) & mask
+
+    def want(i, salt, most):
+        up, k = fnv(salt & mask), 0x9DDFEA08EB382D69
+        a = (fnv(spread(i & mask)) ^ up) * k & mask
+        b = (up ^ a ^ a >> 47) * k & mask
+        b = (b ^ b >> 47) * k & mask
+        b -= (b >> 63) << 64
+        return b % most if most > 1 else b
+
+    ids = [0, 1, -1, 7, 2**62, -(2**63)]
+    df = spark.createDataFrame([(i,) for i in ids], "x bigint")
+    for salt, most in ((0, 100), (7, 1000003), (-3, 1)):
+        got = {r.x: r.h for r in df.select("x", rec.sigrid_hash("x", salt, most, "gpu").alias("h")).collect()}
+        assert got == {i: want(i, salt, most) for i in ids}
+
+
+def test_positions_over_ranges(spark):
+    from loomwright.sources.numbering import numbered
+
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), "id").repartition(7)
+    got = sorted((r.i, r.a, r.id) for r in numbered(df, ["a", F.desc("id")], "i").collect())
+    rows = sorted(((r.a, r.id) for r in df.collect()), key=lambda x: (x[0], -x[1]))
+    assert got == [(i, *r) for i, r in enumerate(rows)]
+    assert numbered(df.limit(0), ["a"], "i").count() == 0
+
+
+def test_monotonic_over_blocks(spark, monkeypatch):
+    from loomwright.operators import frame
+
+    monkeypatch.setattr(frame, "BLOCK_ROWS", 10)
+    up = spark.range(95).select("id", F.col("id").alias("x"))
+    assert frame.Frame(up, ["id"]).is_monotonic("x").first()[0] and not frame.Frame(up, ["id"]).is_monotonic("x", increasing=False).first()[0]
+    for at in (9, 10, 20, 94):  # a fall on either side of a block's end
+        fall = up.withColumn("x", F.when(F.col("id") == at, -1).otherwise(F.col("id")))
+        assert not frame.Frame(fall, ["id"]).is_monotonic("x").first()[0]
+
+
+def test_functions_by_name_and_deferred_expressions(spark):
+    from loomwright.operators import columns as C
+
+    df = spark.createDataFrame([(3, "ab", {"k": 1})], "a int, b string, m map<string,int>")
+    expr = (C.me["a"] * 2 + 1 > 6) & ~(C.me["a"] == 4)
+    got = df.select(C.evaluate(expr, df), C.evaluate(C.me.length(C.me["b"]), df), C.map_get("m", "k", 9), C.map_get("m", "z", 9)).first()
+    assert tuple(got) == (True, 2, 1, 9)
+    with pytest.raises(AttributeError):
+        C.function("no_such_function")
+    with pytest.raises(ValueError):
+        C.replay(["import os"], df)
+    with pytest.raises(ValueError):
+        C.replay(["frame = frame._private()"], df)
+
+
+def test_shared_folder_on_a_cluster_has_to_be_named():
+    from loomwright.sources import tables
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session())
+
+
+def test_shared_folder_is_cleaned(spark):
+    from loomwright.sources import tables
+
+    assert tables.materialize(spark.range(3), "x").count() == 3
+    other = tables.shared_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(other)
+    assert path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_text_forms_of_plan_operators_agree_with_columns(spark):
+    from loomwright.plans import dsl
+
+    df = spark.createDataFrame([(1.5, [1, 2, None]), (None, [3, 40, 5]), (-2.0, []), (0.2, None)], "x double, a array<bigint>")
+    for op, args in (("logit", ("x", 1e-5)), ("boxcox", ("x", 0.5)), ("boxcox", ("x", 0)), ("onehot", ("a", 0.0, 16.0, 5)), ("ngram", ("a", 2)), ("firstx", ("a", 2)), ("cast", ("x", "float32")), ("array_constructor", ("x",))):
+        text = F.expr(dsl.TEXTS[op](f"`{args[0]}`", *args[1:])).alias("t")
+        made = df.select(text, dsl.OPERATORS[op](F.col(args[0]), *args[1:]).alias("c")).collect()
+        assert all(r.t == r.c for r in made), op
