@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, for every stage: rows with a null key, language, source or length are rows like any
+other; a null text stays null up to packing and counts as empty; texts of any length are taken whole;
+rows that repeat are judged alike, near-duplicate removal leaves one of them; an empty table gives an
+empty result; extra columns, whatever their names, are carried along by all but packing. What each stage
+does with them beyond that stands in its operator's docstring.
 """
 
 from __future__ import annotations
@@ -21,27 +27,27 @@ SHINGLE, SIMILARITY = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep (operator 10)."""
+    """Documents that the quality rules keep (operator 10): a text that is null or has fewer than ten words goes, a tie with a cutoff stays."""
     return filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (operator 5): that with the smallest id."""
+    """One document of each class of near duplicates (operator 5): that with the smallest id, null last, of rows that repeat one; texts without words stay."""
     return keep_one(docs, shingle=SHINGLE, threshold=SIMILARITY)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked (operator 4)."""
+    """All documents, secrets masked (operator 4), n_chars renewed where the text changed; of overlapping finds one mark is left."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (operator 8)."""
+    """Documents as often as the mix of sources takes them (operator 8): whole, twice at most; those without words go; rows that repeat share evenly."""
     return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens (operator 6)."""
+    """Pieces of all documents in sequences of 4096 tokens (operator 6); a null or empty text is its end token."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
