@@ -62,6 +62,28 @@ def test_suffix_dedup_of_periodic_and_empty(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_tables_without_statistics_get_few_tasks(spark):
+    """Spark takes a table made of a list for endless; partitions come from its bytes."""
+    from loomwright.llm import _util, sharding
+
+    df = documents(spark)
+    assert _util.measured_bytes(df, "text") == sum(len((r[1] or "").encode()) for r in rows())
+    assert _util.measured_bytes(df.limit(0), "text") == 0 and _util.tasks_for(1 << 20, spark) == 64
+    for out in (suffix_dedup.repeated_spans(df), ngram_join.ngram_classes(df), sharding.shard_documents(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        numbers = [int(n) for n in re.findall(r"partitioning\(.*?, (\d+)\)", plan)]
+        assert numbers and max(numbers) <= 64
+
+
+def test_names_spread_over_buckets():
+    """Least hashes are small numbers; buckets are cut from all of the range."""
+    r = random.Random(6)
+    raw = np.frombuffer("".join(r.choices("abcdefgh ", k=60_000)).encode(), np.uint8)
+    name = suffix_dedup.window_runs(raw, 200, 48)[3]
+    bucket = np.bincount(((name >> np.uint64(32)) * np.uint64(16) >> np.uint64(32)).astype(int), minlength=16)
+    assert bucket.min() > 0.5 * bucket.mean() and bucket.max() < 2 * bucket.mean()
+
+
 def test_deep_shallow_orders_suffixes():
     r = random.Random(1)
     raw = "".join(r.choices("ab", k=3000)).encode() + b"b" * 300
