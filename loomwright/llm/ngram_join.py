@@ -51,7 +51,7 @@ from .urls import bloom, maybe, sized
 #: Shingles of a block of a component, keys of a packed batch.
 BLOCK_SHINGLES, BATCH_KEYS = 2_000_000, 1 << 20
 #: Children of a tree's node, pairs of nodes looked at together, and bits of a token bitmap: 64 times the mean size, within these.
-FANOUT, PAIRS, BITS = 8, 2048, (512, 1 << 15)
+FANOUT, PAIRS, BITS = 8, 1024, (512, 1 << 13)
 #: Orders by a least hash in which neighbours are compared before the tree is built.
 ORDERS = 4
 #: Sets that stand for a block's largest class.
@@ -123,21 +123,17 @@ def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = Non
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-class UnionFind:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least of its component over the links a - b, by hooking roots and shortening paths."""
+    up = np.arange(n)
+    while len(a):
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        open_ = low != high
+        a, b = a[open_], b[open_]
+        np.minimum.at(up, high[open_], low[open_])
+        while ((above := up[up]) != up).any():
+            up = above
+    return up
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -262,7 +258,7 @@ def tree_join(
     weight = np.bincount(labels.of, minlength=n)[labels.of]
     order = np.lexsort((least, size, labels.of, -weight))
     bits = BITS[0]
-    while bits < BITS[1] and bits < 64 * len(flat) // n and n * bits < 1 << 30:
+    while bits < BITS[1] and bits < 64 * len(flat) // n and n * bits < 1 << 28:
         bits *= 2
     tree = SignatureTree(bitmaps([sets[i] for i in order.tolist()], bits), size[order])
     top = len(tree.levels) - 1
@@ -350,10 +346,7 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, freq
             keys, who = keys[order], who[order]
             fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
             same = np.flatnonzero(~fresh)
-            found, digest = UnionFind(len(ids)), np.array(ids, np.int64)
-            for i, j in np.unique(np.stack([who[same - 1], who[same]], 1), axis=0).tolist():
-                found.join(i, j)
-            root = np.array([found.find(i) for i in range(len(ids))])
+            digest, root = np.array(ids, np.int64), local_components(len(ids), who[same - 1], who[same])
             tied = np.flatnonzero(root != np.arange(len(ids)))
             pairs = np.stack([digest[root[tied]], digest[tied]], 1)
             keys, who = keys[fresh], digest[who[fresh]]
@@ -397,14 +390,11 @@ def _stars(table: pa.Table) -> pa.Table:
     order = np.argsort(keys, kind="stable")
     keys, who = keys[order], who[order]
     same = np.flatnonzero(keys[1:] == keys[:-1])
-    pairs = [np.stack([who[same], who[same + 1]], 1), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("ties").to_pylist())]
-    pairs = np.concatenate(pairs)
-    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-    nodes, flat = np.unique(pairs, return_inverse=True)
-    found = UnionFind(len(nodes))
-    for i, j in flat.reshape(-1, 2).tolist():
-        found.join(i, j)
-    root = np.array([found.find(i) for i in range(len(nodes))], np.int64)
+    ties = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("ties").to_pylist()]
+    ends = np.concatenate([who[same], *(t[:, 0] for t in ties)]), np.concatenate([who[same + 1], *(t[:, 1] for t in ties)])
+    differ = ends[0] != ends[1]
+    nodes, flat = np.unique(np.concatenate([ends[0][differ], ends[1][differ]]), return_inverse=True)
+    root = local_components(len(nodes), flat[: len(flat) // 2], flat[len(flat) // 2 :])
     out = root != np.arange(len(nodes))
     return pa.table({"a": nodes[root[out]] if len(nodes) else nodes, "b": nodes[out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
