@@ -94,7 +94,7 @@ def window_runs(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nd
         place = (m & U(2 * SEGMENT - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         count = np.diff(np.append(first, len(place)))
-        out.append((first + a, count, place[first] + a, names[place[first]]))
+        out.append((first + a, count, place[first] + a, mix(names[place[first]])))  # least hashes are small: spread them over buckets
     if not out:
         e = np.empty(0, np.int64)
         return e, e, e, np.empty(0, U)
