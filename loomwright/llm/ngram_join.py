@@ -14,7 +14,9 @@ operator gives each row its class, connected over links.
    key of shingles. Keys travel in packed blocks, 12 bytes each; sets that share a key within a packed
    batch are tied there, and one of them is sent.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
-   then by star contraction over the cluster.
+   then by star contraction over the cluster. The sets of these components send the keys of other cuts
+   once more; what stays together must be in one component both times, so that sets which met by chance
+   part again and their texts needn't travel.
 4. A coarse component's texts are fetched past a Bloom filter of their ids and joined exactly by a
    signature tree. Its leaves are sets with their token bitmaps; a node holds the OR and the AND of
    its leaves' bitmaps and their size range. A dual traversal from the root drops pairs of nodes whose
@@ -90,17 +92,19 @@ class Classes:
         return self.parts[c]
 
 
-def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = None) -> np.ndarray:
+def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = None, turn: int = 0) -> np.ndarray:
     """Keys of a set for its own group and the one below; none where only equal sets link.
 
     If at least as many parts hold something as linked sets could differ in, plus one, then any linked
     set shares a part that isn't empty. Otherwise the set sends the parts of a further cut as well; so
     does the other, or it is itself a set for which this cut was enough. frequent, ascending, has to be
-    the same for all sets.
+    the same for all sets. Each turn has cuts of its own, and linked sets share a key in every turn.
     """
     out, c, rare = [], classes.of(len(s)), s
     if frequent is not None and len(frequent):
         rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    if turn:
+        rare = np.sort(mix(rare ^ U(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     for group in (c, c - 1):
         k, need = classes.cut(group) if group >= 0 else (1, 1)
         if need == 1:
@@ -117,7 +121,7 @@ def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = Non
             if len(first) >= need or seed >= 16:
                 break
             seed += 1
-            x = np.sort(mix(s ^ U(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
+            x = np.sort(mix(s ^ U((seed + 17 * turn) * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
         if len(first) < need:  # hardly ever; both sets then also send what an empty part stands for
             out.append(mix(np.array([group], U)))
     return np.concatenate(out) if out else np.empty(0, U)
@@ -328,7 +332,7 @@ def _frequent(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(U))
 
 
-def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray) -> DataFrame:
+def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray, turn: int = 0) -> DataFrame:
     """(bucket, block, ties) rows: a block has as many 4-byte keys as 8-byte digests, of a batch's sets.
 
     Equal sets of a batch send once. Sets of a batch that share a key are tied to each other there (ties:
@@ -365,7 +369,7 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, freq
                     if len(s):
                         d = set_digest(s)
                         mark = d, len(s), int(s[0]), int(s[-1])  # another set with this digest sends as well
-                        if mark not in seen and len(keys := part_keys(s, classes, frequent)):
+                        if mark not in seen and len(keys := part_keys(s, classes, frequent, turn)):
                             seen.add(mark)
                             held.append(keys)
                             ids.append(d)
@@ -405,9 +409,11 @@ def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: i
     ids = found.where("kind = 0").drop("kind")
     shingles = ids.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(12 * shingles, docs.sparkSession)
-    stars = _keys(docs, text, shingle, threshold, buckets, _frequent(found)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    frequent = _frequent(found)
+    stars = _keys(docs, text, shingle, threshold, buckets, frequent).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     coarse = materialize(connected_components(stars), "ngram-coarse")
-    labels = materialize(_exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles), "ngram-labels")
+    nodes = _refined(docs, _nodes(ids, coarse), key, text, shingle, threshold, frequent)
+    labels = materialize(_exact(docs, nodes, key, text, shingle, threshold, block_shingles), "ngram-labels")
     joined = ids.join(labels.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), "c1", "c2"), (F.col("d1") == F.col("_e1")) & (F.col("d2") == F.col("_e2")), "left")
     own = F.when(F.col("d1").isNotNull(), F.struct(F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2")))
     return joined.select("_id", "n", "h", own.alias("class"))
@@ -430,8 +436,9 @@ def keep_one(
 ) -> DataFrame:
     """One row of each class, that with the smallest key (null last, then by text hash), and every row without shingles.
 
-    The rows that go are found by key and text hash and taken out by an anti-join; of rows that repeat
-    the chosen one, all but one go.
+    The rows that go are found by key and text hash and taken out by an anti-join, which only rows meet
+    that a Bloom filter of those keys and hashes lets pass; of rows that repeat the chosen one, all but
+    one go.
     """
     rows = materialize(_class_rows(docs, key, text, shingle, threshold, block_shingles), "ngram-rows")
     rank = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("h").alias("h"))
@@ -441,13 +448,16 @@ def keep_one(
     mine = F.col("_id").eqNullSafe(F.col("_bi")) & (F.col("h") == F.col("_bh"))
     gone = inside.where(~mine).select("_id", "h").distinct().withColumn("go", F.lit(True))
     twice = inside.where(mine).groupBy("_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id", "h", F.lit(False).alias("go"))
-    marks = gone.union(twice).select(F.col("_id").alias("_mi"), F.col("h").alias("_mh"), "go")
+    marks = materialize(gone.union(twice).select(F.col("_id").alias("_mi"), F.col("h").alias("_mh"), "go"), "ngram-marks")
     string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    named = carried(docs, _key=F.col(f"`{key}`").cast("long"), _hash=F.xxhash64(string))
-    joined = named.join(marks, F.col("_key").eqNullSafe(F.col("_mi")) & (F.col("_hash") == F.col("_mh")), "left")
+    named = carried(docs, _key=F.col(f"`{key}`").cast("long"), _hash=F.xxhash64(string)).withColumn("_mark", F.xxhash64("_key", "_hash"))
+    blocks, parts, small = sized(marks.count())
+    marked = materialize(bloom(marks.select(F.xxhash64("_mi", "_mh").alias("k")), "k", blocks, parts), "ngram-marked")
+    probed = maybe(named, "_mark", marked, "_maybe", blocks, parts, small)
+    joined = probed.where("_maybe").join(marks, F.col("_key").eqNullSafe(F.col("_mi")) & (F.col("_hash") == F.col("_mh")), "left")
     rest = joined.where("go IS NULL").select("_row")
     first = joined.where("NOT go").dropDuplicates(["_mi", "_mh"]).select("_row")
-    return restored(rest.unionAll(first), docs)
+    return restored(probed.where("NOT _maybe").select("_row").unionAll(rest).unionAll(first), docs)
 
 
 def _solver(shingle: int, threshold: int):
@@ -481,21 +491,46 @@ def _solver(shingle: int, threshold: int):
 SOLVED = "d1 long, d2 long, c1 long, c2 long"
 
 
-def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) -> DataFrame:
-    """(d1, d2, c1, c2) of exact classes, for the sets of coarse components."""
+def _nodes(ids: DataFrame, coarse: DataFrame) -> DataFrame:
+    """(d1, d2, band, n, root, rep) of the sets of coarse components, written down."""
     members = coarse.select("node", "root").union(coarse.select("root", "root")).distinct()
     # any row of a set will do: one place stands for each digest
     reps = ids.where("d1 IS NOT NULL").groupBy("d1", "d2", "band", "n").agg(F.min("_id").alias("rep"))
-    nodes = materialize(members.join(reps, members["node"] == reps["d1"]).select("d1", "d2", "band", "n", "root", "rep"), "ngram-nodes")
-    many = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
-    large = materialize(nodes.groupBy("root").agg(many.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
-    split = large.limit(1).count() > 0
+    return materialize(members.join(reps, members["node"] == reps["d1"]).select("d1", "d2", "band", "n", "root", "rep"), "ngram-nodes")
 
+
+def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _text) of the rows that a Bloom filter of the nodes' ids lets pass."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     wanted = nodes.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("k"))
     probe = texts.withColumn("_k", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
     blocks, parts, small = sized(nodes.count())
-    texts = maybe(probe, "_k", bloom(wanted, "k", blocks, parts), "_m", blocks, parts, small).where("_m").select("_id", "_text")
+    return maybe(probe, "_k", bloom(wanted, "k", blocks, parts), "_m", blocks, parts, small).where("_m").select("_id", "_text")
+
+
+def _refined(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, threshold: int, frequent: np.ndarray) -> DataFrame:
+    """nodes by what they share in a further turn as well, without those that are then alone.
+
+    Linked sets are in one component in both turns, so no link is lost; sets that met by chance in the
+    first hardly do so among the few that are left.
+    """
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = parts_for(12 * shingles, docs.sparkSession)
+    keys = _keys(_texts(docs, nodes, key, text), "_text", shingle, threshold, buckets, frequent, 1)
+    again = connected_components(keys.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+    members = again.select("node", "root").union(again.select("root", "root")).distinct().select(F.col("node").alias("_n"), F.col("root").alias("_again"))
+    both = nodes.join(members, F.col("d1") == F.col("_n")).withColumn("root", F.xxhash64("root", "_again")).drop("_n", "_again")
+    both = materialize(both, "ngram-both")
+    more = both.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    return materialize(both.join(more, F.col("root") == F.col("_r"), "left_semi"), "ngram-refined")
+
+
+def _exact(docs, nodes, key, text, shingle, threshold, block_shingles) -> DataFrame:
+    """(d1, d2, c1, c2) of exact classes, for the sets of coarse components."""
+    many = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
+    large = materialize(nodes.groupBy("root").agg(many.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
+    split = large.limit(1).count() > 0
+    texts = _texts(docs, nodes, key, text)
     solve, none = _solver(shingle, threshold), F.lit(None).cast("long")
 
     def fetched(some: DataFrame) -> DataFrame:
@@ -506,7 +541,8 @@ def _exact(docs, ids, coarse, key, text, shingle, threshold, block_shingles) ->
 
     whole = fetched(nodes.join(large, nodes["root"] == large["_r"], "left_anti"))
     whole = whole.select("d1", "d2", "root", none.alias("c1"), none.alias("c2"), "_text").groupBy("root").applyInArrow(solve, SOLVED)
-    return whole.unionByName(_blockwise(materialize(fetched(nodes.join(large, nodes["root"] == large["_r"], "left_semi")), "ngram-texts"), solve, block_shingles))
+    apart = materialize(fetched(nodes.join(large, nodes["root"] == large["_r"], "left_semi")), "ngram-texts")
+    return whole.unionByName(_blockwise(apart, solve, block_shingles))
 
 
 def _blockwise(texts: DataFrame, solve, block_shingles: int) -> DataFrame:

@@ -97,3 +97,60 @@ def test_stages_take_awkward_rows(spark, sf_dir):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") and files.apply(i).getName().endswith(".data") for i in range(files.size()))
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    import time
+
+    from loomwright.sources.tables import materialize
+
+    before, rows = shuffle_files(spark), spark.range(1000).selectExpr("id % 7 AS a").distinct().repartition(3)
+    materialize(rows, "shuffled")
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffle files are left")
+
+
+def test_quality_and_near_duplicates_copy_no_texts(spark, tmp_path):
+    """What both stages write beside their results is small beside the texts."""
+    import os
+
+    from loomwright.sources.tables import shared_dir
+
+    def written():
+        top = shared_dir(spark).removeprefix("file://")
+        return sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(top) for x in names)
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.hex(F.xxhash64("id", i)))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(0).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), written()
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.filter_documents(docs, labels).count() == 100
+    assert ngram_join.keep_one(docs).count() == 100
+    assert written() - before < 300_000  # 100 texts of 34 kB
+
+
+def test_coarse_components_are_refined(spark):
+    """Sets that no link ties and that met in the first turn alone drop out, linked ones stay together."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomwright.llm.shingles import shingle_sets
+
+    texts = [" ".join(f"w{i}_{j}" for j in range(60)) for i in range(8)]
+    texts.append(texts[0] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = list(shingle_sets(pa.array(texts), 3, 2))
+    digests = [(ngram_join.set_digest(a), ngram_join.set_digest(b)) for a, b in sets]
+    nodes = [(*digests[i], 0, len(sets[i][0]), digests[0][0], i) for i in range(9)]  # as if all had met
+    nodes = spark.createDataFrame(nodes, "d1 long, d2 long, band int, n long, root long, rep long")
+    left = ngram_join._refined(df, nodes, "doc_id", "text", 3, 90, np.empty(0, np.uint64)).collect()
+    assert sorted(r.rep for r in left) == [0, 8] and len({r.root for r in left}) == 1

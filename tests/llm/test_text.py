@@ -734,3 +734,23 @@ def test_cutting_stock_reaches_the_bound():
             assert total >= (demand * np.arange(1, 65)).sum() / 64 - 1e-6
             one = packing.pack([int(s) for s, n in zip(range(1, 65), demand) for _ in range(n)], 64)
             assert len(one) == -(-int((demand * np.arange(1, 65)).sum()) // 64)
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_linked_sets_share_a_key_in_every_turn(threshold):
+    r = random.Random(12)
+    classes, checked, other = ngram_join.Classes(threshold), 0, 0
+    for _ in range(600):
+        n = r.choice([9, 10, 11, 13, 18, 20, 40, 100, 333])
+        d = r.randint(0, max(1, n // 5))
+        drop = r.randint(0, d)
+        a = np.array(r.sample(range(1 << 62), n), np.uint64)
+        b = np.concatenate([a[drop:], np.array(r.sample(range(1 << 62), d - drop), np.uint64)])
+        a, b = np.sort(shingles.mix(a)), np.sort(shingles.mix(b))
+        if len(b) and ngram_join.linked(a, b, threshold) and len(set(a.tolist()) ^ set(b.tolist())):
+            frequent = np.sort(r.choice([a, b])[: r.randint(0, n)])
+            for f in (None, frequent):
+                first, again = (set(ngram_join.part_keys(a, classes, f, turn).tolist()) for turn in (0, 1))
+                assert again & set(ngram_join.part_keys(b, classes, f, 1).tolist())
+                other, checked = other + len(first & again), checked + 1
+    assert checked > 100 and other < checked  # cuts of its own
