@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from .rec import _null_free, col
 
 #: A vocabulary up to this size becomes a literal map; a larger one is joined.
 LITERAL_VOCAB = 1000
+#: Characters of text that are encoded, and whose ids are held, at a time; and where a longer text may be cut.
+PIECE, CUT = 1 << 20, re.compile(r"(?<=\w)(?=[ \n])")
 
 
 def lookup_indices(tokens, vocab: dict[str, int] | list[str], default: int) -> Column:
@@ -49,13 +54,47 @@ def _tokenizer(path: str):
     return t
 
 
-def bpe_tokenize(text, path: str) -> Column:
-    """Byte-level BPE ids of a text, as strings. The vocabulary file's path must be readable by the workers."""
+def _pieces(text: str, most: int) -> list[str]:
+    """The text in pieces of about so many characters, cut where a blank follows a word: no token reaches across."""
+    out, at = [], 0
+    while len(text) - at > most and (cut := CUT.search(text, at + most)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
-    @F.pandas_udf("array<string>")
-    def encode(s: pd.Series) -> pd.Series:
-        found = _tokenizer(path).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([[str(i) for i in e.ids] for e in found])
+
+def _encoded(texts: pa.Array, path: str, most: int) -> Iterator[pa.Array]:
+    """Lists of ids as strings, for a few texts at a time: ids are held for about so many characters, tokens never."""
+    tokenizer, held, first, size = _tokenizer(path), [], [0], 0
+
+    def done() -> pa.Array:
+        values = pa.array(np.concatenate(held) if held else np.empty(0, np.int32)).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), values)
+
+    for x in texts:
+        n = first[-1]
+        for piece in _pieces(x.as_py() or "", most):
+            held.append(np.array(tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.int32))
+            n, size = n + len(held[-1]), size + len(piece)
+        first.append(n)
+        if size >= most:
+            yield done()
+            held, first, size = [], [0], 0
+    if len(first) > 1 or not len(texts):
+        yield done()
+
+
+def bpe_tokenize(text, path: str, most: int = PIECE) -> Column:
+    """Byte-level BPE ids of a text, as strings. The vocabulary file's path must be readable by the workers.
+
+    A batch's ids go back in parts of about `most` characters of text, so that memory doesn't grow with a
+    batch; a longer text is encoded piece by piece.
+    """
+
+    @F.arrow_udf("array<string>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield from _encoded(b, path, most)
 
     text = col(text)
     return F.when(text.isNotNull(), encode(text))

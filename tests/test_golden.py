@@ -336,3 +336,20 @@ def test_text_forms_of_plan_operators_agree_with_columns(spark):
         text = F.expr(dsl.TEXTS[op](f"`{args[0]}`", *args[1:])).alias("t")
         made = df.select(text, dsl.OPERATORS[op](F.col(args[0]), *args[1:]).alias("c")).collect()
         assert all(r.t == r.c for r in made), op
+
+
+def test_bpe_of_long_texts_and_large_batches(spark):
+    """Ids come back in parts of a batch, and long texts piece by piece, with the ids of whole texts."""
+    P_ = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    path = P_.path("byte_bpe_50k.json")
+    long = "Ein Wort,  two\n\nwords don't été_ 12 345\t\n x.  " * 40
+    rows = [None, "", long, "  ", *[f"row {i} of many" for i in range(300)], "x" * 500, long + " end "]
+    whole = [[str(i) for i in text._tokenizer(path).encode(x or "", add_special_tokens=False).ids] for x in rows]
+    parts = list(text._encoded(pa.array(rows, pa.string()), path, 100))
+    assert [x for p in parts for x in p.to_pylist()] == whole
+    assert len(parts) > 10 and all(len(p) < 60 for p in parts)  # of all rows together before
+    assert len(text._pieces(long, 100)) > 10 and "".join(text._pieces(long, 100)) == long
+    got = one(spark, text.bpe_tokenize("a", path, 100), [(x,) for x in rows], "a string")
+    assert got == [None, *whole[1:]]
