@@ -12,7 +12,9 @@ operator gives each row its class, connected over links.
    frequent is counted beforehand and only steers the work. A set with too many empty parts also sends
    the parts of another cut, of all its shingles, and so on, so that two linked sets always share a
    key of shingles. Keys travel in packed blocks, 12 bytes each; sets that share a key within a packed
-   batch are tied there, and one of them is sent.
+   batch are tied there, and one of them is sent. Sets that a sketch shows to be alike are tied before
+   and send their keys under one name: near copies share many keys, and would be tied to each other
+   again in each bucket. Names steer the work alone; a set without one goes by its digest.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
    then by star contraction over the cluster. The sets of these components send the keys of other cuts
    once more; what stays together must be in one component both times, so that sets which met by chance
@@ -60,6 +62,10 @@ ORDERS = 4
 REPRESENTATIVES = 8
 #: A shingle counts as shared from so many sets of a batch; so many shared ones are told to all tasks (400 kB).
 SHARED, FREQUENT = 8, 50_000
+#: Ranges of a sketch, in how many of them alike sets agree, and most sets with another's name (16 bytes each, told to all tasks).
+RANGES, ALIKE, NAMES = 8, 4, 1 << 22
+_BOUNDS = np.arange(1, RANGES, dtype=U) * U(2**64 // RANGES)
+RECORD = np.dtype([("key", "<u8"), ("who", "<i8"), ("sketch", "<u2", RANGES)])
 
 
 class Classes:
@@ -100,9 +106,7 @@ def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = Non
     does the other, or it is itself a set for which this cut was enough. frequent, ascending, has to be
     the same for all sets. Each turn has cuts of its own, and linked sets share a key in every turn.
     """
-    out, c, rare = [], classes.of(len(s)), s
-    if frequent is not None and len(frequent):
-        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    out, c, rare = [], classes.of(len(s)), s[~within(s, frequent)]
     if turn:
         rare = np.sort(mix(rare ^ U(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     for group in (c, c - 1):
@@ -127,6 +131,21 @@ def part_keys(s: np.ndarray, classes: Classes, frequent: np.ndarray | None = Non
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The least shingle of a set in each range of hashes, 0 where there is none."""
+    at = np.concatenate(([0], np.searchsorted(s, _BOUNDS), [len(s)]))
+    out, full = np.zeros(RANGES, U), np.flatnonzero(at[1:] > at[:-1])
+    out[full] = s[at[full]]
+    return out
+
+
+def within(s: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    """Which of the shingles are frequent; frequent is ascending."""
+    if frequent is None or not len(frequent):
+        return np.zeros(s.shape, bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n places the least of its component over the links a - b, by hooking roots and shortening paths."""
     up = np.arange(n)
@@ -292,34 +311,35 @@ def tree_join(
 
 
 def _digests(docs: DataFrame, key: str, text: str, k: int, threshold: int) -> DataFrame:
-    """_id, h (the text's hash), n, d1, d2 and band (the last three null where the set is empty) of each row, kind 0.
+    """_id, h (the text's hash), n, d1, d2, band and sketch (the last four null where the set is empty) of each row, kind 0.
 
     Rows of kind 1 hold shingles (h) that distinct sets of a batch share, and in how many of them (n).
     """
-    schema = pa.schema([("kind", pa.int32()), ("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(threshold)
         for b in batches:
             for lo, hi in slices(b.column(2), 4 << 20):
-                n, digests, bands, distinct = [], [], [], {}
+                n, digests, bands, sketches, distinct = [], [], [], [], {}
                 for s, other in shingle_sets(b.column(2).slice(lo, hi - lo), k, 2):
                     n.append(len(s))
                     digests.append((set_digest(s), set_digest(other)) if len(s) else (None, None))
                     bands.append(classes.of(len(s)) if len(s) else None)
+                    sketches.append(sketch(s).tobytes() if len(s) else None)
                     if len(s):
                         distinct[digests[-1]] = s
                 d1, d2 = (pa.array([d[j] for d in digests], pa.int64()) for j in (0, 1))
                 kind = pa.array(np.zeros(hi - lo, np.int32))
-                yield pa.RecordBatch.from_arrays([kind, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), d1, d2, pa.array(bands, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([kind, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), d1, d2, pa.array(bands, pa.int32()), pa.array(sketches, pa.binary())], schema=schema)
                 u, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.empty(0, U), np.empty(0, np.int64))
                 u, times = u[times >= SHARED], times[times >= SHARED]
                 none = pa.nulls(len(u), pa.int64())
                 kind = pa.array(np.ones(len(u), np.int32))
-                yield pa.RecordBatch.from_arrays([kind, none, pa.array(u.view(np.int64)), pa.array(times), none, none, pa.nulls(len(u), pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([kind, none, pa.array(u.view(np.int64)), pa.array(times), none, none, pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())], schema=schema)
 
     string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    ddl = "kind int, _id long, h long, n long, d1 long, d2 long, band int"
+    ddl = "kind int, _id long, h long, n long, d1 long, d2 long, band int, sketch binary"
     return docs.select(F.col(f"`{key}`").cast("long"), F.xxhash64(string), string).mapInArrow(run, ddl)
 
 
@@ -332,11 +352,74 @@ def _frequent(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(U))
 
 
-def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray, turn: int = 0) -> DataFrame:
+def _sketched(ids: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """(bucket, block) rows: a block has records of a rare shingle of a set's sketch, its digest and 16 bits of each such shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            digest, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            keys = np.frombuffer(b"".join(b.column(1).take(pa.array(first)).to_pylist()), U).reshape(-1, RANGES)
+            keys = np.where((keys == 0) | within(keys, frequent), U(0), mix(keys))
+            short = (keys >> U(48)).astype("<u2")
+            who, which = np.nonzero(keys)
+            out = np.empty(len(who), RECORD)
+            out["key"], out["who"], out["sketch"] = keys[who, which], digest[who], short[who]
+            bucket = ((out["key"] >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            out, bucket = out[order], bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(out) else np.empty(0, np.int64)
+            blocks = [out[i:j].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(out)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    return ids.where("d1 IS NOT NULL").select("d1", "sketch").mapInArrow(run, "bucket int, block binary")
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    """Spanning stars (a, b) of a bucket's sets that agree in enough of their sketches with the first set of a shingle."""
+    x = np.concatenate([np.frombuffer(b, RECORD) for b in table.column("block").to_pylist()])
+    x = x[np.lexsort((x["who"], x["key"]))]
+    fresh = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    many = ((x["sketch"] == x["sketch"][lead]) & (x["sketch"] != 0)).sum(1) >= ALIKE
+    return _forest(x["who"][lead[many]], x["who"][many])
+
+
+def _names(ids: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(node, root): digests of sets that go by another's, NAMES of them at most; of more, some whole groups of alike sets.
+
+    Each set is compared with one set for each shingle of its sketch, so that there are at most RANGES ties a set.
+    """
+    buckets = parts_for(RECORD.itemsize * RANGES * ids.where("d1 IS NOT NULL").count(), ids.sparkSession)
+    ties = _sketched(ids, buckets, frequent).groupBy("bucket").applyInArrow(_alike, "a long, b long")
+    names = connected_components(ties)
+    shares = -(-names.count() // NAMES)
+    return names if shares <= 1 else materialize(names.where(F.pmod(F.xxhash64("root"), F.lit(shares)) == 0), "ngram-names")
+
+
+def _told(names: DataFrame):
+    """names as a broadcast variable: nodes, ascending, and their roots."""
+    table = names.select("node", "root").toArrow()
+    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+    order = np.argsort(node)
+    return names.sparkSession.sparkContext.broadcast((node[order], root[order]))
+
+
+def _named(digest: np.ndarray, told) -> np.ndarray:
+    node, root = told.value if told else (digest[:0], digest[:0])
+    if not len(node):
+        return digest
+    at = np.minimum(np.searchsorted(node, digest), len(node) - 1)
+    return np.where(node[at] == digest, root[at], digest)
+
+
+def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, frequent: np.ndarray, turn: int = 0, told=None) -> DataFrame:
     """(bucket, block, ties) rows: a block has as many 4-byte keys as 8-byte digests, of a batch's sets.
 
     Equal sets of a batch send once. Sets of a batch that share a key are tied to each other there (ties:
     pairs of digests), and the first alone sends that key, so that a frequent key costs an entry a batch.
+    A set that told (a broadcast variable) has a name for goes by it instead of its digest.
     """
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("ties", pa.binary())])
 
@@ -350,8 +433,8 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, freq
             keys, who = keys[order], who[order]
             fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
             same = np.flatnonzero(~fresh)
-            digest, root = np.array(ids, np.int64), local_components(len(ids), who[same - 1], who[same])
-            tied = np.flatnonzero(root != np.arange(len(ids)))
+            digest, root = _named(np.array(ids, np.int64), told), local_components(len(ids), who[same - 1], who[same])
+            tied = np.flatnonzero(digest[root] != digest)
             pairs = np.stack([digest[root[tied]], digest[tied]], 1)
             keys, who = keys[fresh], digest[who[fresh]]
             bucket = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int32)  # keys ascend, and so do buckets
@@ -383,6 +466,15 @@ def _keys(docs: DataFrame, text: str, k: int, threshold: int, buckets: int, freq
     return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "bucket int, block binary, ties binary")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Spanning stars (a: root, b: node) of the links a - b."""
+    differ = a != b
+    nodes, flat = np.unique(np.concatenate([a[differ], b[differ]]), return_inverse=True)
+    root = local_components(len(nodes), flat[: len(flat) // 2], flat[len(flat) // 2 :])
+    out = root != np.arange(len(nodes))
+    return pa.table({"a": nodes[root[out]] if len(nodes) else nodes, "b": nodes[out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _stars(table: pa.Table) -> pa.Table:
     """Spanning stars (node, root) of one bucket's sets, connected where they share a key or are tied."""
     keys, who = [], []
@@ -395,24 +487,21 @@ def _stars(table: pa.Table) -> pa.Table:
     keys, who = keys[order], who[order]
     same = np.flatnonzero(keys[1:] == keys[:-1])
     ties = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("ties").to_pylist()]
-    ends = np.concatenate([who[same], *(t[:, 0] for t in ties)]), np.concatenate([who[same + 1], *(t[:, 1] for t in ties)])
-    differ = ends[0] != ends[1]
-    nodes, flat = np.unique(np.concatenate([ends[0][differ], ends[1][differ]]), return_inverse=True)
-    root = local_components(len(nodes), flat[: len(flat) // 2], flat[len(flat) // 2 :])
-    out = root != np.arange(len(nodes))
-    return pa.table({"a": nodes[root[out]] if len(nodes) else nodes, "b": nodes[out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return _forest(np.concatenate([who[same], *(t[:, 0] for t in ties)]), np.concatenate([who[same + 1], *(t[:, 1] for t in ties)]))
 
 
 def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
     """_id, n, h (the text's hash) and class (of two digests; null for empty sets) of each row."""
     found = materialize(_digests(docs, key, text, shingle, threshold), "ngram-digests")
-    ids = found.where("kind = 0").drop("kind")
+    ids = found.where("kind = 0").drop("kind", "sketch")
     shingles = ids.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(12 * shingles, docs.sparkSession)
     frequent = _frequent(found)
-    stars = _keys(docs, text, shingle, threshold, buckets, frequent).groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    coarse = materialize(connected_components(stars), "ngram-coarse")
-    nodes = _refined(docs, _nodes(ids, coarse), key, text, shingle, threshold, frequent)
+    names = _names(found.where("kind = 0").select("d1", "sketch"), frequent)
+    told, same = _told(names), names.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    stars = _keys(docs, text, shingle, threshold, buckets, frequent, 0, told).groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    coarse = materialize(connected_components(stars.unionAll(same)), "ngram-coarse")
+    nodes = _refined(docs, _nodes(ids, coarse), key, text, shingle, threshold, frequent, told, same)
     labels = materialize(_exact(docs, nodes, key, text, shingle, threshold, block_shingles), "ngram-labels")
     joined = ids.join(labels.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), "c1", "c2"), (F.col("d1") == F.col("_e1")) & (F.col("d2") == F.col("_e2")), "left")
     own = F.when(F.col("d1").isNotNull(), F.struct(F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2")))
@@ -508,7 +597,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     return maybe(probe, "_k", bloom(wanted, "k", blocks, parts), "_m", blocks, parts, small).where("_m").select("_id", "_text")
 
 
-def _refined(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, threshold: int, frequent: np.ndarray) -> DataFrame:
+def _refined(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, threshold: int, frequent: np.ndarray, told=None, same: DataFrame | None = None) -> DataFrame:
     """nodes by what they share in a further turn as well, without those that are then alone.
 
     Linked sets are in one component in both turns, so no link is lost; sets that met by chance in the
@@ -516,8 +605,9 @@ def _refined(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: in
     """
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(12 * shingles, docs.sparkSession)
-    keys = _keys(_texts(docs, nodes, key, text), "_text", shingle, threshold, buckets, frequent, 1)
-    again = connected_components(keys.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+    keys = _keys(_texts(docs, nodes, key, text), "_text", shingle, threshold, buckets, frequent, 1, told)
+    stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    again = connected_components(stars.unionAll(same) if same else stars)
     members = again.select("node", "root").union(again.select("root", "root")).distinct().select(F.col("node").alias("_n"), F.col("root").alias("_again"))
     both = nodes.join(members, F.col("d1") == F.col("_n")).withColumn("root", F.xxhash64("root", "_again")).drop("_n", "_again")
     both = materialize(both, "ngram-both")

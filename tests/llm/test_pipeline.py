@@ -154,3 +154,31 @@ def test_coarse_components_are_refined(spark):
     nodes = spark.createDataFrame(nodes, "d1 long, d2 long, band int, n long, root long, rep long")
     left = ngram_join._refined(df, nodes, "doc_id", "text", 3, 90, np.empty(0, np.uint64)).collect()
     assert sorted(r.rep for r in left) == [0, 8] and len({r.root for r in left}) == 1
+
+
+@pytest.mark.parametrize("names", [1 << 22, 20])
+def test_near_copies_are_not_tied_again_in_every_bucket(spark, monkeypatch, names):
+    """Ties of near copies in different tasks grow with the sets, not with the buckets that their keys go to; classes are the same where not all sets have names."""
+    import random
+
+    r, texts, ties = random.Random(3), [], []
+    for i in range(60):
+        texts.append([f"w{r.randrange(10**6)}" for _ in range(600)])
+    for i in range(60):
+        texts.append(texts[i].copy())
+        for at in r.sample(range(600), 3):
+            texts[-1][at] = "other"
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    plain = ngram_join.connected_components
+
+    def counted(edges, *args):
+        ties.append(edges.count())
+        return plain(edges, *args)
+
+    monkeypatch.setattr(ngram_join, "connected_components", counted)
+    monkeypatch.setattr(ngram_join, "parts_for", lambda size, spark: 100)
+    monkeypatch.setattr(ngram_join, "NAMES", names, raising=False)
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_classes(df, shingle=5, threshold=80).collect()}
+    assert got == {i: i % 60 for i in range(120)}
+    if names > 60:
+        assert max(ties) <= 60 * 12
