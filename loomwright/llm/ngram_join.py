@@ -18,7 +18,12 @@ operator gives each row its class, connected over links.
 3. Sets that share keys are joined into coarse components, by union-find within a block of keys and
    then by star contraction over the cluster. The sets of these components send the keys of other cuts
    once more; what stays together must be in one component both times, so that sets which met by chance
-   part again and their texts needn't travel.
+   part again and their texts needn't travel. On a large corpus passages that many texts share still
+   hold some sets together, more than a task can take and most of them without a link. Such a component's
+   sets are told from each other by parities: of the shingles of each place of a bitmap, whether they are
+   even or odd in number. Two sets differ in at least as many shingles as places of theirs differ, so
+   pairs that differ in more places than linked sets in shingles can't link; the others are tied anew.
+   Parities are a twentieth of the texts or less, and blocks of them meet those of the same and the next band.
 4. A coarse component's texts are fetched past a Bloom filter of their ids and joined exactly by a
    signature tree. Its leaves are sets with their token bitmaps; a node holds the OR and the AND of
    its leaves' bitmaps and their size range. A dual traversal from the root drops pairs of nodes whose
@@ -62,6 +67,8 @@ ORDERS = 4
 REPRESENTATIVES = 8
 #: A shingle counts as shared from so many sets of a batch; so many shared ones are told to all tasks (400 kB).
 SHARED, FREQUENT = 8, 50_000
+#: Bits of a set's parities, twice its size to a power of two, within these, and shingles of a block of them.
+PARITIES, SIFT_SHINGLES = (64, 1 << 15), 4_000_000
 #: Ranges of a sketch, in how many of them alike sets agree, and most sets with another's name (16 bytes each, told to all tasks).
 RANGES, ALIKE, NAMES = 8, 4, 1 << 22
 _BOUNDS = np.arange(1, RANGES, dtype=U) * U(2**64 // RANGES)
@@ -179,6 +186,51 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bits, as 64-bit words: which of the places of a bitmap an odd number of the set's shingles fall into."""
+    bits = PARITIES[0]
+    while bits < PARITIES[1] and bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((mix(s) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def folded(words: list[np.ndarray], width: int) -> np.ndarray:
+    """Parities of so many words out of as many or more, a power of two times as many: one row each."""
+    out = np.empty((len(words), width), U)
+    for i, w in enumerate(words):
+        out[i] = np.bitwise_xor.reduce(w.reshape(-1, width), axis=0)
+    return out
+
+
+def near_pairs(n: np.ndarray, words: list[np.ndarray], m: np.ndarray, others: list[np.ndarray], threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of sets, n[i] <= m[j], that sizes and parities don't rule out; both sides ascend by size."""
+    t, wide = threshold, np.array([len(w) for w in words])
+    for width in np.unique(wide).tolist():
+        rows = np.flatnonzero(wide == width)
+        lo, hi = np.searchsorted(m, n[rows[0]]), np.searchsorted(m, 100 * n[rows[-1]] // t, "right")
+        if lo >= hi:
+            continue
+        mine, theirs = folded([words[i] for i in rows.tolist()], width), folded(others[lo:hi], width)
+        step = max(1, (1 << 21) // (hi - lo))
+        for at in range(0, len(rows), step):
+            i = rows[at : at + step]
+            a, b = np.searchsorted(m, n[i[0]]) - lo, np.searchsorted(m, 100 * n[i[-1]] // t, "right") - lo
+            size = n[i][:, None] + m[None, lo + a : lo + b]
+            most = size * (100 - t) // (100 + t)
+            differ = np.zeros(size.shape, np.int32)
+            half = -(-width // 2)
+            for k in range(half):
+                differ += np.bitwise_count(mine[at : at + step, k, None] ^ theirs[None, a:b, k])
+            x, y = np.nonzero((differ <= most) & (n[i][:, None] <= m[None, lo + a : lo + b]))
+            some = max(1, (1 << 22) // width)
+            for c in range(0, len(x), some):
+                u, v = x[c : c + some], y[c : c + some]
+                rest = np.bitwise_count(mine[at + u, half:] ^ theirs[a + v, half:]).sum(1, dtype=np.int64)
+                ok = differ[u, v] + rest <= most[u, v]
+                yield i[u[ok]], lo + a + v[ok]
+
+
 class SignatureTree:
     """Levels of nodes over sets in an order; level 0 are the sets, and a node holds FANOUT of the level below.
 
@@ -502,6 +554,7 @@ def _class_rows(docs: DataFrame, key: str, text: str, shingle: int, threshold: i
     stars = _keys(docs, text, shingle, threshold, buckets, frequent, 0, told).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     coarse = materialize(connected_components(stars.unionAll(same)), "ngram-coarse")
     nodes = _refined(docs, _nodes(ids, coarse), key, text, shingle, threshold, frequent, told, same)
+    nodes = _sifted(docs, nodes, key, text, shingle, threshold, block_shingles)
     labels = materialize(_exact(docs, nodes, key, text, shingle, threshold, block_shingles), "ngram-labels")
     joined = ids.join(labels.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), "c1", "c2"), (F.col("d1") == F.col("_e1")) & (F.col("d2") == F.col("_e2")), "left")
     own = F.when(F.col("d1").isNotNull(), F.struct(F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2")))
@@ -615,10 +668,91 @@ def _refined(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: in
     return materialize(both.join(more, F.col("root") == F.col("_r"), "left_semi"), "ngram-refined")
 
 
+def _large(nodes: DataFrame, block_shingles: int) -> DataFrame:
+    """_r: roots of components too large for a task, written down."""
+    many = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
+    return materialize(nodes.groupBy("root").agg(many.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
+
+
+def _parities(texts: DataFrame, k: int) -> DataFrame:
+    """(_e1, _e2, words) of the sets of texts (_id, _text): a batch's equal sets once."""
+    schema = pa.schema([("_e1", pa.int64()), ("_e2", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(0)):
+                found = {}
+                for s, other in shingle_sets(b.column(0).slice(lo, hi - lo), k, 2):
+                    if len(s):
+                        found[set_digest(s), set_digest(other)] = s
+                e1, e2 = (pa.array([d[j] for d in found], pa.int64()) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([e1, e2, pa.array([parities(s).tobytes() for s in found.values()], pa.binary())], schema=schema)
+
+    return texts.select("_text").mapInArrow(run, "_e1 long, _e2 long, words binary")
+
+
+def _sifter(threshold: int):
+    """Spanning stars (a, b) of the sets of two blocks, side 0 and 1, or of one, side 0 alone, that sizes and parities let link."""
+
+    def sift(table: pa.Table) -> pa.Table:
+        side, n, d = (table.column(c).to_numpy() for c in ("side", "n", "d1"))
+        order = np.lexsort((n, side))
+        side, n, d = side[order], n[order], d[order]
+        words = [np.frombuffer(w, U) for w in table.column("words").take(pa.array(order)).to_pylist()]
+        cut = int(np.searchsorted(side, 1))
+        spans = [(0, cut, cut, len(n)), (cut, len(n), 0, cut)] if cut < len(n) else [(0, cut, 0, cut)]
+        up = np.arange(len(n))
+        for a, b, lo, hi in spans:
+            if a < b and lo < hi:
+                for i, j in near_pairs(n[a:b], words[a:b], n[lo:hi], words[lo:hi], threshold):
+                    up = local_components(len(n), up[a + i], up[lo + j])[up]
+        return _forest(d[up], d)
+
+    return sift
+
+
+def _sifted(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, threshold: int, block_shingles: int) -> DataFrame:
+    """nodes with the components too large for a task parted by parities, without those that are then alone.
+
+    Linked sets are in one component and in the same band or neighbours, meet in a pair of blocks and pass, so no link is lost.
+    """
+    large = _large(nodes, block_shingles)
+    if not large.limit(1).count():
+        return nodes
+    inside = materialize(nodes.join(large, F.col("root") == F.col("_r"), "left_semi"), "ngram-inside")
+    of = F.ceil(F.sum("n") / F.lit(SIFT_SHINGLES)).cast("int")
+    shape = materialize(inside.groupBy(F.col("root").alias("_root"), F.col("band").alias("_band")).agg(of.alias("_of")), "ngram-sift")
+    found = _parities(_texts(docs, inside, key, text), shingle).dropDuplicates(["_e1", "_e2"])
+    sets = inside.join(found, (F.col("d1") == F.col("_e1")) & (F.col("d2") == F.col("_e2"))).drop("_e1", "_e2", "rep")
+    mine = (F.col("root") == F.col("_root")) & (F.col("band") == F.col("_band"))
+    block = F.pmod(F.xxhash64("d1", "d2"), F.col("_of")).cast("int")
+    sets = materialize(sets.join(shape, mine).withColumn("block", block).select("root", "band", "block", "n", "d1", "words"), "ngram-parities")
+    here = (F.col("root") == F.col("_root")) & (F.col("other") == F.col("_band"))
+
+    def met(step: int, side: int) -> DataFrame:
+        """The sets as one side of pairs of blocks (b, i) and (o, j), whose other block is in the band so many above or below."""
+        rows = sets.withColumn("other", F.col("band") + step).join(shape, here).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+        ends = [F.col("band").alias("b"), F.col("block").alias("i"), F.col("other").alias("o"), F.col("x").alias("j")]
+        if side:
+            ends = [F.col("other").alias("b"), F.col("x").alias("i"), F.col("band").alias("o"), F.col("block").alias("j")]
+        if not step:
+            rows = rows.where("block < x" if not side else "x < block")
+        return rows.select("root", *ends, F.lit(side).alias("side"), "n", "d1", "words")
+
+    alone = sets.select("root", F.col("band").alias("b"), F.col("block").alias("i"), F.col("band").alias("o"), F.col("block").alias("j"), F.lit(0).alias("side"), "n", "d1", "words")
+    pairs = alone.unionByName(met(0, 0)).unionByName(met(0, 1)).unionByName(met(1, 0)).unionByName(met(-1, 1))
+    again = connected_components(pairs.groupBy("root", "b", "i", "o", "j").applyInArrow(_sifter(threshold), "a long, b long"))
+    again = again.select(F.col("node").alias("_n"), F.col("root").alias("_again"))
+    parted = inside.join(again, F.col("d1") == F.col("_n"), "left").withColumn("root", F.xxhash64("root", F.coalesce("_again", "d1"))).drop("_n", "_again")
+    parted = materialize(parted, "ngram-parted")
+    more = parted.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    parted = parted.join(more, F.col("root") == F.col("_r"), "left_semi")
+    return materialize(nodes.join(large, F.col("root") == F.col("_r"), "left_anti").unionByName(parted), "ngram-sifted")
+
+
 def _exact(docs, nodes, key, text, shingle, threshold, block_shingles) -> DataFrame:
     """(d1, d2, c1, c2) of exact classes, for the sets of coarse components."""
-    many = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int")
-    large = materialize(nodes.groupBy("root").agg(many.alias("blocks")).where("blocks > 1").select(F.col("root").alias("_r")), "ngram-large")
+    large = _large(nodes, block_shingles)
     split = large.limit(1).count() > 0
     texts = _texts(docs, nodes, key, text)
     solve, none = _solver(shingle, threshold), F.lit(None).cast("long")

@@ -609,6 +609,47 @@ def test_a_giant_group_of_near_copies_goes_block_by_block(spark, monkeypatch):
     assert Counter(tuple(x) for x in ngram_join.ngram_classes(df, block_shingles=1000).collect()) == want
 
 
+def passages(n=240, r=None):
+    """Texts of their own that share passages with others, in a chain and by twos and threes, and a near copy of some."""
+    r = r or random.Random(31)
+    word = lambda: f"w{r.randrange(10**9)}"
+    shared = [[word() for _ in range(25)] for _ in range(n)]
+    out = []
+    for i in range(n):
+        words = shared[i] + [word() for _ in range(40 + i % 30)] + shared[(i + 1) % n] + (shared[(i * 7) % n] if i % 3 == 0 else [])
+        out.append(" ".join(words))
+        if i % 4 == 0:
+            words[r.randrange(len(words))] = word()
+            out.append(" ".join(words))
+    return out
+
+
+def test_parities_lose_no_pair_that_links(spark):
+    texts = near_texts() + passages()
+    sets = sorted((s for s in shingles.shingle_sets(pa.array(texts), 3) if len(s)), key=len)
+    n, words = np.array([len(s) for s in sets]), [ngram_join.parities(s) for s in sets]
+    for t in (60, 80, 90):
+        got = {(min(i, j), max(i, j)) for a, b in ngram_join.near_pairs(n, words, n, words, t) for i, j in zip(a.tolist(), b.tolist())}
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.linked(sets[i], sets[j], t)}
+        assert {(j, i) for i, j in want} <= got
+    both = [(i, j) for i, j in got if i != j]
+    assert len(both) < 2 * len(want) + len(sets)
+
+
+@pytest.mark.parametrize("block", [8_000_000, 4000])
+def test_a_component_held_by_passages_is_parted_before_its_texts_travel(spark, monkeypatch, block):
+    texts = passages()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = brute_sets(texts)
+    want = Counter((i, len(s), c) for i, (s, c) in enumerate(zip(sets, brute_classes(list(range(len(texts))), sets, 70), strict=True)))
+    large, real = [], ngram_join._large
+    monkeypatch.setattr(ngram_join, "SIFT_SHINGLES", 1500)
+    monkeypatch.setattr(ngram_join, "_large", lambda nodes, b: large.append(real(nodes, b)) or large[-1])
+    monkeypatch.setattr(ngram_join, "_blockwise", None)  # whose texts met block by block
+    assert Counter(tuple(x) for x in ngram_join.ngram_classes(df, threshold=70, block_shingles=block).collect()) == want
+    assert [x.count() > 0 for x in large] == [block == 4000, False]
+
+
 def test_trees_join_the_table(spark, sf_dir):
     sets = list({s.tobytes(): s for s in shingles.shingle_sets(pa.array([r.text for r in table(spark, sf_dir, "documents").select("text").collect()])) if len(s)}.values())
     stats = {}
