@@ -243,6 +243,14 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages, listed.limit(0), ()).collect()} == {"allow"}
 
 
+def test_url_verdicts_follow_the_contract(spark, sf_dir):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for v, h, p in registry.URL_RULES} == rules
+    ruled = [r for r in registry.op7_url_filter(spark, sf_dir).collect() if r.rule]
+    assert {"net/de/", "com/en/"} <= {r.rule for r in ruled}
+    assert all(r.verdict == rules[r.rule] for r in ruled)
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.col("id").cast("string").alias("k"))
     probe = spark.range(6000).select(F.col("id").cast("string").alias("k"))
